@@ -38,7 +38,7 @@ FAMILIES = (
     ("eupl", "european union public", ("european union public",), ("", "1 1", "1 2")),
     ("osl", "open software", ("open software",), ("", "1 0", "2 1", "3 0")),
     ("afl", "academic free", ("academic free",), ("", "1 2", "2 1", "3 0")),
-    ("ofl", "font license", ("open font", "sil open font"), ("", "1 0", "1 1")),
+    ("ofl", "open font", ("open font", "sil open font"), ("", "1 0", "1 1")),
     ("psf", "python", ("python software foundation", "psf python"), ("", "2", "2 0")),
     ("wtfpl", "wtfpl", ("wtfpl",), ("", "2")),
     ("unlicense", "unlicense", ("the unlicense",), ("",)),
@@ -103,7 +103,7 @@ def _word_count(piece: Column) -> Column:
 
 def _hits(text: Column) -> Column:
     """All matches in a text of words, each with one blank before and after it."""
-    tried = F.flatten(F.transform(F.filter(_groups(), lambda g: F.contains(text, g["keyword"])), lambda g: g["rules"]))
+    tried = F.flatten(F.transform(F.filter(_groups(), lambda g: F.contains(text, F.concat(F.lit(" "), g["keyword"], F.lit(" ")))), lambda g: g["rules"]))
 
     def of(rule):
         found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
@@ -129,12 +129,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = common.ascii_lower(F.coalesce(docs[text_col], F.lit("")))
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("t"))
-    keywords = sorted({k for _, k, _, _ in rules()} | {"licen"})
+    keywords = sorted({k for _, k, _, _ in rules()})  # whole words
     joined = F.concat(F.lit(" "), F.trim(F.regexp_replace("t", _GAP, " ")), F.lit(" "))
     counted = rows.select("doc_id", F.regexp_count("t", F.lit(_WORD)).cast("bigint").alias("n_words"), joined.alias("w"))
     gate = F.lit(False)
     for k in keywords:
-        gate = gate | F.contains("w", F.lit(k))
+        gate = gate | F.contains("w", F.lit(f" {k} "))
     counted = counted.withColumn("w", F.when(gate, F.col("w")))
 
     none = F.array().cast("array<int>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ratewise.llm import exact_dedup, langid, licenses, link_trust, mixing, packing, sharding, token_frames
+from ratewise.llm import exact_dedup, jaccard, langid, licenses, link_trust, mixing, packing, rp_forest, sharding, token_frames
 from ratewise.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op2_budget_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_set_relations(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_rp_forest(spark, sf_dir):
+    return rp_forest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_frames(spark, sf_dir, tokenizer=None):
     return token_frames.encode_corpus(table(spark, sf_dir, "documents"), tokenizer or str(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -40,7 +48,7 @@ def op10_license_rules(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("hits")
 
 
-QUERIES = {f.__name__: f for f in (op1_link_trust, op2_budget_mix, op5_token_frames, op6_exact_dedup, op7_string_kernel, op8_interleaved_shards, op9_vector_best_fit, op10_license_rules)}
+QUERIES = {f.__name__: f for f in (op1_link_trust, op2_budget_mix, op3_set_relations, op4_rp_forest, op5_token_frames, op6_exact_dedup, op7_string_kernel, op8_interleaved_shards, op9_vector_best_fit, op10_license_rules)}
 
 SQL = {
     "op6_exact_dedup": r"""
