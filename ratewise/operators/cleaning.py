@@ -44,3 +44,13 @@ def profile(df: DataFrame, label: str, id_col: str, ts: str) -> DataFrame:
         F.count("*").alias("n_rows"), (F.count(id_col) - F.count_distinct(id_col)).alias("extra_ids"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
         F.count_if(F.col(label).isNull()).alias("null_labels"), F.avg(label).alias("sample_rate"))
 
+
+
+def cleaning_report(raw: DataFrame, kinds: dict[str, str], hour: str, id_col: str) -> DataFrame:
+    """(measure, column, n) of a raw text table in one pass: rows, bad hours, and for each column nulls, blanks, and values lost to its kind."""
+    cells = [("rows", None, F.count("*")), ("bad_hour", hour, coercion_failures(F.col(hour), parse_hour(F.col(hour)))), ("extra_ids", id_col, F.count(id_col) - F.count_distinct(id_col))]
+    for c in raw.columns:
+        cells += [("nulls", c, F.count_if(F.col(c).isNull())), ("blanks", c, F.count_if(trimmed(F.col(c)) == ""))]
+    cells += [("lost", c, coercion_failures(F.col(c), safe_int(F.col(c), kind))) for c, kind in kinds.items()]
+    one = raw.agg(*[n.alias(f"n{i}") for i, (_, _, n) in enumerate(cells)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).cast("string").alias("column"), F.col(f"n{i}").alias("n")) for i, (m, c, _) in enumerate(cells)])))

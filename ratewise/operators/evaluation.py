@@ -98,3 +98,37 @@ def score_groups(df: DataFrame, groups: int, ascending: bool, score: str = "scor
         F.count("*").alias("n_rows"), F.sum(label).alias("clicks"), F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.round(F.avg(score), 9).alias("mean_score"))
     x = x.withColumn("ctr", rate(F.col("clicks"), F.col("n_rows")))
     return x.withColumn("gap", F.round(F.abs(F.col("mean_score") - F.col("ctr")), 9))
+
+
+#: The quantiles of a score summary, in percent.
+PERCENTS = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)
+
+
+def score_summary(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
+    """Rows, clicks, rate, mean score and its quantiles, interpolated; one row."""
+    per = F.percentile(score, F.array(*[F.lit(p / 100) for p in PERCENTS]))
+    x = df.agg(F.count("*").alias("n_rows"), F.sum(label).alias("clicks"), F.avg(label).alias("ctr"), F.avg(score).alias("mean_score"), per.alias("_q"))
+    return x.select("n_rows", "clicks", "ctr", "mean_score", *[F.col("_q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS)])
+
+
+def compare_models(metrics: DataFrame) -> DataFrame:
+    """Ranks of models (one row each) by AUC, log loss and gap, ties sharing the best; their mean; and the overall rank."""
+    every = Window.partitionBy(F.lit(0))  # one row for each model
+    x = metrics.withColumns({
+        "auc_rank": F.rank().over(every.orderBy(F.desc("auc"))), "log_loss_rank": F.rank().over(every.orderBy("log_loss")), "gap_rank": F.rank().over(every.orderBy("calibration_gap"))})
+    x = x.withColumn("mean_rank", (F.col("auc_rank") + F.col("log_loss_rank") + F.col("gap_rank")) / 3)
+    return x.withColumn("overall_rank", F.rank().over(every.orderBy("mean_rank")))
+
+
+def operating_points(thresholds: DataFrame) -> DataFrame:
+    """The thresholds of largest F1 and Youden J, of recall 0.8 and 0.9 at best precision, precision 0.25 at best recall, coverage nearest 0.1 and 0.2.
+
+    Ties go to the higher threshold; a point that no threshold reaches has feasible false and nulls.
+    """
+    c = F.col
+    goals = {
+        "max_f1": (c("f1"), F.lit(True)), "max_youden_j": (c("youden_j"), F.lit(True)), "recall_80": (c("precision"), c("recall") >= 0.8), "recall_90": (c("precision"), c("recall") >= 0.9),
+        "precision_25": (c("recall"), c("precision") >= 0.25), "coverage_10": (-F.abs(c("coverage") - 0.1), F.lit(True)), "coverage_20": (-F.abs(c("coverage") - 0.2), F.lit(True))}
+    best = [F.max(F.when(ok, F.struct(F.round(goal, 12).alias("goal"), "threshold", "precision", "recall", "f1", "coverage"))).alias(n) for n, (goal, ok) in goals.items()]
+    rows = thresholds.agg(*best).select(F.inline(F.array(*[F.struct(F.lit(n).alias("point"), c(n).alias("x")) for n in goals])))
+    return rows.select("point", c("x").isNotNull().alias("feasible"), *[c("x")[k].alias(k) for k in ("threshold", "precision", "recall", "f1", "coverage")])

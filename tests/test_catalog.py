@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ratewise.plans import catalog
+from ratewise.plans import reports as catalog
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def rows(df: pd.DataFrame) -> list[str]:
     return sorted("|".join(text(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_same_rows_as_sql(spark, duck, name):
     mine, want = catalog.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalog.SQL[name]).df()
     assert sorted(mine.columns) == sorted(want.columns)
