@@ -5,12 +5,13 @@
    A set's first n - ceil(t * n) + 1 shingles go to index lists; sets that link share one of them.
 3. Each list has a leader, the member in which the list's shingle stands earliest. Every member that size and
    position allow is compared with it, and the overlap with the leader is kept: the leader's computed answers.
-4. A list whose members are all tied to one another is answered. In the others, members form blocks by size and position,
-   and pairs of blocks that cannot hold a link are skipped. Between the blocks left, a pair's overlap is bounded from both
-   members' overlaps with the leader, so a set's answers follow from those of the similar leader; only pairs that are not
-   tied yet and that the bound leaves open are compared shingle by shingle.
+4. The other members of a list form blocks by size and position, and pairs of blocks that cannot hold a link are skipped.
+   Between the blocks left, a pair's overlap is bounded from both members' overlaps with the leader, so a set's answers
+   follow from those of the similar leader: a pair that cannot link is left out, one that must is a link, and only
+   pairs that the bounds leave open are compared shingle by shingle.
 
-Links between sets that are tied already add nothing to the components and are not looked for in step 4.
+Every link between two different sets is found, whatever else ties them. Of lists with the same members one is kept: it holds
+the same pairs, and a link passes the position test of every list that it is in.
 """
 
 from __future__ import annotations
@@ -123,37 +124,66 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return rows.select("left", "role", "node", "packed").mapInArrow(_compared, "left long, node long, overlap long")
 
 
-def _open_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Of one pair of blocks, the pairs (left, node) that are not tied yet and that sizes, positions and overlaps with the leader leave open."""
-    def arrays(side):
-        return (np.asarray(pdf[f"{c}_{side}"].iloc[0]) for c in ("nodes", "ns", "poss", "ties", "overlaps"))
+#: Pairs that a task holds before it hands them on.
+_HELD = 1 << 19
 
-    (na, sa, pa_, ta, oa), (nb, sb, pb, tb, ob) = arrays("a"), arrays("b")
-    sa, pa_, oa, ta, na = (v[:, None] for v in (sa, pa_, oa, ta, na))
+
+def _open_pairs(a, b, leader_n: int, percent: int):
+    """Of two blocks of a list (nodes, sizes, positions, overlaps with the leader), the pairs that may link: left, node, and whether the bounds make the link sure."""
+    (na, sa, pa_, oa), (nb, sb, pb, ob) = a, b
+    sa, pa_, oa = (v[:, None] for v in (sa, pa_, oa))
     need = -(-percent * (sa + sb) // (100 + percent))
     most = np.minimum(pa_, pb) + 1 + np.minimum(sa - pa_ - 1, sb - pb - 1)
     known = (oa >= 0) & (ob >= 0)
     derived = np.minimum(oa, ob) + np.minimum(sa - oa, sb - ob)
-    fits = (ta != tb) & (np.minimum(sa, sb) * 100 >= np.maximum(sa, sb) * percent) & (most >= need) & (~known | (derived >= need))
+    fits = (np.minimum(sa, sb) * 100 >= np.maximum(sa, sb) * percent) & (most >= need) & (~known | (derived >= need))
+    if na[0] == nb[0]:  # a block with itself
+        fits &= na[:, None] < nb
     i, j = np.nonzero(fits)
-    u, v = na[i, 0], nb[j]
-    return pd.DataFrame({"left": np.minimum(u, v), "node": np.maximum(u, v)})
+    u, v = na[i], nb[j]
+    return np.minimum(u, v), np.maximum(u, v), (known & (oa + ob - leader_n >= need))[i, j]
+
+
+def _distinct_pairs(found):
+    left, node, sure = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((~sure, node, left))
+    left, node, sure = left[order], node[order], sure[order]
+    first = np.ones(len(left), bool)
+    first[1:] = (left[1:] != left[:-1]) | (node[1:] != node[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(left[first]), pa.array(node[first]), pa.array(sure[first])], names=["left", "node", "sure"])
+
+
+def _opened(batches, percent: int):
+    found, held = [], 0
+    for batch in batches:
+        sides = [[(batch.column(f"{c}_{s}").offsets.to_numpy(), batch.column(f"{c}_{s}").values.to_numpy(zero_copy_only=False).astype(np.int64)) for c in ("nodes", "ns", "poss", "overlaps")] for s in "ab"]
+        for k, leader_n in enumerate(batch.column("leader_n").to_pylist()):
+            a, b = ([v[at[k] : at[k + 1]] for at, v in side] for side in sides)
+            pairs = _open_pairs(a, b, leader_n, percent)
+            if len(pairs[0]):
+                found.append(pairs)
+                held += len(pairs[0])
+            if held > _HELD:
+                yield _distinct_pairs(found)
+                found, held = [], 0
+    if found:
+        yield _distinct_pairs(found)
 
 
 def _links(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(all overlaps, links a b) of distinct pairs."""
     found = common.staged(_overlaps(pairs, texts, size), "overlaps")
     sized = found.join(sizes.select(F.col("node").alias("left"), F.col("n").alias("n_left")), "left").join(sizes.select("node", "n"), "node")
-    links = sized.filter(F.col("overlap") * 100 >= percent * (F.col("n") + F.col("n_left") - F.col("overlap"))).select(F.col("left").alias("a"), F.col("node").alias("b"))
-    return found, common.staged(links, "links")
+    links = sized.filter(F.col("overlap") * 100 >= percent * (F.col("n") + F.col("n_left") - F.col("overlap"))).select(F.least("left", "node").alias("a"), F.greatest("left", "node").alias("b"))
+    return found, links.distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: components of the links between shingle sets.
+def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id, n, node for every row, node being its set; and a, b for every two different sets that link, a < b, once.
 
     Words are split by ASCII white space, A-Z lower-cased; a text with fewer than size words is one shingle, a text without
-    words (or null) has none and links with nothing. Rows with equal sets link. A null id is a component's
-    id only where all its ids are null; rows that repeat an id are sets of their own. An empty table gives an empty result. Shingles and equal sets are told apart by 64-bit and 128-bit hashes.
+    words (or null) has none (n = 0) and links with nothing. Rows that repeat an id are sets of their own. An empty table
+    gives empty results. Shingles and equal sets are told apart by 64-bit and 128-bit hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
@@ -177,52 +207,56 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = spark.sparkContext.broadcast(counts.reshape(-1))
 
     entries = common.staged(texts.mapInArrow(lambda it: _prefixes(it, size, percent, sketch), "token long, node long, n int, pos int"), "set-prefixes")
-    lists = common.staged(
-        entries.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("pos", "node", "n")).alias("l")).filter("members > 1")
-        .select("token", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.pos").alias("leader_pos")), "set-lists")
+    lists = entries.groupBy("token").agg(
+        F.count("*").alias("members"), F.min(F.struct("pos", "node", "n")).alias("l"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2")).filter("members > 1")
+    lists = lists.groupBy("members", "m1", "m2").agg(F.min(F.struct("l.pos", "token", "l.node", "l.n")).alias("l"))  # one of the lists with the same members
+    lists = common.staged(lists.select("l.token", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.pos").alias("leader_pos")), "set-lists")
     shared = common.staged(entries.join(lists, "token"), "set-shared")
     to_leader = shared.filter("node <> leader").filter(_may_link(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"), percent))
     pairs = common.staged(to_leader.select(F.col("leader").alias("left"), "node").distinct(), "leader-pairs")
     overlaps, links = _links(pairs, sizes, texts, size, percent)
-    tied = components.components(links)
 
-    # lists that hold more than one component
-    tagged = shared.join(tied, "node", "left").withColumn("tie", F.coalesce("component", "node")).drop("component")
-    several = tagged.groupBy("token").agg(F.min("tie").alias("lo"), F.max("tie").alias("hi")).filter("lo <> hi").select("token")
-    left = tagged.join(several, "token").join(overlaps.withColumnRenamed("left", "leader"), ["leader", "node"], "left")
-    own = F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.coalesce("overlap", F.lit(-1)))
+    # pairs without the leader
+    left = shared.filter("members > 2").join(overlaps.withColumnRenamed("left", "leader"), ["leader", "node"], "left").filter("node <> leader")
     block = [F.floor(F.log("n") / F.lit(float(np.log(1.25)))).alias("bn"), F.floor(F.col("pos") * 20 / F.col("n")).alias("bp"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("bh")]
-    entry = F.struct("node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "tie", own.cast("long").alias("overlap"))
-    blocks = left.groupBy("token", *block).agg(F.collect_list(entry).alias("e"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.min("tie").alias("t0"), F.max("tie").alias("t1"))
+    entry = F.struct("node", "n", "pos", F.coalesce("overlap", F.lit(-1)).cast("int").alias("overlap"))
+    blocks = left.groupBy("token", *block).agg(F.collect_list(entry).alias("e"), F.max("leader_n").alias("leader_n"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     blocks = common.staged(blocks.withColumn("at", F.struct("bn", "bp", "bh")), "set-blocks")
 
     def side(s: str) -> DataFrame:
-        lists_of = [F.col(f"e.{c}").alias(f"{v}_{s}") for c, v in (("node", "nodes"), ("n", "ns"), ("pos", "poss"), ("tie", "ties"), ("overlap", "overlaps"))]
-        return blocks.select("token", *lists_of, *[F.col(c).alias(f"{c}_{s}") for c in ("n0", "n1", "p0", "p1", "t0", "t1", "at")])
+        lists_of = [F.col(f"e.{c}").alias(f"{v}_{s}") for c, v in (("node", "nodes"), ("n", "ns"), ("pos", "poss"), ("overlap", "overlaps"))]
+        return blocks.select("token", *lists_of, *[F.col(c).alias(f"{c}_{s}") for c in ("n0", "n1", "p0", "p1", "at")], *(["leader_n"] if s == "a" else []))
 
     c = F.col
     sized_blocks = (c("n1_a") * 100 >= c("n0_b") * percent) & (c("n1_b") * 100 >= c("n0_a") * percent)
     # the most a pair of these blocks can share, against the least that a link of the smallest sizes needs
     most = F.least("p1_a", "p1_b") + 1 + F.least(c("n1_a") - c("p0_a") - 1, c("n1_b") - c("p0_b") - 1)
     room = most >= _least_overlap(c("n0_a"), c("n0_b"), percent)
-    untied = ~((c("t0_a") == c("t1_a")) & (c("t0_b") == c("t1_b")) & (c("t0_a") == c("t0_b")))
-    met = side("a").join(side("b"), "token").filter((c("at_a") <= c("at_b")) & sized_blocks & room & untied).drop("at_a", "at_b", "token")
-
-    def opened(it):
-        for pdf in it:
-            for k in range(len(pdf)):
-                yield _open_pairs(pdf.iloc[k : k + 1], percent)
-
-    rest = met.mapInPandas(opened, "left long, node long").distinct()
-    rest = common.staged(rest.join(pairs, ["left", "node"], "left_anti"), "open-pairs")
-    _, more = _links(rest, sizes, texts, size, percent)
-    if not more.isEmpty():
-        tied = components.components(links.unionByName(more))
-    found = classes.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    alone = (c("at_a") == c("at_b")) & (F.size("nodes_a") == 1)
+    met = side("a").join(side("b"), "token").filter((c("at_a") <= c("at_b")) & sized_blocks & room & ~alone)
+    met = met.select(*[f"{v}_{s}" for s in "ab" for v in ("nodes", "ns", "poss", "overlaps")], "leader_n")
+    rest = met.mapInArrow(lambda it: _opened(it, percent), "left long, node long, sure boolean").groupBy("left", "node").agg(F.max("sure").alias("sure"))
+    rest = common.staged(rest.join(pairs.select(F.least("left", "node").alias("left"), F.greatest("left", "node").alias("node")), ["left", "node"], "left_anti"), "open-pairs")
+    _, more = _links(rest.filter("not sure").select("left", "node"), sizes, texts, size, percent)
+    sure = rest.filter("sure").select(F.col("left").alias("a"), F.col("node").alias("b"))
+    return sized, common.staged(links.unionByName(more).unionByName(sure), "links")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row: components of the links between shingle sets, and the number of other rows that the row links with.
+
+    Rows with equal sets link. A null id is a component's id only where all its ids are null. Sets and links as in linked_sets.
+    """
+    sized, links = linked_sets(docs, id_col, text_col, size, percent)
+    classes = sized.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = common.staged(classes, "set-copies")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    found = classes.join(components.components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = found.join(least, "component").select("node", "component_id")
-    out = sized.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    ids = found.join(least, "component").join(others, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return sized.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -17,7 +17,7 @@ def op2_budget_mix(spark, sf_dir):
 
 
 def op3_set_relations(spark, sf_dir):
-    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+    return jaccard.similar_groups(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op4_rp_forest(spark, sf_dir):

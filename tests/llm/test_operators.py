@@ -109,6 +109,29 @@ def test_jaccard_lists_with_several_groups(spark):
     assert got == root
 
 
+def test_every_link_between_different_sets_is_found(spark):
+    """Near copies that are all tied to one another by their links with a leader, and copies of some."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(12):
+            w = list(base)
+            for k in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+                w[k] = f"x{int(rng.integers(0, 5))}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, rows[k][1]) for k in range(5)] + [(100, None), (101, "short text")]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.similar_groups(docs).collect()}
+    assert got == {i: sum(a == i for a, _ in want) for i in sets}
+    members, links = (x.collect() for x in jaccard.linked_sets(docs))
+    node = {r["doc_id"]: r["node"] for r in members}
+    pairs = [(r["a"], r["b"]) for r in links]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(node[a], node[b]) for a, b in want if node[a] < node[b]}
+
+
 def test_exact_groups_match_sql(docs, table):
     documents = table  # noqa: F841
     want = duckdb.sql(queries.SQL["op6_exact_dedup"]).df().sort_values("doc_id").reset_index(drop=True)
