@@ -3,7 +3,8 @@
 Hosts are nodes. Edges come from the absolute links of the pages' html, and from every host to the hosts it belongs to
 (`m.a.org` to `a.org`), so that hosts without links are tied to their own domain. Trust flows along the edges from hosts
 that an allow rule fits, distrust flows against them from hosts that a block rule fits. Where no rule fits a url, its
-host's distrust and trust decide. Everything is DataFrame work; each round's table is written to the shared folder.
+host's distrust and trust decide. Rounds go on until the scores have settled and every host that a walk reaches has one.
+Everything is DataFrame work; each round's table is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ RULES = (
 )
 #: Share of a host's trust that flows on in a round.
 DAMPING = 0.85
-ROUNDS = 8
+#: Scores have settled where a round changes them by less than this in all (they sum to 1 at most), and none of them by more than RELATIVE of itself.
+TOLERANCE = 1e-9
+RELATIVE = 1e-6
 #: A host is blocked where distrust exceeds this share of trust + distrust.
 THRESHOLD = 0.5
 
@@ -50,8 +53,9 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """src, dst, links: distinct host edges with the number of links; no host links to itself."""
     own = host_of(pages[url_col])
-    found = F.regexp_extract_all(F.coalesce(pages[html_col], F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?\s*(https?://[^\"'\s>]+)"), F.lit(1))
-    links = pages.select(own.alias("src"), F.explode(found).alias("link")).select("src", host_of(F.col("link")).alias("dst"))
+    found = F.regexp_extract_all(F.coalesce(pages[html_col], F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"), F.lit(1))
+    whole = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
+    links = pages.select(own.alias("src"), F.explode(found).alias("link")).select("src", host_of(whole).alias("dst"))
     hosts = pages.select(own.alias("src")).distinct()
     parts = F.split("src", r"\.")
     above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
@@ -59,28 +63,39 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.unionByName(parents).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = 8, damping: float = DAMPING, tolerance: float = TOLERANCE, relative: float = RELATIVE) -> DataFrame:
     """host, score: personalised PageRank over edges (src, dst, links) from seeds (host, seed), seed summing to 1.
 
-    What a host without outgoing edges holds is not handed on. Hosts that no walk from a seed reaches are left out.
+    So many rounds, or where rounds is None until no host is new and the scores have settled. What a host without outgoing
+    edges holds is not handed on. Hosts that no walk from a seed reaches are left out.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("out"))
     shares = common.staged(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")), "host-shares")
-    scores = seeds.select("host", F.col("seed").alias("score"))
-    for k in range(rounds):
+    scores, k = seeds.select("host", F.col("seed").alias("score")), 0
+    while rounds is None or k < rounds:
+        k += 1
         flow = scores.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        kept = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-        scores = flow.unionByName(kept).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 2:
-            scores = common.staged(scores, "host-scores")
+        new = flow.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("score")))
+        if rounds is None:
+            both = new.withColumn("old", F.lit(0.0)).unionByName(scores.select("host", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+            scores = common.staged(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")), "host-scores")
+            moved = F.abs(F.col("score") - F.col("old"))
+            change, most = scores.agg(F.coalesce(F.sum(moved), F.lit(0.0)), F.coalesce(F.max(F.when(moved > 0, moved / F.col("score"))), F.lit(0.0))).first()
+            scores = scores.select("host", "score")
+            if change < tolerance and most <= relative:  # a new host changes by all of its score
+                break
+        else:
+            scores = new.groupBy("host").agg(F.sum("score").alias("score"))
+            if k % 2 == 0:
+                scores = common.staged(scores, "host-scores")
     return scores
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page.
 
     A rule that fits decides (longest host + path). Else the host's scores do: block where distrust is more than threshold
-    of trust + distrust, allow otherwise and where neither reaches the host. Null urls and null html give empty
+    of trust + distrust, allow otherwise and where neither reaches the host. rounds: as in propagate, until settled unless given. Null urls and null html give empty
     values and no edges; repeated pages are judged each and their links count each; an empty table gives an empty result.
     """
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))

@@ -279,6 +279,21 @@ def test_propagation_matches_power_iteration(spark):
     assert all(abs(r["score"] - x[hosts.index(r["host"])]) < 1e-9 for r in got.collect())
 
 
+def test_scores_settle(spark):
+    """A cycle against the solved equations, and a host twelve links upstream of a blocked one, half of its links protocol-relative."""
+    edges, hosts = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1)], "abcd"
+    m = np.zeros((4, 4))
+    for s, t, n in edges:
+        m[hosts.index(t), hosts.index(s)] = n
+    m /= m.sum(0)
+    x = np.linalg.solve(np.eye(4) - 0.85 * m, 0.15 * np.array([0.5, 0, 0, 0.5]))
+    got = link_trust.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([("a", 0.5), ("d", 0.5)], "host string, seed double"), rounds=None)
+    assert all(abs(r["score"] - x[hosts.index(r["host"])]) < 1e-8 for r in got.collect())
+    chain = [(k, f"http://h{k}.x/", f'<a href="{"http:" if k % 2 else ""}//H{k + 1}.x/p?u=http://o.x/">x</a>') for k in range(12)] + [(12, "http://h12.x/bad", None)]
+    r = {r["page_id"]: r for r in link_trust.judge_urls(spark.createDataFrame(chain, "page_id long, url string, html string"), rules=(("h12.x", "/bad", "block"),)).collect()}
+    assert [r[k]["verdict"] for k in range(13)] == ["block"] * 13 and abs(r[0]["distrust"] / (0.15 * 0.85**12) - 1) < 1e-6
+
+
 def test_pipeline_stages(spark, docs, table):
     import corpus_pipeline
 
