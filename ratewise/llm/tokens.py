@@ -2,13 +2,14 @@
 
 White space splits a text into pieces whose ids do not depend on their neighbours; each distinct piece is encoded
 once by the library and looked up afterwards by its 64-bit hash. A text with white space outside of ASCII, where a
-byte-level vocabulary's pieces could depend on their neighbours, is encoded whole. Special tokens' strings in a text
-are ordinary text.
+byte-level vocabulary's pieces could depend on their neighbours, is encoded whole, and so is a text that holds the string of
+one of the vocabulary's added tokens, in any case: the library makes one id of it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -19,6 +20,8 @@ from ratewise.llm import textbytes
 
 #: Distinct pieces that a worker remembers; beyond, the table starts anew.
 MOST_PIECES = 1_500_000
+#: White space outside of ASCII, and ASCII's that does not split pieces.
+_WIDE = r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -30,8 +33,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keeps_space, self.most_pieces = keeps_space, most_pieces
+        odd = [re.escape(t.content.strip()) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content.strip()]
+        if keeps_space:
+            odd.append(_WIDE)
+        self.whole = "(?i)" + "|".join(odd) if odd else None
         self._forget()
 
     def _forget(self) -> None:
@@ -98,8 +104,8 @@ class Encoder:
         for a, b in textbytes.parts(column):
             part = column.slice(a, b - a)
             rows = self._encode_part(part)
-            if self.keeps_space:
-                odd = pc.match_substring_regex(part.cast(pa.large_string()).fill_null(""), r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+            if self.whole:
+                odd = pc.match_substring_regex(part.cast(pa.large_string()).fill_null(""), self.whole)
                 for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
                     rows[i] = self.encode_whole(part[i].as_py())
             yield from rows

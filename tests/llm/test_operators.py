@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ratewise.llm import exact_dedup, jaccard, langid, licenses, link_trust, mixing, packing, queries, rp_forest, sharding, token_frames
+from ratewise.llm import exact_dedup, jaccard, langid, licenses, link_trust, mixing, packing, queries, rp_forest, sharding, token_frames, tokens
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,6 +187,24 @@ def test_token_files_round_trip(docs, table):
         start += len(ids)
 
 
+SPECIAL = ["<|endoftext|>", "one word<|endoftext|>inside of it", "after blanks  \n <|endoftext|> and on", "<|startoftext|> a <|ENDOFTEXT|>", "<|endof text|> is none", "plain text", None]
+
+
+def test_added_tokens_match_the_library(spark):
+    import pyarrow as pa
+
+    for name, keeps_space in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        t = Tokenizer.from_file(str(public_tokenizers.path(name)))
+        got = tokens.Encoder(str(public_tokenizers.path(name)), keeps_space).encode(pa.array(SPECIAL))
+        assert [x.tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in SPECIAL]
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    t, start = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), 0
+    for r in token_frames.encode_corpus(docs, str(public_tokenizers.path("byte_bpe_50k.json"))).orderBy("doc_id").collect():
+        ids = np.array([*t.encode(SPECIAL[r["doc_id"]] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_damaged_frame_is_found():
     image = bytearray(token_frames.file_image(0, 0, [1, 2], [b"\x01\x00" * 50, b"\x02\x00" * 50], 2))
     reader = token_frames.FrameReader(bytes(image))
