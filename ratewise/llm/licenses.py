@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.llm import common
+from ratewise.llm.license_signatures import HAND
 
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -44,7 +45,7 @@ FAMILIES = (
     ("unlicense", "unlicense", ("the unlicense",), ("",)),
     ("fdl", "free documentation", ("free documentation", "gnu free documentation"), ("", "1 1", "1 2", "1 3")),
     ("odbl", "open database", ("open database",), ("", "1 0")),
-    ("ms-pl", "microsoft", ("microsoft public", "microsoft reciprocal"), ("",)),
+    ("ms-pl", "microsoft", ("microsoft public",), ("",)),
     ("postgresql", "postgresql", ("postgresql",), ("",)),
     ("openssl", "openssl", ("openssl",), ("",)),
     ("php", "php", ("php",), ("", "3 0", "3 01")),
@@ -72,7 +73,7 @@ SIGNATURES = (
 
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, regex, priority): for each name and version of a family the forms `NAME license VERSION`, `VERSION NAME license`
-    and `licensed under NAME`; a longer name or a version ranks higher. Signatures follow."""
+    and `licensed under NAME`; a longer name or a version ranks higher. The rules written by hand follow."""
     out = []
     for label, keyword, names, versions in FAMILIES:
         for name in names:
@@ -83,7 +84,7 @@ def rules() -> list[tuple[str, str, str, int]]:
                 if version:
                     out.append((label, keyword, rf"{name} v?{version} licen[cs]e", rank))
             out.append((label, keyword, rf"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", 55))
-    return [*out, *SIGNATURES]
+    return [*out, *SIGNATURES, *HAND]
 
 
 _HIT = "struct<first:int,last:int,priority:int,label:string>"

@@ -273,6 +273,20 @@ def test_contained_hits_are_suppressed(spark):
     assert [(h["first"], h["last"]) for h in r["hits"] if h["label"] == "apache"] == [(12, 15)]  # words, both ends included
 
 
+SHORT_FORMS = {
+    "GPLv3": "gpl", "LGPL-2.1": "lgpl", "AGPL": "agpl", "MPL-2.0": "mpl", "License: MIT": "mit", "License: Apache-2.0": "apache", "BSD-3-Clause": "bsd", "see the Unlicense here": "unlicense",
+    "Microsoft Reciprocal License": "ms-rl", "Microsoft Public License": "ms-pl", "SPDX-License-Identifier: GPL-2.0": "gpl", "SPDX-License-Identifier: MIT": "mit", "under CC0-1.0": "cc0", "0BSD": "0bsd",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "bsd", "The origin of this software must not be misrepresented": "zlib",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl", "a plain text on bread": "",
+}
+
+
+def test_short_forms_ids_and_sentences(spark):
+    got = {r["t"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(t, t) for t in SHORT_FORMS], "t string, text string"), "t").withColumnRenamed("doc_id", "t").collect()}
+    assert {t: set(x.split(",")) - {"spdx"} if x else set() for t, x in got.items()} == {t: {x} if x else set() for t, x in SHORT_FORMS.items()}
+    assert all(len(f) == 4 and f[1] for f in licenses.HAND)
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.com/en/7?x", "http://example.com/en/1", "https://b.example.net/de/81", "x://net/de/", "nothing", None, "http://badexample.com/en/7", "http://q.org#/es/"]
     rows = [(i, u, '<a href="http://a.example.com/">x</a>' if i % 2 else None) for i, u in enumerate(urls)]
