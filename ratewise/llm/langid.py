@@ -148,7 +148,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the documents in no language: those whose text is null or has no letter. Columns stay as they are."""
+    """docs without the documents in no language: those whose text is null or has no letter, whatever could be learnt. Columns stay as they are."""
     model = fit(docs, id_col, text_col, lang_col)
     rows = docs.select(F.struct("*").alias("row"), docs[text_col].alias("text"))
+    if model is None or "und" in model.languages:  # und is no sign of a text without letters then
+        return rows.filter(F.rlike(F.coalesce("text", F.lit("")), F.lit(_LETTER))).select("row.*")
     return predict(rows, model).filter("lang_pred <> 'und'").select("row.*")

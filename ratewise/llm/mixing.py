@@ -99,7 +99,7 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """What a mix takes of every document: doc_id, size, source, source_size, target, taken, copies.
+    """What a mix takes of every document: doc_id, size, source, source_size, target, taken, copies, h (the text's hash).
 
     size: words of the text (null text: 0). taken: words taken, size times copies, copies 0 to 3. Null sources are a
     source of their own. Documents without words are never chosen beyond the whole copies, and take 0. Rows that repeat
@@ -121,15 +121,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranked = ranks.with_rank(rows.filter("chosen > 0"), "gl", "u", ["doc_id", "h"], "rank", "n").withColumn("extra", (F.col("rank") < F.col("chosen")).cast("int"))
     every = certain.unionByName(ranked.select(certain.columns)).join(targets.select("g", "source_size", "target"), "g")
     copies = F.col("whole") + F.col("extra")
-    return every.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return every.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "h")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """docs as the mix takes them: each row as often as its copies, with docs' own columns.
 
-    Documents without words have nothing to take and stay out. Ids must tell documents apart: of rows that share an id,
-    each is taken as often as the mix takes the id's largest share.
+    Documents without words have nothing to take and stay out. Rows that share id, text and source get their copies in the
+    order of their other columns: of those, the mix takes some once more than the rest.
     """
-    copies = mix(docs, id_col, text_col, source_col, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies, docs[id_col].eqNullSafe(F.col("_id"))).filter(F.coalesce(F.regexp_count(docs[text_col], F.lit(common.WORD)), F.lit(0)) > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key = [F.xxhash64(docs[text_col]).alias("_h"), common.group_key(docs[source_col].cast("string")).alias("_g"), docs[id_col].alias("_id")]
+    plan = mix(docs, id_col, text_col, source_col, seed).filter("size > 0").groupBy(F.col("h").alias("_h"), common.group_key(F.col("source")).alias("_g"), F.col("doc_id").alias("_id")).agg(
+        F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.count("*").alias("_n"), F.sum("copies").alias("_all")).filter("_most > 0")
+    plan = common.staged(plan, "mix-copies")
+    rows = docs.select(F.struct("*").alias("row"), *key, F.coalesce(F.regexp_count(docs[text_col], F.lit(common.WORD)), F.lit(0)).alias("_size")).filter("_size > 0")
+    left, right = rows.alias("l"), plan.alias("r")
+    on = (F.col("l._h") == F.col("r._h")) & (F.col("l._g") == F.col("r._g")) & F.col("l._id").eqNullSafe(F.col("r._id"))
+    found = left.join(right, on).select("row", "l._h", "l._g", "l._id", "_least", "_most", "_n", "_all")
+    even = found.filter("_least = _most").select("row", F.col("_most").alias("_copies"))
+    within = Window.partitionBy("_h", "_g", "_id").orderBy(F.xxhash64("row"))  # only rows alike that the mix tells apart: one text of a length and source at most
+    odd = found.filter("_least <> _most").withColumn("_k", F.row_number().over(within))
+    odd = odd.select("row", (F.col("_least") + (F.col("_k") <= F.col("_all") - F.col("_least") * F.col("_n")).cast("int")).alias("_copies"))
+    taken = even.unionByName(odd.select("row", F.col("_copies").cast(even.schema["_copies"].dataType).alias("_copies"))).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

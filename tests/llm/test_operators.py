@@ -326,6 +326,21 @@ def test_scores_settle(spark):
     assert [r[k]["verdict"] for k in range(13)] == ["block"] * 13 and abs(r[0]["distrust"] / (0.15 * 0.85**12) - 1) < 1e-6
 
 
+def test_letters_alone_decide_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !!", None), (3, None, None), (4, "mot", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in langid.with_language(docs).collect()) == [1, 4]
+
+
+def test_mixed_takes_what_the_mix_decides_where_ids_repeat(spark):
+    rows = [(None if i % 2 else 7, f"w{i % 30} b c", "abc"[i % 3], i) for i in range(90)] + [(5, "the same text", "a", 100 + i) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    want = Counter({r["source"]: 0 for r in mixing.mix(docs).collect()})
+    for r in mixing.mix(docs).collect():
+        want[r["source"]] += r["copies"]
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and Counter(r["source"] for r in got.collect()) == want
+
+
 def test_pipeline_stages(spark, docs, table):
     import corpus_pipeline
 
