@@ -80,7 +80,7 @@ def j8_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j9_tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on training dates, rounds stopped on the validation dates."""
     rows = model_rows(spark, sf_dir).filter("split <> 'holdout'").withColumn("is_valid", F.col("split") == "valid")
-    return models.tree_importance(spark, models.fit_boosted(rows, FEATURES, valid_flag="is_valid", rounds=10, depth=3), FEATURES)
+    return models.tree_importance(spark, models.fit_boosted(rows, FEATURES, valid_flag="is_valid"), FEATURES)
 
 
 def l7_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,16 @@ def test_linear_contributions_add_up_to_the_score(spark):
     assert sorted(r["rank"] for r in shares) == [1, 2, 3, 4, 5] and math.isclose(sum(r.percent for r in shares), 100)
 
 
+def test_tree_importance_counts_splits_of_the_operators_own_settings(spark, monkeypatch):
+    fitted, fit = [], models.fit_boosted
+    monkeypatch.setattr(models, "fit_boosted", lambda *a, **k: fitted.append((fit(*a, **k), k)) or fitted[-1][0])
+    rows = reports.j9_tree_importance(spark, DATA).collect()
+    model, given = fitted[0]
+    assert not {"rounds", "depth"} & set(given)
+    assert sum(r["splits"] for r in rows) == sum((t.numNodes - 1) // 2 for t in model.stages[-1].trees) > 0
+    assert all((r["splits"] > 0) >= (r["gain"] > 0) for r in rows)
+
+
 def test_cases_are_the_extremes(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (2, 1, 0.9), (3, 0, 0.7), (4, 1, 0.1), (5, 0, 0.3), (6, 0, 0.2)], "id long, click int, score double")
     assert {r.case: r.id for r in models.find_cases(df, 0.5).collect()} == {"true_positive": 1, "false_positive": 3, "false_negative": 4, "true_negative": 6}
