@@ -3,7 +3,7 @@
 White space splits a text into pieces whose ids do not depend on their neighbours; each distinct piece is encoded
 once by the library and looked up afterwards by its 64-bit hash. A text with white space outside of ASCII, where a
 byte-level vocabulary's pieces could depend on their neighbours, is encoded whole, and so is a text that holds the string of
-one of the vocabulary's added tokens, in any case: the library makes one id of it.
+one of the vocabulary's added tokens (in any case where the library looks for it in the normalised text): the library makes one id of it.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space, self.most_pieces = keeps_space, most_pieces
-        odd = [re.escape(t.content.strip()) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content.strip()]
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content.strip()]
+        self.literal = [t.content for t in added if not t.normalized]
+        odd = ["(?i:" + re.escape(t.content.strip()) + ")" for t in added if t.normalized]
         if keeps_space:
             odd.append(_WIDE)
-        self.whole = "(?i)" + "|".join(odd) if odd else None
+        self.pattern = "|".join(odd)
         self._forget()
 
     def _forget(self) -> None:
@@ -104,10 +106,15 @@ class Encoder:
         for a, b in textbytes.parts(column):
             part = column.slice(a, b - a)
             rows = self._encode_part(part)
-            if self.whole:
-                odd = pc.match_substring_regex(part.cast(pa.large_string()).fill_null(""), self.whole)
-                for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-                    rows[i] = self.encode_whole(part[i].as_py())
+            if self.literal or self.pattern:
+                texts = part.cast(pa.large_string()).fill_null("")
+                odd = np.zeros(len(part), bool)
+                for string in self.literal:
+                    odd |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+                if self.pattern:
+                    odd |= pc.match_substring_regex(texts, self.pattern).to_numpy(zero_copy_only=False)
+                for i in np.flatnonzero(odd).tolist():
+                    rows[i] = self.encode_whole(part[i].as_py() or "")
             yield from rows
 
 
