@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from ratewise.llm import common
 
 
+#: Nodes that a task holds before it hands their edges on.
+HELD = 500_000
+
+
 def _forest(batches):
-    """Of a partition's edges, one edge from each node to the smallest node that this partition ties it to."""
+    """Of a partition's edges, one edge from each node to the smallest node that this partition ties it to, in portions of HELD nodes."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -20,14 +24,20 @@ def _forest(batches):
             x = parent[x]
         return x
 
+    def found():
+        rows = [(x, r) for x in parent if (r := root(x)) != x]
+        parent.clear()
+        for i in range(0, len(rows), 10_000):
+            part = rows[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    rows = [(x, r) for x in parent if (r := root(x)) != x]
-    for i in range(0, len(rows), 10_000):
-        part = rows[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], names=["a", "b"])
+        if len(parent) > HELD:
+            yield from found()
+    yield from found()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,245 +1,418 @@
 """N-gram Jaccard join with set-relation skipping.
 
-1. Equal sets become one set (digest of the sorted shingles), so copies cost nothing further.
-2. Shingles are ordered by a counting sketch of fixed size (rare first, then by hash); any one order gives exact results.
-   A set's first n - ceil(t * n) + 1 shingles go to index lists; sets that link share one of them.
-3. Each list has a leader, the member in which the list's shingle stands earliest. Every member that size and
-   position allow is compared with it, and the overlap with the leader is kept: the leader's computed answers.
-4. The other members of a list form blocks by size and position, and pairs of blocks that cannot hold a link are skipped.
-   Between the blocks left, a pair's overlap is bounded from both members' overlaps with the leader, so a set's answers
-   follow from those of the similar leader: a pair that cannot link is left out, one that must is a link, and only
-   pairs that the bounds leave open are compared shingle by shingle.
-
-Every link between two different sets is found, whatever else ties them. Of lists with the same members one is kept: it holds
-the same pairs, and a link passes the position test of every list that it is in.
+1. Equal sets become one set, so copies cost nothing further. Shingles are ordered by a counting sketch of fixed size
+   (rare first, then by hash); any one order gives exact results.
+2. A set's first n - ceil(t * n) + slack shingles go to index lists. Two sets that link share at least as many list entries
+   as the smaller one's slack, so a set with fewer shared entries than that links with nothing and leaves all lists.
+3. Index skipping: a list's members stand in blocks by size and position, and pairs of blocks that cannot hold a link are
+   skipped; within blocks size and position decide which pairs stay open. Lists with the same members count once.
+4. Answer skipping: open pairs meet by blocks of similar sets (same minhash). There the overlaps of a first set are counted
+   from a small index; those of a similar set follow from them by the shingles in which the two sets differ.
+
+A pair belongs to one pair of blocks, however many lists hold it, so links are found once each and can be counted where
+they are found: no step has a row for each pair, unless the links themselves are asked for.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.llm import common, components, textbytes
 
-#: Counters of the sketch that orders shingles; 4 bytes each.
-COUNTERS = 1 << 20
-_SLICES = 64
-#: Members of an index list in one block, about.
+#: Counters of the sketch that orders shingles.
+COUNTERS = 1 << 18
+_SLICES = 16
+#: Members of an index list in one block, about; a shorter list is one block.
 BLOCK = 256
-#: Comparisons with one set that a task does in one go, about.
-CHUNK = 512
-
-
-def _sets(column, size: int):
+#: Sets of a block in which open pairs meet, about.
+GROUP = 512
+#: A set's list entries beyond the least number are this part of its shingles.
+SLACK = 20
+#: Pairs that a task holds before it hands them on.
+_HELD = 1 << 19
+_NODE, _HOME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class _Sets:
+    """The shingle sets of a stretch of texts, end to end; empty sets have node 0."""
+
+    def __init__(self, column: pa.Array, size: int):
+        self.sets = textbytes.shingle_sets(*textbytes.buffer_of(column), size)
+        self.n = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        self.node = np.zeros(len(self.n), np.int64)
+        self.flat = np.concatenate(self.sets) if len(self.sets) else np.empty(0, np.uint64)
+        self.full = self.n > 0
+        self.starts = (np.cumsum(self.n) - self.n)[self.full]
+        if len(self.starts):
+            one = np.add.reduceat(self.flat, self.starts)
+            two = np.add.reduceat(textbytes.mixed(self.flat ^ _NODE), self.starts)
+            self.node[self.full] = textbytes.mixed(one ^ textbytes.mixed(two + self.n[self.full].astype(np.uint64))).view(np.int64)
+
+    def homes(self) -> np.ndarray:
+        """Each set's minhash."""
+        out = np.zeros(len(self.n), np.int64)
+        if len(self.starts):
+            out[self.full] = np.minimum.reduceat(textbytes.mixed(self.flat ^ _HOME), self.starts).view(np.int64)
+        return out
+
+
+def _stretches(column: pa.Array, size: int):
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     for a, b in textbytes.parts(column):
-        yield from textbytes.shingle_sets(*textbytes.buffer_of(column.slice(a, b - a)), size)
+        yield a, b, _Sets(column.slice(a, b - a), size)
 
 
-def _sketched(batches, size: int):
-    """Counts of the shingles of a partition's sets, in slices."""
-    counts = np.zeros(COUNTERS, np.uint32)
-    for batch in batches:
-        for x in _sets(batch.column(0), size):
-            np.add.at(counts, (x & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-    for i, part in enumerate(counts.reshape(_SLICES, -1)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "counts"])
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _digests(batches, size: int):
-    for batch in batches:
-        n, one, two = [], [], []
-        for x in _sets(batch.column(1), size):
-            n.append(len(x))
-            one.append(int(x.sum(dtype=np.uint64).astype(np.int64)))
-            two.append(int(textbytes.mixed(x ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "n", "d1", "d2"])
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _with_digests(batches, size: int):
+def _measured(batches, size: int):
+    """Of every row its set's size, node and minhash; at the end this task's counts of shingles, in slices."""
+    counts = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        (found,) = _digests([batch], size)
-        yield pa.RecordBatch.from_arrays([*found.columns, batch.column(1)], names=["doc_id", "n", "d1", "d2", "text"])
+        for a, b, s in _stretches(batch.column(1), size):
+            counts += np.bincount(_slot(s.flat), minlength=COUNTERS)
+            none = pa.nulls(b - a, pa.binary())
+            yield _batch(doc_id=batch.column(0).slice(a, b - a), n=pa.array(s.n), node=pa.array(s.node), home=pa.array(s.homes()), slice=pa.nulls(b - a, pa.int32()), counts=none)
+    for i, part in enumerate(counts.astype(np.uint32).reshape(_SLICES, -1)):
+        if part.any():
+            gone = pa.nulls(1, pa.int64())
+            yield _batch(doc_id=gone, n=gone, node=gone, home=gone, slice=pa.array([i], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
 
 
-def _prefixes(batches, size: int, percent: int, sketch):
-    counts = sketch.value
+def _summed(batches):
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for node, x in zip(batch.column(0).to_pylist(), _sets(batch.column(1), size), strict=True):
-            n = len(x)
-            if not n:
-                continue
-            order = np.lexsort((x, counts[(x & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-            keep = n - -(-percent * n // 100) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[order[:keep]].astype(np.int64)), pa.array(np.full(keep, node)), pa.array(np.full(keep, n, np.int32)), pa.array(np.arange(keep, dtype=np.int32))], names=["token", "node", "n", "pos"])
+        for i, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(part.as_buffer(), np.uint32)
+            total[i] = total[i] + part if i in total else part.astype(np.uint64)
+    for i, part in total.items():
+        yield _batch(slice=pa.array([i], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
 
 
-def _least_overlap(na, nb, percent: int):
-    """Smallest overlap o with 100 * o >= percent * (na + nb - o)."""
-    return F.ceil(percent * (na + nb) / (100 + percent))
+def _slack(n):
+    return np.maximum(1, n // SLACK)
 
 
-def _may_link(na, pa_, nb, pb, percent: int):
-    """Size and position: a shared shingle at these positions leaves room for enough others."""
-    sized = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-    return sized & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= _least_overlap(na, nb, percent))
-
-
-def _compared(batches):
-    """Rows sorted by (left, chunk, role): a left set, then the sets that are compared with it. Yields the overlaps."""
-    left, mine = None, None
+def _prefixes(batches, size: int, percent: int, sketch):
+    """List entries of every different set of this task."""
+    counts, seen = sketch.value, set()
     for batch in batches:
-        out = []
-        for key, role, node, packed in zip(*(batch.column(c).to_pylist() for c in ("left", "role", "node", "packed")), strict=True):
-            x = np.frombuffer(packed, np.uint64)
-            if role == 0:
-                left, mine = key, x
-            elif key == left:
-                at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
-                out.append((left, node, int((mine[at] == x).sum())))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["left", "node", "overlap"])
-
-
-def _packed_sets(batches, size: int):
+        for _, _, s in _stretches(batch.column(0), size):
+            rank = counts[_slot(s.flat)]
+            at = np.cumsum(s.n) - s.n
+            keep = s.n + (-percent * s.n // 100) + _slack(s.n)
+            tokens, nodes, lengths = [], [], []
+            for i in np.flatnonzero(s.full).tolist():
+                node = int(s.node[i])
+                if node not in seen:
+                    seen.add(node)
+                    order = np.argsort(rank[at[i] : at[i] + s.n[i]], kind="stable")  # a set is in order of its hashes
+                    tokens.append(s.sets[i][order[: keep[i]]])
+                    nodes.append(node)
+                    lengths.append(len(tokens[-1]))
+            if tokens:
+                lengths = np.array(lengths)
+                position = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                yield _batch(token=pa.array(np.concatenate(tokens).view(np.int64)), node=pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pos=pa.array(position.astype(np.int32)))
+
+
+def _shared(batches):
+    """Rows in order of (token, node): each entry once, and only those of tokens with several sets."""
+    held, tied = None, False  # the last entry, and whether the one before it has its token
     for batch in batches:
-        for node, x in zip(batch.column(0).to_pylist(), _sets(batch.column(1), size), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["node", "packed"])
-
-
-def _overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """left, node, overlap for distinct pairs (left, node): sets are made anew from the texts that take part. A left set with many pairs is spread over chunks."""
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("left").alias("node"))).distinct()
-    sets = common.staged(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(lambda it: _packed_sets(it, size), "node long, packed binary"), "sets")
-    parts = pairs.groupBy("left").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    spread = pairs.join(parts, "left").select("left", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    right = spread.join(sets, "node").select("left", "chunk", F.lit(1).alias("role"), "node", "packed")
-    heads = spread.select("left", "chunk").distinct()
-    own = heads.join(sets.withColumnRenamed("node", "left"), "left").select("left", "chunk", F.lit(0).alias("role"), F.col("left").alias("node"), "packed")
-    rows = own.unionByName(right).repartition(common.shuffle_partitions(pairs.sparkSession), "left", "chunk").sortWithinPartitions("left", "chunk", "role")
-    return rows.select("left", "role", "node", "packed").mapInArrow(_compared, "left long, node long, overlap long")
-
-
-#: Pairs that a task holds before it hands them on.
-_HELD = 1 << 19
-
-
-def _open_pairs(a, b, leader_n: int, percent: int):
-    """Of two blocks of a list (nodes, sizes, positions, overlaps with the leader), the pairs that may link: left, node, and whether the bounds make the link sure."""
-    (na, sa, pa_, oa), (nb, sb, pb, ob) = a, b
-    sa, pa_, oa = (v[:, None] for v in (sa, pa_, oa))
-    need = -(-percent * (sa + sb) // (100 + percent))
-    most = np.minimum(pa_, pb) + 1 + np.minimum(sa - pa_ - 1, sb - pb - 1)
-    known = (oa >= 0) & (ob >= 0)
-    derived = np.minimum(oa, ob) + np.minimum(sa - oa, sb - ob)
-    fits = (np.minimum(sa, sb) * 100 >= np.maximum(sa, sb) * percent) & (most >= need) & (~known | (derived >= need))
-    if na[0] == nb[0]:  # a block with itself
-        fits &= na[:, None] < nb
-    i, j = np.nonzero(fits)
-    u, v = na[i], nb[j]
-    return np.minimum(u, v), np.maximum(u, v), (known & (oa + ob - leader_n >= need))[i, j]
-
-
-def _distinct_pairs(found):
-    left, node, sure = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((~sure, node, left))
-    left, node, sure = left[order], node[order], sure[order]
-    first = np.ones(len(left), bool)
-    first[1:] = (left[1:] != left[:-1]) | (node[1:] != node[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(left[first]), pa.array(node[first]), pa.array(sure[first])], names=["left", "node", "sure"])
-
-
-def _opened(batches, percent: int):
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+        token, node, _ = rows
+        if not len(token):
+            continue
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, pos = (r[new] for r in rows)
+        with_next = np.append(token[1:] == token[:-1], False)
+        with_last = np.append(tied, token[1:] == token[:-1])
+        keep = (with_next | with_last)[:-1]
+        held, tied = [token[-1:], node[-1:], pos[-1:]], bool(with_last[-1])
+        yield _batch(token=pa.array(token[:-1][keep]), node=pa.array(node[:-1][keep]), pos=pa.array(pos[:-1][keep]))
+    if held is not None and tied:
+        yield _batch(token=pa.array(held[0]), node=pa.array(held[1]), pos=pa.array(held[2]))
+
+
+def _fitting(na, pa_, nb, pb, percent: int):
+    """Size and position: whether a shared shingle at these positions leaves room for a link."""
+    need = -(-percent * (na + nb) // (100 + percent))
+    most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
+    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (most >= need)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+
+def _within(batch, percent: int):
+    """Open pairs of each list that is one block: (node, group) of both; lists of one length go together."""
+    (offsets, node), *others = (_lists(batch.column(f"{c}_a")) for c in ("node", "n", "pos", "block"))
+    n, pos, block = (v for _, v in others)
+    lengths = np.diff(offsets)
+    for m in np.unique(lengths[lengths > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        starts = offsets[:-1][lengths == m]
+        step = max(1, _HELD // len(i))
+        for k in range(0, len(starts), step):
+            u = (starts[k : k + step, None] + i).ravel()
+            v = (starts[k : k + step, None] + j).ravel()
+            fits = _fitting(n[u], pos[u], n[v], pos[v], percent)
+            yield node[u[fits]], block[u[fits]], node[v[fits]], block[v[fits]]
+
+
+def _between(batch, percent: int):
+    """Open pairs of two blocks of a long list, or of a block with itself."""
+    a, b = ([_lists(batch.column(f"{c}_{s}")) for c in ("node", "n", "pos", "block")] for s in "ab")
+    for k in range(batch.num_rows):
+        (na, sa, pa_, ga), (nb, sb, pb, gb) = ([v[at[k] : at[k + 1]] for at, v in side] for side in (a, b))
+        fits = _fitting(sa[:, None], pa_[:, None], sb, pb, percent)
+        if na[0] == nb[0]:
+            fits &= na[:, None] < nb
+        i, j = np.nonzero(fits)
+        yield na[i], ga[i], nb[j], gb[j]
+
+
+def _grouped_pairs(found) -> pa.RecordBatch:
+    """Each pair once, in one row for each pair of groups: the lower group first, within a group the lower node."""
+    x, gx, y, gy = (np.concatenate(c) for c in zip(*found, strict=True))
+    turn = (gx > gy) | ((gx == gy) & (x > y))
+    x, y, gx, gy = np.where(turn, y, x), np.where(turn, x, y), np.where(turn, gy, gx), np.where(turn, gx, gy)
+    order = np.lexsort((y, x, gy, gx))
+    x, y, gx, gy = (v[order] for v in (x, y, gx, gy))
+    apart = (gx[1:] != gx[:-1]) | (gy[1:] != gy[:-1])
+    new = np.append(True, apart | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    first = np.append(True, apart)[new]
+    x, y, gx, gy = (v[new] for v in (x, y, gx, gy))
+    at = np.flatnonzero(first)
+    offsets = pa.array(np.append(at, len(x)).astype(np.int32))
+    return _batch(ga=pa.array(gx[at]), gb=pa.array(gy[at]), xs=pa.ListArray.from_arrays(offsets, pa.array(x)), ys=pa.ListArray.from_arrays(offsets, pa.array(y)))
+
+
+def _opened(batches, percent: int, pairs_of):
     found, held = [], 0
     for batch in batches:
-        sides = [[(batch.column(f"{c}_{s}").offsets.to_numpy(), batch.column(f"{c}_{s}").values.to_numpy(zero_copy_only=False).astype(np.int64)) for c in ("nodes", "ns", "poss", "overlaps")] for s in "ab"]
-        for k, leader_n in enumerate(batch.column("leader_n").to_pylist()):
-            a, b = ([v[at[k] : at[k + 1]] for at, v in side] for side in sides)
-            pairs = _open_pairs(a, b, leader_n, percent)
+        for pairs in pairs_of(batch, percent):
             if len(pairs[0]):
                 found.append(pairs)
                 held += len(pairs[0])
             if held > _HELD:
-                yield _distinct_pairs(found)
+                yield _grouped_pairs(found)
                 found, held = [], 0
     if found:
-        yield _distinct_pairs(found)
+        yield _grouped_pairs(found)
 
 
-def _links(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(all overlaps, links a b) of distinct pairs."""
-    found = common.staged(_overlaps(pairs, texts, size), "overlaps")
-    sized = found.join(sizes.select(F.col("node").alias("left"), F.col("n").alias("n_left")), "left").join(sizes.select("node", "n"), "node")
-    links = sized.filter(F.col("overlap") * 100 >= percent * (F.col("n") + F.col("n_left") - F.col("overlap"))).select(F.least("left", "node").alias("a"), F.greatest("left", "node").alias("b"))
-    return found, links.distinct()
-
-
-def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n, node for every row, node being its set; and a, b for every two different sets that link, a < b, once.
+def _packed_sets(batches, size: int):
+    for batch in batches:
+        for _, _, s in _stretches(batch.column(0), size):
+            yield _batch(node=pa.array(s.node), packed=pa.array([x.tobytes() for x in s.sets], pa.binary()))
+
+
+def _without(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x but for the elements of y; both sorted, y not empty."""
+    return x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x]
+
+
+class _Index:
+    """Lists of the sets that hold a shingle, by place in sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.tokens, self.owner, self.sets = flat[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order], len(sets)
+
+    def overlaps(self, x: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.tokens, x, "left"), np.searchsorted(self.tokens, x, "right")
+        n = hi - lo
+        at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=self.sets)
+
+
+def overlaps_of_pairs(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Overlaps of sets[x[k]] and sets[y[k]]; x in order. A set's overlaps follow from an earlier, similar set's by the shingles in which they differ."""
+    right, place = np.unique(y, return_inverse=True)
+    cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+    out = np.empty(len(x), np.int64)
+    if len(x) == 1:
+        a, b = sets[x[0]], sets[y[0]]
+        out[0] = len(a) - len(_without(a, b))
+        return out
+    index, leader, known = _Index([sets[k] for k in right]), None, None
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        mine = sets[x[a]]
+        counts = None
+        if leader is not None:
+            more, less = _without(mine, leader), _without(leader, mine)
+            if 2 * (len(more) + len(less)) < len(mine):
+                counts = known + index.overlaps(more) - index.overlaps(less)
+        if counts is None:
+            counts = index.overlaps(mine)
+            leader, known = mine, counts
+        out[a:b] = counts[place[a:b]]
+    return out
+
+
+def _least_tied(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0..n-1 that ties over a, b lead to."""
+    least = np.arange(n)
+    while True:
+        low, new = np.minimum(least[a], least[b]), least.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _answers(batches, percent: int, pairs: bool):
+    """Rows in order of (ga, gb, role): sets, then pairs of them. Yields links a, b, or for each set that links its number of links and a set it is tied to."""
+    key, nodes, copies, sets, xs, ys = None, [], [], [], [], []
+    out, held = [], 0
+
+    def close():
+        at = np.array(nodes, np.int64)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        x, y = (np.searchsorted(at, np.concatenate(v)) for v in (xs, ys))
+        pair = np.unique(x * len(at) + y)
+        x, y = pair // len(at), pair % len(at)
+        ordered, weight = [sets[k] for k in order], np.array(copies, np.int64)[order]
+        n = np.array([len(s) for s in ordered])
+        o = overlaps_of_pairs(ordered, x, y)
+        linked = o * 100 >= percent * (n[x] + n[y] - o)
+        x, y = x[linked], y[linked]
+        if pairs:
+            return [np.minimum(at[x], at[y]), np.maximum(at[x], at[y])]
+        links = np.bincount(x, weight[y], len(at)).astype(np.int64) + np.bincount(y, weight[x], len(at)).astype(np.int64)
+        has = links > 0
+        return [at[has], at[_least_tied(len(at), x, y)][has], links[has]]
+
+    def handed():
+        names = ("a", "b") if pairs else ("node", "root", "links")
+        columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+        out.clear()
+        return _batch(**dict(zip(names, columns, strict=True)))
 
-    Words are split by ASCII white space, A-Z lower-cased; a text with fewer than size words is one shingle, a text without
-    words (or null) has none (n = 0) and links with nothing. Rows that repeat an id are sets of their own. An empty table
-    gives empty results. Shingles and equal sets are told apart by 64-bit and 128-bit hashes.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    sized = common.staged(rows.mapInArrow(lambda it: _digests(it, size), "doc_id long, n long, d1 long, d2 long"), "set-digests")
-    sized = sized.withColumn("node", F.xxhash64("n", "d1", "d2")).drop("d1", "d2")  # equal sets share a node
-    classes = common.staged(sized.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first")), "set-classes")
-    chosen = classes.select("node", "first")
-    if sized.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        texts = rows.join(chosen, rows["doc_id"].eqNullSafe(F.col("first"))).select("node", "text")
-    else:  # ids repeat: a row's own node tells which of them is meant
-        own = rows.select("doc_id", "text").mapInArrow(lambda it: _with_digests(it, size), "doc_id long, n long, d1 long, d2 long, text string")
-        own = own.withColumn("own", F.xxhash64("n", "d1", "d2"))
-        texts = common.staged(own.join(chosen, own["doc_id"].eqNullSafe(F.col("first")) & (F.col("own") == F.col("node"))).select("node", "text").dropDuplicates(["node"]), "set-texts")
-    sizes = classes.select("node", "n")
-
-    slices = rows.select("text").mapInArrow(lambda it: _sketched(it, size), "slice int, counts binary")
-    summed = slices.groupBy("slice").applyInPandas(lambda pdf: pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "counts": [sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in pdf["counts"]).tobytes()]}), "slice int, counts binary")
+    for batch in batches:
+        ga, gb, role, node, copy = (batch.column(c).to_pylist() for c in ("ga", "gb", "role", "node", "copies"))
+        packed, left, right = (batch.column(c) for c in ("packed", "xs", "ys"))
+        for k in range(batch.num_rows):
+            if (ga[k], gb[k]) != key:
+                if xs:
+                    out.append(close())
+                    held += len(out[-1][0])
+                    if held > 20_000:
+                        yield handed()
+                        held = 0
+                key, nodes, copies, sets, xs, ys = (ga[k], gb[k]), [], [], [], [], []
+            if role[k] == 0:
+                if not nodes or nodes[-1] != node[k]:
+                    nodes.append(node[k])
+                    copies.append(copy[k])
+                    sets.append(np.frombuffer(packed[k].as_py(), np.uint64))
+            else:
+                xs.append(left[k].values.to_numpy())
+                ys.append(right[k].values.to_numpy())
+    if xs:
+        out.append(close())
+    if out:
+        yield handed()
+
+
+def _order(measured: DataFrame):
+    """The summed sketch, broadcast: COUNTERS numbers, however large the corpus."""
+    parts = measured.filter("slice is not null").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
     counts = np.zeros((_SLICES, COUNTERS // _SLICES), np.uint64)
-    for r in summed.collect():  # COUNTERS numbers, however large the corpus
-        counts[r["slice"]] = np.frombuffer(r["counts"], np.uint64)
-    sketch = spark.sparkContext.broadcast(counts.reshape(-1))
-
-    entries = common.staged(texts.mapInArrow(lambda it: _prefixes(it, size, percent, sketch), "token long, node long, n int, pos int"), "set-prefixes")
-    lists = entries.groupBy("token").agg(
-        F.count("*").alias("members"), F.min(F.struct("pos", "node", "n")).alias("l"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2")).filter("members > 1")
-    lists = lists.groupBy("members", "m1", "m2").agg(F.min(F.struct("l.pos", "token", "l.node", "l.n")).alias("l"))  # one of the lists with the same members
-    lists = common.staged(lists.select("l.token", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.pos").alias("leader_pos")), "set-lists")
-    shared = common.staged(entries.join(lists, "token"), "set-shared")
-    to_leader = shared.filter("node <> leader").filter(_may_link(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"), percent))
-    pairs = common.staged(to_leader.select(F.col("leader").alias("left"), "node").distinct(), "leader-pairs")
-    overlaps, links = _links(pairs, sizes, texts, size, percent)
-
-    # pairs without the leader
-    left = shared.filter("members > 2").join(overlaps.withColumnRenamed("left", "leader"), ["leader", "node"], "left").filter("node <> leader")
-    block = [F.floor(F.log("n") / F.lit(float(np.log(1.25)))).alias("bn"), F.floor(F.col("pos") * 20 / F.col("n")).alias("bp"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("bh")]
-    entry = F.struct("node", "n", "pos", F.coalesce("overlap", F.lit(-1)).cast("int").alias("overlap"))
-    blocks = left.groupBy("token", *block).agg(F.collect_list(entry).alias("e"), F.max("leader_n").alias("leader_n"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    for r in parts:
+        counts[r["slice"]] += np.frombuffer(r["counts"], np.uint64)
+    return measured.sparkSession.sparkContext.broadcast(counts.reshape(-1))
+
+
+def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
+    """ga, gb, xs, ys: pairs that size and position leave open, from list entries (token, node, pos, n, block)."""
+    lists = kept.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2")).filter("members > 1")
+    lists = lists.groupBy("members", "m1", "m2").agg(F.min("token").alias("token")).select("token", "members")  # of lists with the same members, one
+    shared = kept.join(lists, "token")
+    apart = lambda c: F.when(F.col("members") > BLOCK, c.cast("int")).otherwise(0)
+    keys = [apart(F.floor(F.log("n") / F.lit(float(np.log(1.25))))).alias("bn"), apart(F.floor(F.col("pos") * 20 / F.col("n"))).alias("bp"), apart(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).alias("bh")]
+    blocks = shared.groupBy("token", "members", *keys).agg(F.collect_list(F.struct("node", "n", "pos", "block")).alias("e"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     blocks = common.staged(blocks.withColumn("at", F.struct("bn", "bp", "bh")), "set-blocks")
 
-    def side(s: str) -> DataFrame:
-        lists_of = [F.col(f"e.{c}").alias(f"{v}_{s}") for c, v in (("node", "nodes"), ("n", "ns"), ("pos", "poss"), ("overlap", "overlaps"))]
-        return blocks.select("token", *lists_of, *[F.col(c).alias(f"{c}_{s}") for c in ("n0", "n1", "p0", "p1", "at")], *(["leader_n"] if s == "a" else []))
+    def side(s: str) -> list[Column]:
+        return [F.col(f"e.{c}").alias(f"{c}_{s}") for c in ("node", "n", "pos", "block")]
 
+    schema = "ga long, gb long, xs array<long>, ys array<long>"
+    short = blocks.filter(F.col("members") <= BLOCK).select(*side("a")).mapInArrow(lambda it: _opened(it, percent, _within), schema)
     c = F.col
-    sized_blocks = (c("n1_a") * 100 >= c("n0_b") * percent) & (c("n1_b") * 100 >= c("n0_a") * percent)
+    bounds = ("n0", "n1", "p0", "p1", "at")
+    a, b = (blocks.filter(F.col("members") > BLOCK).select("token", *side(s), *[F.col(x).alias(f"{x}_{s}") for x in bounds]) for s in "ab")
+    sized = (c("n1_a") * 100 >= c("n0_b") * percent) & (c("n1_b") * 100 >= c("n0_a") * percent)
     # the most a pair of these blocks can share, against the least that a link of the smallest sizes needs
     most = F.least("p1_a", "p1_b") + 1 + F.least(c("n1_a") - c("p0_a") - 1, c("n1_b") - c("p0_b") - 1)
-    room = most >= _least_overlap(c("n0_a"), c("n0_b"), percent)
-    alone = (c("at_a") == c("at_b")) & (F.size("nodes_a") == 1)
-    met = side("a").join(side("b"), "token").filter((c("at_a") <= c("at_b")) & sized_blocks & room & ~alone)
-    met = met.select(*[f"{v}_{s}" for s in "ab" for v in ("nodes", "ns", "poss", "overlaps")], "leader_n")
-    rest = met.mapInArrow(lambda it: _opened(it, percent), "left long, node long, sure boolean").groupBy("left", "node").agg(F.max("sure").alias("sure"))
-    rest = common.staged(rest.join(pairs.select(F.least("left", "node").alias("left"), F.greatest("left", "node").alias("node")), ["left", "node"], "left_anti"), "open-pairs")
-    _, more = _links(rest.filter("not sure").select("left", "node"), sizes, texts, size, percent)
-    sure = rest.filter("sure").select(F.col("left").alias("a"), F.col("node").alias("b"))
-    return sized, common.staged(links.unionByName(more).unionByName(sure), "links")
+    room = most >= F.ceil(percent * (c("n0_a") + c("n0_b")) / (100 + percent))
+    met = a.join(b, "token").filter((c("at_a") <= c("at_b")) & sized & room)
+    long = met.select(*[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")]).mapInArrow(lambda it: _opened(it, percent, _between), schema)
+    return common.staged(short.unionByName(long), "set-pairs")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows' sets, different sets, answers of _answers)."""
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    measured = common.staged(rows.mapInArrow(lambda it: _measured(it, size), "doc_id long, n long, node long, home long, slice int, counts binary"), "set-sizes")
+    sketch = _order(measured)
+    sized = measured.filter("slice is null").select("doc_id", "n", "node")
+    classes = measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("home").alias("home"))
+    classes = common.staged(classes, "set-classes")
+
+    entries = rows.select("text").mapInArrow(lambda it: _prefixes(it, size, percent, sketch), "token long, node long, pos int")
+    entries = entries.repartition(common.shuffle_partitions(docs.sparkSession), "token").sortWithinPartitions("token", "node")
+    entries = common.staged(entries.mapInArrow(_shared, "token long, node long, pos int"), "set-entries")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))  # the slack of the smallest set that can link with this one
+    good = entries.groupBy("node").agg(F.count("*").alias("entries")).join(classes, "node").filter(F.col("entries") >= least).select("node", "n", "home")
+    good = common.staged(good, "set-linkable")
+    homes = good.groupBy("home").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    placed = good.join(homes, "home").select("node", F.col("n").cast("int").alias("n"), F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    kept = common.staged(entries.join(placed, "node"), "set-kept")
+    opened = _open_pairs(kept, percent)
+
+    members = opened.select("ga", "gb", F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("node")).distinct()
+    members = common.staged(members.join(classes.select("node", "first", "copies"), "node"), "set-members")
+    ids = common.staged(members.select(F.col("first").alias("_id")).distinct(), "set-ids")
+    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = texts.mapInArrow(lambda it: _packed_sets(it, size), "node long, packed binary")
+    no_array, none = F.lit(None).cast("array<long>"), F.lit(None).cast("long")
+    left = members.join(sets, "node").select("ga", "gb", F.lit(0).alias("role"), "node", "copies", "packed", no_array.alias("xs"), no_array.alias("ys"))
+    right = opened.select("ga", "gb", F.lit(1).alias("role"), none.alias("node"), none.alias("copies"), F.lit(None).cast("binary").alias("packed"), "xs", "ys")
+    met = left.unionByName(right).repartition(common.shuffle_partitions(docs.sparkSession), "ga", "gb").sortWithinPartitions("ga", "gb", "role", "node")
+    answers = met.mapInArrow(lambda it: _answers(it, percent, pairs), "a long, b long" if pairs else "node long, root long, links long")
+    return sized, classes, common.staged(answers, "set-answers")
+
+
+def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id, n, node for every row, node being its set; and a, b for every two different sets that link, a < b, once.
+
+    Words are split by ASCII white space, A-Z lower-cased; a text with fewer than size words is one shingle, a text without
+    words (or null) has none (n = 0) and links with nothing. Rows that repeat an id are sets of their own. An empty table
+    gives empty results. Shingles and equal sets are told apart by 64-bit hashes. links has a row for each link: in a group
+    of near copies they grow with the square of the group; similar_groups counts them without.
+    """
+    sized, _, links = _joined(docs, id_col, text_col, size, percent, True)
+    return sized, links
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -247,12 +420,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows with equal sets link. A null id is a component's id only where all its ids are null. Sets and links as in linked_sets.
     """
-    sized, links = linked_sets(docs, id_col, text_col, size, percent)
-    classes = sized.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    classes = common.staged(classes, "set-copies")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    found = classes.join(components.components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sized, classes, answers = _joined(docs, id_col, text_col, size, percent, False)
+    others = answers.groupBy("node").agg(F.sum("links").alias("others"))
+    tied = components.components(answers.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = classes.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = found.join(least, "component").join(others, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

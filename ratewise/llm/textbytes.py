@@ -41,7 +41,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(column: pa.Array, most_bytes: int = 4 << 20) -> list[tuple[int, int]]:
+def parts(column: pa.Array, most_bytes: int = 1 << 20) -> list[tuple[int, int]]:
     """Row ranges of a column with about most_bytes of text each, or one longer text."""
     offsets = buffer_of(column)[1]
     cuts, i = [], 0
