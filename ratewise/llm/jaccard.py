@@ -6,10 +6,11 @@
    as the smaller one's slack, so a set with fewer shared entries than that links with nothing and leaves all lists.
 3. Index skipping: a list's members stand in blocks by size and position, and pairs of blocks that cannot hold a link are
    skipped; within blocks size and position decide which pairs stay open. Lists with the same members count once.
-4. Answer skipping: open pairs meet by blocks of similar sets (same minhash). There the overlaps of a first set are counted
-   from a small index; those of a similar set follow from them by the shingles in which the two sets differ.
+4. Answer skipping: open pairs meet by groups of sets whose lists have the same leader (the least of their members). There
+   the overlaps of a first set are counted from a small index; those of a similar set follow from them by the shingles in
+   which the two sets differ.
 
-A pair belongs to one pair of blocks, however many lists hold it, so links are found once each and can be counted where
+A pair belongs to one pair of groups, however many lists hold it, so links are found once each and can be counted where
 they are found: no step has a row for each pair, unless the links themselves are asked for.
 """
 
@@ -27,13 +28,13 @@ COUNTERS = 1 << 18
 _SLICES = 16
 #: Members of an index list in one block, about; a shorter list is one block.
 BLOCK = 256
-#: Sets of a block in which open pairs meet, about.
+#: Sets of a group in which open pairs meet, about.
 GROUP = 512
 #: A set's list entries beyond the least number are this part of its shingles.
 SLACK = 20
 #: Pairs that a task holds before it hands them on.
 _HELD = 1 << 19
-_NODE, _HOME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_NODE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Sets:
@@ -51,13 +52,6 @@ class _Sets:
             two = np.add.reduceat(textbytes.mixed(self.flat ^ _NODE), self.starts)
             self.node[self.full] = textbytes.mixed(one ^ textbytes.mixed(two + self.n[self.full].astype(np.uint64))).view(np.int64)
 
-    def homes(self) -> np.ndarray:
-        """Each set's minhash."""
-        out = np.zeros(len(self.n), np.int64)
-        if len(self.starts):
-            out[self.full] = np.minimum.reduceat(textbytes.mixed(self.flat ^ _HOME), self.starts).view(np.int64)
-        return out
-
 
 def _stretches(column: pa.Array, size: int):
     if isinstance(column, pa.ChunkedArray):
@@ -75,17 +69,17 @@ def _slot(x: np.ndarray) -> np.ndarray:
 
 
 def _measured(batches, size: int):
-    """Of every row its set's size, node and minhash; at the end this task's counts of shingles, in slices."""
+    """Of every row its set's size and node; at the end this task's counts of shingles, in slices."""
     counts = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         for a, b, s in _stretches(batch.column(1), size):
             counts += np.bincount(_slot(s.flat), minlength=COUNTERS)
             none = pa.nulls(b - a, pa.binary())
-            yield _batch(doc_id=batch.column(0).slice(a, b - a), n=pa.array(s.n), node=pa.array(s.node), home=pa.array(s.homes()), slice=pa.nulls(b - a, pa.int32()), counts=none)
+            yield _batch(doc_id=batch.column(0).slice(a, b - a), n=pa.array(s.n), node=pa.array(s.node), slice=pa.nulls(b - a, pa.int32()), counts=none)
     for i, part in enumerate(counts.astype(np.uint32).reshape(_SLICES, -1)):
         if part.any():
             gone = pa.nulls(1, pa.int64())
-            yield _batch(doc_id=gone, n=gone, node=gone, home=gone, slice=pa.array([i], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
+            yield _batch(doc_id=gone, n=gone, node=gone, slice=pa.array([i], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
 
 
 def _summed(batches):
@@ -344,10 +338,14 @@ def _order(measured: DataFrame):
 
 
 def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
-    """ga, gb, xs, ys: pairs that size and position leave open, from list entries (token, node, pos, n, block)."""
-    lists = kept.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2")).filter("members > 1")
-    lists = lists.groupBy("members", "m1", "m2").agg(F.min("token").alias("token")).select("token", "members")  # of lists with the same members, one
-    shared = kept.join(lists, "token")
+    """ga, gb, xs, ys: pairs that size and position leave open, from list entries (token, node, pos, n)."""
+    lists = kept.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2"), F.min("node").alias("leader")).filter("members > 1")
+    lists = lists.groupBy("members", "m1", "m2", "leader").agg(F.min("token").alias("token")).select("token", "members", "leader")  # of lists with the same members, one
+    shared = common.staged(kept.join(lists, "token"), "set-shared")
+    leaders = common.staged(shared.groupBy("node").agg(F.min("leader").alias("leader")), "set-leaders")
+    parts = leaders.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    placed = leaders.join(parts, "leader").select("node", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    shared = shared.drop("leader").join(placed, "node")
     apart = lambda c: F.when(F.col("members") > BLOCK, c.cast("int")).otherwise(0)
     keys = [apart(F.floor(F.log("n") / F.lit(float(np.log(1.25))))).alias("bn"), apart(F.floor(F.col("pos") * 20 / F.col("n"))).alias("bp"), apart(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).alias("bh")]
     blocks = shared.groupBy("token", "members", *keys).agg(F.collect_list(F.struct("node", "n", "pos", "block")).alias("e"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
@@ -357,7 +355,8 @@ def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
         return [F.col(f"e.{c}").alias(f"{c}_{s}") for c in ("node", "n", "pos", "block")]
 
     schema = "ga long, gb long, xs array<long>, ys array<long>"
-    short = blocks.filter(F.col("members") <= BLOCK).select(*side("a")).mapInArrow(lambda it: _opened(it, percent, _within), schema)
+    tasks = common.shuffle_partitions(kept.sparkSession)  # few bytes, much work: not to be left to their size
+    short = blocks.filter(F.col("members") <= BLOCK).select(*side("a")).repartition(tasks).mapInArrow(lambda it: _opened(it, percent, _within), schema)
     c = F.col
     bounds = ("n0", "n1", "p0", "p1", "at")
     a, b = (blocks.filter(F.col("members") > BLOCK).select("token", *side(s), *[F.col(x).alias(f"{x}_{s}") for x in bounds]) for s in "ab")
@@ -366,28 +365,25 @@ def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
     most = F.least("p1_a", "p1_b") + 1 + F.least(c("n1_a") - c("p0_a") - 1, c("n1_b") - c("p0_b") - 1)
     room = most >= F.ceil(percent * (c("n0_a") + c("n0_b")) / (100 + percent))
     met = a.join(b, "token").filter((c("at_a") <= c("at_b")) & sized & room)
-    long = met.select(*[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")]).mapInArrow(lambda it: _opened(it, percent, _between), schema)
+    long = met.select(*[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")]).repartition(tasks).mapInArrow(lambda it: _opened(it, percent, _between), schema)
     return common.staged(short.unionByName(long), "set-pairs")
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows' sets, different sets, answers of _answers)."""
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    measured = common.staged(rows.mapInArrow(lambda it: _measured(it, size), "doc_id long, n long, node long, home long, slice int, counts binary"), "set-sizes")
+    measured = common.staged(rows.mapInArrow(lambda it: _measured(it, size), "doc_id long, n long, node long, slice int, counts binary"), "set-sizes")
     sketch = _order(measured)
     sized = measured.filter("slice is null").select("doc_id", "n", "node")
-    classes = measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("home").alias("home"))
+    classes = measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"))
     classes = common.staged(classes, "set-classes")
 
     entries = rows.select("text").mapInArrow(lambda it: _prefixes(it, size, percent, sketch), "token long, node long, pos int")
     entries = entries.repartition(common.shuffle_partitions(docs.sparkSession), "token").sortWithinPartitions("token", "node")
     entries = common.staged(entries.mapInArrow(_shared, "token long, node long, pos int"), "set-entries")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))  # the slack of the smallest set that can link with this one
-    good = entries.groupBy("node").agg(F.count("*").alias("entries")).join(classes, "node").filter(F.col("entries") >= least).select("node", "n", "home")
-    good = common.staged(good, "set-linkable")
-    homes = good.groupBy("home").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    placed = good.join(homes, "home").select("node", F.col("n").cast("int").alias("n"), F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
-    kept = common.staged(entries.join(placed, "node"), "set-kept")
+    good = entries.groupBy("node").agg(F.count("*").alias("entries")).join(classes, "node").filter(F.col("entries") >= least).select("node", F.col("n").cast("int").alias("n"))
+    kept = common.staged(entries.join(common.staged(good, "set-linkable"), "node"), "set-kept")
     opened = _open_pairs(kept, percent)
 
     members = opened.select("ga", "gb", F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("node")).distinct()
