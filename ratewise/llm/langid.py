@@ -110,23 +110,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return solve(bits, np.array([languages.index(rows[i]["lang"]) for i in order]), languages, landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1: a softmax of the languages' regression values).
-
-    'und' with score 0 where the text is null or has no letter, or where there was nothing to learn from.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks by BITS: a fixed size
-
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts):
-        import pandas as pd
+def _guesser(model: Model | None, spark):
+    """A column function: struct(lang_pred, score) of a text."""
+    shared = spark.sparkContext.broadcast(model)  # landmarks by BITS: a fixed size
 
+    @F.arrow_udf("lang_pred string, score double")
+    def guess(column: pa.Array) -> pa.Array:
         model = shared.value
-        column = pa.array(texts, pa.large_string(), from_pandas=True)
         names, scores = np.full(len(column), "und", object), np.zeros(len(column))
         if model is not None:
             lettered = pc.fill_null(pc.match_substring_regex(column, _LETTER), False).to_numpy(zero_copy_only=False)
-            for a, b in textbytes.parts(column, 1 << 20):
+            for a, b in textbytes.parts(column):
                 for c in range(a, b, _ROWS):
                     d = min(b, c + _ROWS)
                     value = model.scores(presence(*textbytes.buffer_of(column.slice(c, d - c))))
@@ -135,8 +129,17 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     names[c:d] = np.array(model.languages, object)[best]
                     scores[c:d] = p[np.arange(len(best)), best] / p.sum(1)
             names[~lettered], scores[~lettered] = "und", 0.0
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+
+    return guess
+
 
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score (0 to 1: a softmax of the languages' regression values).
+
+    'und' with score 0 where the text is null or has no letter, or where there was nothing to learn from.
+    """
+    guess = _guesser(model, docs.sparkSession)
     return docs.withColumn("_guess", guess(docs[text_col])).select("*", "_guess.lang_pred", "_guess.score").drop("_guess")
 
 
@@ -148,9 +151,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the documents in no language: those whose text is null or has no letter, whatever could be learnt. Columns stay as they are."""
+    """docs without the documents in no language, and with the predicted language where lang is null; other columns stay as they are.
+
+    In no language are texts that are null or have no letter, whatever could be learnt. Without anything to learn from, null languages stay.
+    """
     model = fit(docs, id_col, text_col, lang_col)
-    rows = docs.select(F.struct("*").alias("row"), docs[text_col].alias("text"))
-    if model is None or "und" in model.languages:  # und is no sign of a text without letters then
-        return rows.filter(F.rlike(F.coalesce("text", F.lit("")), F.lit(_LETTER))).select("row.*")
-    return predict(rows, model).filter("lang_pred <> 'und'").select("row.*")
+    lettered = docs.filter(F.rlike(F.coalesce(docs[text_col], F.lit("")), F.lit(_LETTER)))
+    if model is None:
+        return lettered
+    guessed = _guesser(model, docs.sparkSession)(lettered[text_col])["lang_pred"]
+    return lettered.withColumn(lang_col, F.coalesce(lettered[lang_col], guessed))

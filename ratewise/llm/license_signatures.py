@@ -134,6 +134,52 @@ SHORT = (
     ("llama", "llama", r"llama [234](?: [123])? community licen[cs]e", 60),
 )
 
+#: Names of licenses with the word license, versions before or after it.
+NAMES = (
+    ("mit", "mit", r"(?:x11 )?mit(?: expat)? (?:public )?licen[cs]e", 58),
+    ("apache", "apache", r"(?:asf )?apache(?: software)? (?:public )?licen[cs]e(?:(?: version)? v?[12](?: [01])?)?", 58),
+    ("apache", "apache", r"apache(?: software)? v?[12](?: [01])? licen[cs]e", 58),
+    ("gpl", "general public", r"(?:gnu )?general public licen[cs]e(?:(?: version)? v?[123](?: 0)?)?", 58),
+    ("gpl", "general public", r"(?:gnu )?general public v?[123](?: 0)? licen[cs]e", 58),
+    ("lgpl", "lesser general", r"(?:gnu )?lesser general public licen[cs]e(?:(?: version)? v?(?:2 1|3 0|2|3))?", 62),
+    ("lgpl", "library general", r"(?:gnu )?library general public licen[cs]e(?:(?: version)? v?2(?: 0)?)?", 62),
+    ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e(?:(?: version)? v?[13](?: 0)?)?", 62),
+    ("bsd", "bsd", r"(?:new |modified |simplified |revised |original |berkeley )?bsd(?: style)?(?: [1234] clause)? (?:public )?licen[cs]e", 58),
+    ("bsd", "bsd", r"(?:[1234]|two|three|four) clause bsd licen[cs]e", 58),
+    ("mpl", "mozilla public", r"mozilla public licen[cs]e(?:(?: version)? v?[12] [01])?", 60),
+    ("epl", "eclipse public", r"eclipse public licen[cs]e(?:(?: version)? v?[12](?: 0)?)?", 60),
+    ("cddl", "common development", r"common development and distribution licen[cs]e(?:(?: version)? v?1 [01])?", 60),
+    ("cc", "creative commons", r"creative commons(?: attribution)?(?: (?:non ?commercial|share ?alike|no ?deriv(?:ative)?s?))* licen[cs]e", 62),
+    ("cc", "creative commons", r"creative commons attribution(?: (?:non ?commercial|share ?alike|no ?deriv(?:ative)?s?))*(?: [1-4] [05])?(?: (?:international|unported|generic))?", 61),
+    ("isc", "isc", r"isc licen[cs]e", 58),
+    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", 58),
+    ("boost", "boost", r"boost(?: software)? licen[cs]e(?:(?: version)? v?1 0)?", 58),
+    ("artistic", "artistic", r"(?:perl )?artistic licen[cs]e(?:(?: version)? v?[12](?: 0)?)?", 58),
+    ("eupl", "european union", r"european union public licen[cs]e(?:(?: version)? v?1 [012])?", 60),
+    ("osl", "open software", r"open software licen[cs]e(?:(?: version)? v?[123] [01])?", 58),
+    ("afl", "academic free", r"academic free licen[cs]e(?:(?: version)? v?[123] [012])?", 58),
+    ("ofl", "open font", r"(?:sil )?open font licen[cs]e(?:(?: version)? v?1 [01])?", 58),
+    ("psf", "python", r"(?:python software foundation|psf python|python) licen[cs]e(?: agreement)?(?:(?: version)? v?2(?: 0)?)?", 58),
+    ("wtfpl", "wtfpl", r"wtfpl(?: licen[cs]e)?(?:(?: version)? v?2)?", 58),
+    ("fdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e(?:(?: version)? v?1 [123])?", 60),
+    ("odbl", "open database", r"open database licen[cs]e(?:(?: version)? v?1 0)?", 58),
+    ("ms-pl", "microsoft public", r"microsoft public licen[cs]e", 60),
+    ("postgresql", "postgresql", r"postgresql licen[cs]e", 58),
+    ("openssl", "openssl", r"openssl(?: ssleay)? licen[cs]e", 58),
+    ("php", "php", r"php licen[cs]e(?:(?: version)? v?3 01?)?", 58),
+    ("ruby", "ruby", r"ruby licen[cs]e", 58),
+    ("vim", "vim", r"vim licen[cs]e", 58),
+    ("mit", "mit", r"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?mit(?: expat)?", 55),
+    ("apache", "apache", r"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?apache", 55),
+    ("bsd", "bsd", r"(?:licensed|released|distributed) under (?:a |the )?(?:terms of (?:the )?)?(?:new |modified |simplified )?bsd", 55),
+    ("isc", "isc", r"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?isc", 55),
+    ("zlib", "zlib", r"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?zlib", 55),
+    ("artistic", "artistic", r"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?(?:perl )?artistic", 55),
+    ("php", "php", r"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?php", 55),
+    ("ruby", "ruby", r"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?ruby", 55),
+    ("psf", "python", r"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?python", 54),
+)
+
 #: `License: NAME` and the like, for names that are too short to stand alone.
 NAMED = (
     ("mit", "license mit", r"license mit", 62),
@@ -222,4 +268,4 @@ BODIES = (
     ("proprietary", "unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited", 70),
 )
 
-HAND = (*SHORT, *NAMED, *SPDX, *BODIES)
+HAND = (*NAMES, *SHORT, *NAMED, *SPDX, *BODIES)

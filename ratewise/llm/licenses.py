@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, in built-in functions only.
 
-A text becomes its words, joined by single spaces. Rules are regexes over that; each family of rules has a keyword, and
-only rules whose keyword the text contains are tried. A match is an interval of words with its rule's label and
+A text is cut into words, and a hash look-up finds which of the rules' gate words it has; most texts end there. The others
+become their words, joined by single spaces. Rules are regexes over that; each rule has a keyword, and only rules whose
+keyword the text contains are tried. A match is an interval of words with its rule's label and
 priority. A match inside another's interval is suppressed where the other has the higher priority, or the same and a longer
 interval; the labels of what remains are the result. A place of a base phrase always counts.
 """
@@ -16,42 +17,8 @@ from ratewise.llm.license_signatures import HAND
 
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Licenses by (label, keyword, names as regexes, versions); the rules below come from these.
-FAMILIES = (
-    ("mit", "mit", ("mit", "mit expat", "x11 mit"), ("", "0")),
-    ("apache", "apache", ("apache", "apache software", "asf apache"), ("", "1 0", "1 1", "2 0")),
-    ("gpl", "general public", ("general public", "gnu general public"), ("", "1", "2", "3", "1 0", "2 0", "3 0")),
-    ("lgpl", "lesser general", ("lesser general public", "gnu lesser general public"), ("", "2 1", "3", "3 0")),
-    ("lgpl", "library general", ("library general public", "gnu library general public"), ("", "2", "2 0")),
-    ("agpl", "affero", ("affero general public", "gnu affero general public"), ("", "1", "3", "3 0")),
-    ("bsd", "bsd", ("bsd", "new bsd", "modified bsd", "simplified bsd", "(?:2|3|4) clause bsd", "bsd (?:2|3|4) clause"), ("",)),
-    ("mpl", "mozilla public", ("mozilla public",), ("", "1 0", "1 1", "2 0")),
-    ("epl", "eclipse public", ("eclipse public",), ("", "1 0", "2 0")),
-    ("cddl", "common development", ("common development and distribution",), ("", "1 0", "1 1")),
-    ("cc", "creative commons", ("creative commons", "creative commons attribution", "creative commons attribution (?:share ?alike|no ?derivatives|non ?commercial)"), ("", "1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("isc", "isc", ("isc",), ("",)),
-    ("zlib", "zlib", ("zlib", "zlib libpng"), ("",)),
-    ("boost", "boost", ("boost software",), ("", "1 0")),
-    ("artistic", "artistic", ("artistic", "perl artistic"), ("", "1 0", "2 0")),
-    ("eupl", "european union public", ("european union public",), ("", "1 1", "1 2")),
-    ("osl", "open software", ("open software",), ("", "1 0", "2 1", "3 0")),
-    ("afl", "academic free", ("academic free",), ("", "1 2", "2 1", "3 0")),
-    ("ofl", "open font", ("open font", "sil open font"), ("", "1 0", "1 1")),
-    ("psf", "python", ("python software foundation", "psf python"), ("", "2", "2 0")),
-    ("wtfpl", "wtfpl", ("wtfpl",), ("", "2")),
-    ("unlicense", "unlicense", ("the unlicense",), ("",)),
-    ("fdl", "free documentation", ("free documentation", "gnu free documentation"), ("", "1 1", "1 2", "1 3")),
-    ("odbl", "open database", ("open database",), ("", "1 0")),
-    ("ms-pl", "microsoft", ("microsoft public",), ("",)),
-    ("postgresql", "postgresql", ("postgresql",), ("",)),
-    ("openssl", "openssl", ("openssl",), ("",)),
-    ("php", "php", ("php",), ("", "3 0", "3 01")),
-    ("ruby", "ruby", ("ruby",), ("",)),
-    ("vim", "vim", ("vim",), ("",)),
-)
 #: Longer signatures written by hand: (label, keyword, regex, priority).
 SIGNATURES = (
     ("mit", "hereby granted free", r"permission is hereby granted free of charge to any person obtaining a copy", 90),
@@ -71,20 +38,18 @@ SIGNATURES = (
 )
 
 
+#: Words too common to gate a keyword that has another one.
+_COMMON = {"the", "do", "what", "under", "any", "of", "in", "with", "as", "along", "provided", "without"}
+
+
 def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, regex, priority): for each name and version of a family the forms `NAME license VERSION`, `VERSION NAME license`
-    and `licensed under NAME`; a longer name or a version ranks higher. The rules written by hand follow."""
-    out = []
-    for label, keyword, names, versions in FAMILIES:
-        for name in names:
-            for version in versions:
-                rank = 50 + 2 * name.count(" ") + (4 if version else 0)
-                tail = rf"(?: version)? v?{version}" if version else ""
-                out.append((label, keyword, rf"{name} (?:public )?licen[cs]e{tail}", rank))
-                if version:
-                    out.append((label, keyword, rf"{name} v?{version} licen[cs]e", rank))
-            out.append((label, keyword, rf"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", 55))
-    return [*out, *SIGNATURES, *HAND]
+    """(label, keyword, regex, priority), all written by hand."""
+    return [*SIGNATURES, *HAND]
+
+
+def gate_word(keyword: str) -> str:
+    """The word of a keyword that a text is asked for first: the longest, common ones last."""
+    return max(keyword.split(), key=lambda w: (w not in _COMMON, len(w)))
 
 
 _HIT = "struct<first:int,last:int,priority:int,label:string>"
@@ -94,7 +59,7 @@ def _groups() -> Column:
     by_keyword: dict[str, list] = {}
     for label, keyword, regex, priority in rules():
         by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(rf"(?<= ){regex}(?= )").alias("regex"), F.lit(priority).alias("priority")))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
+    return F.array(*[F.struct(F.lit(gate_word(k)).alias("gate"), F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
 
 
 def _word_count(piece: Column) -> Column:
@@ -102,9 +67,10 @@ def _word_count(piece: Column) -> Column:
     return F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit("")))
 
 
-def _hits(text: Column) -> Column:
-    """All matches in a text of words, each with one blank before and after it."""
-    tried = F.flatten(F.transform(F.filter(_groups(), lambda g: F.contains(text, F.concat(F.lit(" "), g["keyword"], F.lit(" ")))), lambda g: g["rules"]))
+def _hits(text: Column, present: Column) -> Column:
+    """All matches in a text of words, each with one blank before and after it; present: the gate words that the text has."""
+    open_ = lambda g: F.array_contains(present, g["gate"]) & F.contains(text, F.concat(F.lit(" "), g["keyword"], F.lit(" ")))
+    tried = F.flatten(F.transform(F.filter(_groups(), open_), lambda g: g["rules"]))
 
     def of(rule):
         found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
@@ -128,15 +94,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     the highest priority over 100, else 0. hits: the matches left, as word intervals. A null text is empty; repeated
     rows are scanned each; an empty table gives an empty result. Nothing is shuffled.
     """
-    text = common.ascii_lower(F.coalesce(docs[text_col], F.lit("")))
+    text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("t"))
-    keywords = sorted({k for _, k, _, _ in rules()})  # whole words
-    joined = F.concat(F.lit(" "), F.trim(F.regexp_replace("t", _GAP, " ")), F.lit(" "))
-    counted = rows.select("doc_id", F.regexp_count("t", F.lit(_WORD)).cast("bigint").alias("n_words"), joined.alias("w"))
-    gate = F.lit(False)
-    for k in keywords:
-        gate = gate | F.contains("w", F.lit(f" {k} "))
-    counted = counted.withColumn("w", F.when(gate, F.col("w")))
+    # lower() finds the same words as A-Z alone: it changes no word's ends, and gate words are all ASCII
+    cut = rows.select("doc_id", "t", F.split(F.lower("t"), _GAP, -1).alias("cut"))
+    gates = F.array(*[F.lit(w) for w in sorted({gate_word(k) for _, k, _, _ in rules()})])
+    n_words = F.size("cut") - (F.get("cut", F.lit(0)) == "").cast("int") - ((F.size("cut") > 1) & (F.element_at("cut", -1) == "")).cast("int")
+    gated = cut.select("doc_id", "t", n_words.cast("bigint").alias("n_words"), F.array_intersect("cut", gates).alias("present"))
+    joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(common.ascii_lower(F.col("t")), _GAP, " ")), F.lit(" "))
+    counted = gated.select("doc_id", "n_words", "present", F.when(F.size("present") > 0, joined).alias("w"))
 
     none = F.array().cast("array<int>")
     starts = []
@@ -147,7 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         starts.append(F.when(F.contains("w", F.lit(f" {phrase} ")), places).otherwise(none))
     based = counted.withColumn("words", F.when(F.rlike("w", F.lit("|".join(f" {p} " for p, _ in BASE))), words))
     based = based.withColumn("places", F.array(*[F.coalesce(s, none) for s in starts])).drop("words")
-    matched = based.withColumn("found", F.when(F.col("w").isNotNull(), _hits(F.col("w")))).drop("w")
+    matched = based.withColumn("found", F.when(F.col("w").isNotNull(), _hits(F.col("w"), F.col("present")))).drop("w", "present")
 
     def outranked(x):
         wider = lambda y: (y["first"] <= x["first"]) & (y["last"] >= x["last"])

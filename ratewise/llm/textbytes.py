@@ -16,18 +16,24 @@ _BYTE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint6
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
+#: Bytes of text for which a worker keeps powers.
+KEPT = 1 << 21
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = (32, 9, 10, 11, 12, 13)
 
 
-def _grow(n: int) -> None:
+def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of P and of its inverse; a worker keeps them for up to KEPT bytes of text, longer texts get their own."""
     global _powers, _inverses
-    if len(_powers) < n:
-        n = 1 << (n - 1).bit_length()
-        inverse = pow(_P, -1, 1 << 64)
-        p, q = np.full(n, _P, np.uint64), np.full(n, inverse, np.uint64)
-        p[0] = q[0] = 1
-        _powers, _inverses = np.multiply.accumulate(p), np.multiply.accumulate(q)
+    if len(_powers) >= n:
+        return _powers, _inverses
+    n = 1 << (n - 1).bit_length()
+    p, q = np.full(n, _P, np.uint64), np.full(n, pow(_P, -1, 1 << 64), np.uint64)
+    p[0] = q[0] = 1
+    p, q = np.multiply.accumulate(p), np.multiply.accumulate(q)
+    if n <= KEPT:
+        _powers, _inverses = p, q
+    return p, q
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +84,10 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every slice."""
-    _grow(len(buf) + 1)
+    powers, inverses = _powers_for(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _powers[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _inverses[starts]
+    np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverses[starts]
     return mixed(h + (ends - starts).astype(np.uint64))
 
 

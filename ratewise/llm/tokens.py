@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a table of the pieces already seen.
 
 White space splits a text into pieces whose ids do not depend on their neighbours; each distinct piece is encoded
-once by the library and looked up afterwards by its 64-bit hash. A text with white space outside of ASCII, where a
+once by the library and looked up afterwards by its 64-bit hash (pieces with equal hashes would be taken for each other;
+among a worker's MOST_PIECES pieces that is less likely than one in ten million). A text with white space outside of ASCII, where a
 byte-level vocabulary's pieces could depend on their neighbours, is encoded whole, and so is a text that holds the string of
 one of the vocabulary's added tokens (in any case where the library looks for it in the normalised text): the library makes one id of it.
 """
@@ -18,8 +19,10 @@ import pyarrow.compute as pc
 
 from ratewise.llm import textbytes
 
-#: Distinct pieces that a worker remembers; beyond, the table starts anew.
-MOST_PIECES = 1_500_000
+#: Distinct pieces that a worker remembers (about 40 bytes each); beyond, the table starts anew.
+MOST_PIECES = 600_000
+#: Pieces that the library encodes at a time; each takes it about a kilobyte.
+_AT_ONCE = 8192
 #: White space outside of ASCII, and ASCII's that does not split pieces.
 _WIDE = r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -52,12 +55,16 @@ class Encoder:
 
     def _learn(self, pieces: list[bytes], hashes: np.ndarray) -> None:
         """hashes: sorted, none of them known."""
-        rows = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, rows), np.int32, len(rows))
-        total = int(lengths.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(rows), np.uint32, total)
+        lengths = np.empty(len(pieces), np.int32)
+        total = 0
+        for i in range(0, len(pieces), _AT_ONCE):
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces[i : i + _AT_ONCE]], add_special_tokens=False)]
+            lengths[i : i + _AT_ONCE] = list(map(len, rows))
+            more = int(lengths[i : i + _AT_ONCE].sum())
+            while self.used + total + more > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[self.used + total : self.used + total + more] = np.fromiter(chain.from_iterable(rows), np.uint32, more)
+            total += more
         starts = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
         self.used += total
         at = np.searchsorted(self.hash, hashes)
