@@ -1,11 +1,12 @@
 """Exact deduplication by an extendible-hash index in the shared folder.
 
-1. Every row's digest and 60-bit key go to a small table of the shared folder.
-2. The directory: keys fall by their leading bits into cells; a bucket with more than `bucket_keys` distinct keys is
-   split on its next bit, which doubles the directory whenever the bucket is as deep as the directory. Directory
-   slots are bounded by 2**MAX_DEPTH; a bucket of that depth just holds more keys.
-3. Texts, first reduced within each input partition (one row for each distinct text), go to owner tasks. An owner has
-   a range of buckets, reads them in key order as a stream, chains the texts of equal digest and compares their bytes.
+1. Every row's digest goes to a small table of the shared folder.
+2. The directory: digests fall by their leading 16 bits into cells; a bucket with more than `bucket_keys` distinct digests is
+   split on its next bit, which doubles the directory whenever the bucket is as deep as the directory. Directory slots are
+   bounded by 2**MAX_DEPTH; a bucket of that depth holds more digests instead, which only makes its owner's stream longer.
+3. Texts, first reduced within each input partition (one row for each distinct text), go to owner tasks. An owner has a
+   range of buckets, several on average, so that a full bucket is split rather than its owner overloaded. It reads them in
+   order of digest as a stream, chains the texts of equal digest and compares their bytes.
 4. The resolved index is written to the shared folder and joined back to the digests.
 
 Only step 3 moves texts, once. A text that a third of all rows have reaches its owner as one row for each input
@@ -22,8 +23,12 @@ from ratewise.llm import common
 
 #: The directory never has more slots than 2**MAX_DEPTH.
 MAX_DEPTH = 16
-#: Distinct keys of a bucket before it is split.
+#: Distinct digests of a bucket before it is split, at most.
 BUCKET_KEYS = 50_000
+#: Buckets of an owner, about: a bucket also is split where owners would have fewer.
+BUCKETS_OF_OWNER = 8
+#: Bytes of texts that an owner reads, about.
+OWNER_BYTES = 128 << 20
 #: Bytes of texts that a task holds while it reduces its own partition.
 HELD_BYTES = 48 << 20
 
@@ -119,12 +124,26 @@ def _resolved(batches):
         yield batch_of()
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, digest_digits: int = 64) -> DataFrame:
+def owners_of(slots: list[tuple[int, int]], cells: dict[int, int], depth: int, owners: int, max_depth: int = MAX_DEPTH) -> dict[tuple[int, int], int]:
+    """The owner of each bucket: ranges of buckets in order of their prefixes, cut where the digests so far pass an even share."""
+    width = 1 << (max_depth - depth)
+    held = dict.fromkeys(slots, 0)
+    for cell, n in cells.items():
+        held[slots[cell // width]] += n
+    total, before, out = max(1, sum(held.values())), 0, {}
+    for bucket, n in held.items():
+        out[bucket] = min(owners - 1, (2 * before + n) * owners // (2 * total))
+        before += n
+    return out
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int | None = None, digest_digits: int = 64) -> DataFrame:
     """Groups of equal normalised texts: one row for each input row.
 
     Columns: doc_id, keep_id (smallest id of the group; null ids count as largest), group_size long, kept boolean,
-    text_sha256, bucket_depth. A null text is an empty text. Rows that repeat the kept row's id in one group are all
-    marked kept; `deduplicated` keeps one of them. An empty table gives an empty result. Other columns are ignored.
+    text_sha256. A null text is an empty text. Rows that repeat the kept row's id in one group are all marked kept;
+    `deduplicated` keeps one of them. An empty table gives an empty result. Other columns are ignored. bucket_keys: digests
+    of a bucket before it is split; without it, BUCKET_KEYS or as few as give an owner its number of buckets.
     digest_digits shortens the digest, so that tests meet texts that share one.
     """
     spark = docs.sparkSession
@@ -132,39 +151,37 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sha = F.sha2(norm.cast("binary"), 256)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), norm.alias("norm"), sha.alias("text_sha256"))
     rows = rows.withColumn("digest", F.substring("text_sha256", 1, digest_digits))
-    cell = F.conv(F.substring(F.col("text_sha256"), 1, MAX_DEPTH // 4), 16, 10).cast("int") if digest_digits >= MAX_DEPTH // 4 else F.lit(0)
-    digests = common.staged(rows.select("doc_id", "text_sha256", "digest", cell.alias("cell")), "dedup-digests")
-
-    cells = digests.select("cell", "digest").distinct().groupBy("cell").count().collect()  # at most 2**MAX_DEPTH rows
-    depth, slots = directory({r["cell"]: r["count"] for r in cells}, bucket_keys)
-    buckets = list(dict.fromkeys(slots))
-    owners = max(1, common.shuffle_partitions(spark))
-    owner_of = {b: i * owners // len(buckets) for i, b in enumerate(buckets)} if len(buckets) >= owners else None
+    cell = F.conv(F.rpad(F.substring("digest", 1, MAX_DEPTH // 4), MAX_DEPTH // 4, "0"), 16, 10).cast("int")
+    digests = common.staged(rows.select("doc_id", "text_sha256", "digest", F.octet_length("norm").alias("bytes")), "dedup-digests")
+
+    distinct = digests.groupBy("digest").agg(F.max("bytes").alias("bytes"))
+    found_cells = distinct.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # at most 2**MAX_DEPTH rows
+    cells = {r["cell"]: r["n"] for r in found_cells}
+    owners = min(1 << MAX_DEPTH, max(common.shuffle_partitions(spark), sum(r["bytes"] for r in found_cells) // OWNER_BYTES))
+    if bucket_keys is None:
+        bucket_keys = max(1, min(BUCKET_KEYS, sum(cells.values()) // (BUCKETS_OF_OWNER * owners)))
+    depth, slots = directory(cells, bucket_keys)
+    owner = owners_of(slots, cells, depth, owners)
     width = 1 << (MAX_DEPTH - depth)
-
-    def owner(c: int) -> int:  # fewer buckets than owners: an owner has a range of one bucket's cells
-        return owner_of[slots[c // width]] if owner_of else c * owners >> MAX_DEPTH
-
-    plan = spark.createDataFrame([(c, owner(c), slots[c // width][1]) for c in range(1 << MAX_DEPTH)], "cell int, owner int, bucket_depth int")
+    plan = spark.createDataFrame([(c, owner[slots[c // width]]) for c in range(1 << MAX_DEPTH)], "cell int, owner int")
 
     entries = rows.select("doc_id", "norm", "digest").mapInArrow(lambda it: _reduced(it, HELD_BYTES), "digest string, norm string, first_id long, rows long")
-    entry_cell = F.conv(F.substring("digest", 1, MAX_DEPTH // 4), 16, 10).cast("int") if digest_digits >= MAX_DEPTH // 4 else F.lit(0)
-    owned = entries.withColumn("cell", entry_cell).join(F.broadcast(plan.select("cell", "owner")), "cell")
-    resolved = owned.repartition(owners, "owner").sortWithinPartitions("digest").select("digest", "norm", "first_id", "rows").mapInArrow(_resolved, "digest string, place int, chained string, keep_id long, group_size long")
+    owned = entries.withColumn("cell", cell).join(F.broadcast(plan), "cell")  # 2**MAX_DEPTH rows
+    resolved = owned.repartitionById(owners, F.col("owner")).sortWithinPartitions("digest").select("digest", "norm", "first_id", "rows").mapInArrow(_resolved, "digest string, place int, chained string, keep_id long, group_size long")
     index = common.staged(resolved, "dedup-index")
 
     single = index.filter("chained is null").select("digest", "keep_id", "group_size")
-    found = digests.join(single, "digest")
+    found = digests.select("digest", "doc_id", "text_sha256").join(single, "digest")
     if not index.filter("chained is not null").isEmpty():
         chains = index.filter("chained is not null")
-        found = found.unionByName(rows.join(chains, (rows["digest"] == chains["digest"]) & (F.col("norm") == F.col("chained"))).select(rows["digest"], "doc_id", "text_sha256", F.lit(None).cast("int").alias("cell"), "keep_id", "group_size"))
+        found = found.unionByName(rows.join(chains, (rows["digest"] == chains["digest"]) & (F.col("norm") == F.col("chained"))).select(rows["digest"], "doc_id", "text_sha256", "keep_id", "group_size"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with one row of each group of equal texts (the smallest id) and all its columns.
 
-    Where an id repeats within a group, the first of its rows by source partition stays.
+    Where the smallest id repeats within a group, one of its rows stays, whichever.
     """
     groups = exact_groups(docs, id_col, text_col)
     kept = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()

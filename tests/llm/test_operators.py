@@ -144,6 +144,32 @@ def test_texts_that_share_a_digest_are_told_apart(docs):
     assert key(exact_dedup.exact_groups(docs, digest_digits=1, bucket_keys=2)) == key(exact_dedup.exact_groups(docs))
 
 
+def test_directory_doubles():
+    """Full buckets split on their next bit, shallow ones share slots; owners have ranges of buckets of even weight."""
+    cells = {c: 1 for c in range(0, 1 << 16, 64)} | {c: 50 for c in range(8)}
+    depth, slots = exact_dedup.directory(cells, 60)
+    assert len(slots) == 1 << depth and depth > 5
+    held = Counter()
+    for cell, n in cells.items():
+        held[slots[cell >> (16 - depth)]] += n
+    assert max(held.values()) <= 60 and len({d for _, d in slots}) > 3  # buckets of several depths
+    for i, (prefix, local) in enumerate(slots):
+        assert prefix == i >> (depth - local)
+    owner = exact_dedup.owners_of(slots, cells, depth, 10)
+    order = [owner[b] for b in dict.fromkeys(slots)]
+    assert order == sorted(order) and set(order) == set(range(10))
+    weight = Counter()
+    for b, n in held.items():
+        weight[owner[b]] += n
+    assert max(weight.values()) < 2 * sum(weight.values()) / 10
+    assert exact_dedup.directory({}, 5) == (0, [(0, 0)])
+
+
+def test_dedup_runs_through_a_deep_directory(docs):
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(exact_dedup.exact_groups(docs, bucket_keys=3)) == key(exact_dedup.exact_groups(docs, bucket_keys=10**6))
+
+
 def test_mix_meets_targets(docs, table):
     got = mixing.mix(docs).toPandas().set_index("doc_id")
     words = table.set_index("doc_id").text.map(lambda t: len(WORD.findall(t or "")))
