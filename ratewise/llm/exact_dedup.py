@@ -30,7 +30,7 @@ BUCKETS_OF_OWNER = 8
 #: Bytes of texts that an owner reads, about.
 OWNER_BYTES = 128 << 20
 #: Bytes of texts that a task holds while it reduces its own partition.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 16 << 20
 
 
 def normalised(text):
@@ -62,11 +62,14 @@ def _reduced(batches, held_bytes: int):
     size = 0
 
     def flush():
-        rows = [(d, *e) for d, chain in held.items() for e in chain]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
-            names=["digest", "norm", "first_id", "rows"],
-        )
+        every = [(d, *e) for d, chain in held.items() for e in chain]
+        held.clear()
+        for i in range(0, len(every), 1000):
+            rows = every[i : i + 1000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
+                names=["digest", "norm", "first_id", "rows"],
+            )
 
     for batch in batches:
         for doc_id, norm, digest in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -81,11 +84,9 @@ def _reduced(batches, held_bytes: int):
                 chain.append([norm, doc_id, 1])
                 size += len(norm) + 200
             if size > held_bytes:
-                yield flush()
-                held.clear()
+                yield from flush()
                 size = 0
-    if held:
-        yield flush()
+    yield from flush()
 
 
 def _resolved(batches):

@@ -27,11 +27,13 @@ from ratewise.llm import common, components, textbytes
 COUNTERS = 1 << 18
 _SLICES = 16
 #: Members of an index list in one block, about; a shorter list is one block.
-BLOCK = 256
+BLOCK = 1024
 #: Sets of a group in which open pairs meet, about.
 GROUP = 512
 #: A set's list entries beyond the least number are this part of its shingles.
 SLACK = 20
+#: Pairs of members that a task looks at in the lists of one leader, about.
+LOOKED_AT = 40_000_000
 #: Pairs that a task holds before it hands them on.
 _HELD = 1 << 19
 _NODE = np.uint64(0x9E3779B97F4A7C15)
@@ -180,34 +182,42 @@ def _between(batch, percent: int):
         yield na[i], ga[i], nb[j], gb[j]
 
 
-def _grouped_pairs(found) -> pa.RecordBatch:
-    """Each pair once, in one row for each pair of groups: the lower group first, within a group the lower node."""
+def _merged(found) -> list[np.ndarray]:
+    """Each pair once: x, y, gx, gy, the lower group first, within a group the lower node."""
     x, gx, y, gy = (np.concatenate(c) for c in zip(*found, strict=True))
     turn = (gx > gy) | ((gx == gy) & (x > y))
     x, y, gx, gy = np.where(turn, y, x), np.where(turn, x, y), np.where(turn, gy, gx), np.where(turn, gx, gy)
-    order = np.lexsort((y, x, gy, gx))
-    x, y, gx, gy = (v[order] for v in (x, y, gx, gy))
-    apart = (gx[1:] != gx[:-1]) | (gy[1:] != gy[:-1])
-    new = np.append(True, apart | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-    first = np.append(True, apart)[new]
-    x, y, gx, gy = (v[new] for v in (x, y, gx, gy))
-    at = np.flatnonzero(first)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    return [x[new], gx[order][new], y[new], gy[order][new]]
+
+
+def _by_groups(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each pair of groups, with its pairs."""
+    order = np.lexsort((pairs[3], pairs[1]))
+    x, gx, y, gy = (v[order] for v in pairs)
+    at = np.flatnonzero(np.append(True, (gx[1:] != gx[:-1]) | (gy[1:] != gy[:-1])))
     offsets = pa.array(np.append(at, len(x)).astype(np.int32))
     return _batch(ga=pa.array(gx[at]), gb=pa.array(gy[at]), xs=pa.ListArray.from_arrays(offsets, pa.array(x)), ys=pa.ListArray.from_arrays(offsets, pa.array(y)))
 
 
 def _opened(batches, percent: int, pairs_of):
+    """Open pairs, each once among those that a task holds."""
     found, held = [], 0
     for batch in batches:
         for pairs in pairs_of(batch, percent):
             if len(pairs[0]):
                 found.append(pairs)
                 held += len(pairs[0])
-            if held > _HELD:
-                yield _grouped_pairs(found)
-                found, held = [], 0
+            if held > 2 * _HELD:
+                found = [_merged(found)]
+                held = len(found[0][0])
+                if held > _HELD:
+                    yield _by_groups(found[0])
+                    found, held = [], 0
     if found:
-        yield _grouped_pairs(found)
+        yield _by_groups(_merged(found))
 
 
 def _packed_sets(batches, size: int):
@@ -340,15 +350,15 @@ def _order(measured: DataFrame):
 def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
     """ga, gb, xs, ys: pairs that size and position leave open, from list entries (token, node, pos, n)."""
     lists = kept.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2"), F.min("node").alias("leader")).filter("members > 1")
-    lists = lists.groupBy("members", "m1", "m2", "leader").agg(F.min("token").alias("token")).select("token", "members", "leader")  # of lists with the same members, one
+    lists = common.staged(lists.groupBy("members", "m1", "m2", "leader").agg(F.min("token").alias("token")).select("token", "members", "leader"), "set-lists")  # of lists with the same members, one
     shared = common.staged(kept.join(lists, "token"), "set-shared")
-    leaders = common.staged(shared.groupBy("node").agg(F.min("leader").alias("leader")), "set-leaders")
-    parts = leaders.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    placed = leaders.join(parts, "leader").select("node", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
-    shared = shared.drop("leader").join(placed, "node")
+    leaders = common.staged(shared.groupBy("node").agg(F.min("leader").alias("least")), "set-leaders")
+    parts = leaders.groupBy("least").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    placed = leaders.join(parts, "least").select("node", F.xxhash64("least", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    shared = shared.join(placed, "node")
     apart = lambda c: F.when(F.col("members") > BLOCK, c.cast("int")).otherwise(0)
     keys = [apart(F.floor(F.log("n") / F.lit(float(np.log(1.25))))).alias("bn"), apart(F.floor(F.col("pos") * 20 / F.col("n"))).alias("bp"), apart(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).alias("bh")]
-    blocks = shared.groupBy("token", "members", *keys).agg(F.collect_list(F.struct("node", "n", "pos", "block")).alias("e"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    blocks = shared.groupBy("token", "members", "leader", *keys).agg(F.collect_list(F.struct("node", "n", "pos", "block")).alias("e"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     blocks = common.staged(blocks.withColumn("at", F.struct("bn", "bp", "bh")), "set-blocks")
 
     def side(s: str) -> list[Column]:
@@ -356,16 +366,21 @@ def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
 
     schema = "ga long, gb long, xs array<long>, ys array<long>"
     tasks = common.shuffle_partitions(kept.sparkSession)  # few bytes, much work: not to be left to their size
-    short = blocks.filter(F.col("members") <= BLOCK).select(*side("a")).repartition(tasks).mapInArrow(lambda it: _opened(it, percent, _within), schema)
+    # lists of one leader hold much the same pairs: where they are opened together, a pair is handed on once
+    shares = lists.groupBy("leader").agg(F.ceil(F.sum(F.least("members", F.lit(BLOCK)).cast("double") ** 2) / (2 * LOOKED_AT)).cast("int").alias("shares"))
+    short = blocks.filter(F.col("members") <= BLOCK).join(shares, "leader").withColumn("share", F.pmod(F.xxhash64("token"), F.col("shares")))
+    short = short.select("leader", "share", *side("a")).repartition(tasks, "leader", "share").mapInArrow(lambda it: _opened(it, percent, _within), schema)
     c = F.col
     bounds = ("n0", "n1", "p0", "p1", "at")
-    a, b = (blocks.filter(F.col("members") > BLOCK).select("token", *side(s), *[F.col(x).alias(f"{x}_{s}") for x in bounds]) for s in "ab")
+    a, b = (blocks.filter(F.col("members") > BLOCK).select("token", *(["leader"] if s == "a" else []), *side(s), *[F.col(x).alias(f"{x}_{s}") for x in bounds]) for s in "ab")
     sized = (c("n1_a") * 100 >= c("n0_b") * percent) & (c("n1_b") * 100 >= c("n0_a") * percent)
     # the most a pair of these blocks can share, against the least that a link of the smallest sizes needs
     most = F.least("p1_a", "p1_b") + 1 + F.least(c("n1_a") - c("p0_a") - 1, c("n1_b") - c("p0_b") - 1)
     room = most >= F.ceil(percent * (c("n0_a") + c("n0_b")) / (100 + percent))
     met = a.join(b, "token").filter((c("at_a") <= c("at_b")) & sized & room)
-    long = met.select(*[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")]).repartition(tasks).mapInArrow(lambda it: _opened(it, percent, _between), schema)
+    kinds = ("at_a.bn", "at_a.bh", "at_b.bn", "at_b.bh")
+    long = met.select("leader", *[F.col(k).alias(k.replace(".", "_")) for k in kinds], *[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")])
+    long = long.repartition(tasks, "leader", *[k.replace(".", "_") for k in kinds]).mapInArrow(lambda it: _opened(it, percent, _between), schema)
     return common.staged(short.unionByName(long), "set-pairs")
 
 
