@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.features import clip_probability, logit
-from ratewise.operators import evaluation
+from ratewise.operators import evaluation, ranking, splits
 
 
 def _logits(df: DataFrame, score: str) -> DataFrame:
@@ -72,10 +72,13 @@ def select_calibrator(metrics: DataFrame) -> DataFrame:
 
 
 def check_monotone(df: DataFrame, before: str, after: str, slack: float = 1e-12) -> DataFrame:
-    """One row: places where the score after falls as the one before rises. Windows run over distinct scores only."""
+    """One row: places where the score after falls as the one before rises. Distinct scores are compared within ranges, and ranges with one another."""
     pairs = df.groupBy(F.col(before).alias("b")).agg(F.min(after).alias("low"), F.max(after).alias("high"))
-    last = F.lag("high").over(Window.orderBy("b"))
-    return pairs.withColumn("fell", F.col("low") < last - slack).agg(F.count_if("fell").alias("falls"))
+    pairs = pairs.withColumn("r", ranking.range_of(pairs, "b"))
+    fell = F.col("low") < F.lag("high").over(Window.partitionBy("r").orderBy("b")) - slack
+    inside = pairs.withColumn("fell", fell).groupBy("r").agg(F.count_if("fell").alias("falls"), F.min_by("low", "b").alias("first"), F.max_by("high", "b").alias("last"))
+    across = F.col("first") < F.lag("last").over(Window.orderBy("r")) - slack  # one row for each range
+    return inside.withColumn("across", F.coalesce(across, F.lit(False)).cast("int")).agg((F.coalesce(F.sum("falls"), F.lit(0)) + F.coalesce(F.sum("across"), F.lit(0))).alias("falls"))
 
 
 def probability_of_one(df: DataFrame, vector: str = "probability", out: str = "score") -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.features import clip_probability
+from ratewise.operators import ranking
 from ratewise.operators.rates import rate
 
 
 def by_score(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
-    """Distinct scores with rows n, clicks c and the rows and clicks above (n_above, c_above)."""
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("c"))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumns({"n_above": F.coalesce(F.sum("n").over(above), F.lit(0)), "c_above": F.coalesce(F.sum("c").over(above), F.lit(0))})
+    """Distinct scores of labelled rows with rows n, clicks c and the rows and clicks above (n_above, c_above)."""
+    counts = df.dropna(subset=[label]).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("c"))
+    return ranking.with_running(counts, "s", ["n", "c"], descending=True).withColumnsRenamed({"n_before": "n_above", "c_before": "c_above"})
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
@@ -37,14 +37,41 @@ def probability_metrics(df: DataFrame, score: str = "score", label: str = "click
     return x.withColumn("calibration_gap", F.abs(F.col("mean_score") - F.col("actual_rate")))
 
 
+def confusion(df: DataFrame, threshold: float = 0.5, score: str = "score", label: str = "click") -> DataFrame:
+    """One row at one threshold (score >= threshold selects): tp, fp, tn, fn, accuracy, precision, recall, f1, and the share selected; undefined rates are 0. Rows without a label are left out."""
+    hit, y = F.col(score) >= threshold, F.col(label) == 1
+    x = df.dropna(subset=[label]).agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~F.coalesce(hit, F.lit(False)) & ~y).alias("tn"), F.count_if(~F.coalesce(hit, F.lit(False)) & y).alias("fn"))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    every = tp + fp + tn + fn
+    return x.withColumns({"accuracy": rate(tp + tn, every), "precision": rate(tp, tp + fp), "recall": rate(tp, tp + fn), "f1": rate(2 * tp, 2 * tp + fp + fn), "positive_share": rate(tp + fp, every)})
+
+
+#: Coverages of the threshold grid and of the top-K table.
+GRID_COVERAGES = (0.01, 0.02, 0.03, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 0.9)
+TOPK_COVERAGES = (0.01, 0.02, 0.03, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 0.9, 1.0)
+
+
+def threshold_grid(df: DataFrame, score: str = "score") -> DataFrame:
+    """threshold: 0.01 to 0.50 by 0.01, 0.55 to 0.95 by 0.05, the scores at which GRID_COVERAGES of the rows lie above, the smallest and largest score; distinct, in order."""
+    fixed = [round(i / 100, 2) for i in range(1, 51)] + [round(0.55 + 0.05 * i, 2) for i in range(9)]
+    found = ranking.quantiles(df, score, [0.0, *[round(1 - c, 12) for c in reversed(GRID_COVERAGES)], 1.0])
+    every = F.array_sort(F.array_distinct(F.concat(F.array(*[F.lit(x) for x in fixed]), "q")))
+    return found.select(F.explode(every).alias("threshold"))
+
+
+#: Columns of threshold_metrics besides the threshold and the four counts.
+THRESHOLD_RATES = (
+    "coverage", "precision", "recall", "specificity", "false_positive_rate", "false_negative_rate", "accuracy", "balanced_accuracy", "f1", "npv", "selected_ctr", "unselected_ctr", "overall_ctr", "lift", "capture", "missed", "youden_j")
+
+
 def threshold_metrics(df: DataFrame, grid: list[float], score: str = "score", label: str = "click") -> DataFrame:
-    """Confusion counts and rates for each threshold, score >= threshold being selected; undefined rates are 0.
+    """Confusion counts and rates for each threshold, score >= threshold being selected; undefined rates are null. Rows without a label are left out.
 
     Rows are first counted by the highest threshold that they reach, so the data is read once whatever the grid.
     """
     steps = sorted(grid)
-    level = sum(((F.col(score) >= t).cast("int") for t in steps[1:]), (F.col(score) >= steps[0]).cast("int"))
-    counts = df.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(label).alias("c"))
+    level = sum((F.coalesce(F.col(score) >= t, F.lit(False)).cast("int") for t in steps[1:]), F.coalesce(F.col(score) >= steps[0], F.lit(False)).cast("int"))
+    counts = df.dropna(subset=[label]).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(label).alias("c"))
     per = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(steps)])
     rows = counts.select("level", "n", "c", F.inline(per))
     hit = F.col("level") >= F.col("i")
@@ -53,20 +80,25 @@ def threshold_metrics(df: DataFrame, grid: list[float], score: str = "score", la
         F.sum(F.when(hit, F.col("c")).otherwise(zero)).alias("tp"), F.sum(F.when(hit, F.col("n") - F.col("c")).otherwise(zero)).alias("fp"),
         F.sum(F.when(~hit, F.col("n") - F.col("c")).otherwise(zero)).alias("tn"), F.sum(F.when(~hit, F.col("c")).otherwise(zero)).alias("fn"))
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    x = x.withColumns({"coverage": rate(tp + fp, tp + fp + tn + fn), "precision": rate(tp, tp + fp), "recall": rate(tp, tp + fn), "specificity": rate(tn, tn + fp), "f1": rate(2 * tp, 2 * tp + fp + fn)})
-    return x.withColumns({"lift": F.coalesce(F.try_divide(F.col("precision"), rate(tp + fn, tp + fp + tn + fn)), F.lit(0.0)), "youden_j": F.col("recall") + F.col("specificity") - 1})
+    every = tp + fp + tn + fn
+    ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    x = x.withColumns({
+        "positive_rows": tp + fn, "negative_rows": fp + tn, "selected_rows": tp + fp, "coverage": ratio(tp + fp, every), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp),
+        "false_positive_rate": ratio(fp, fp + tn), "false_negative_rate": ratio(fn, fn + tp), "accuracy": ratio(tp + tn, every), "f1": ratio(2 * tp, 2 * tp + fp + fn), "npv": ratio(tn, tn + fn),
+        "selected_ctr": ratio(tp, tp + fp), "unselected_ctr": ratio(fn, fn + tn), "overall_ctr": ratio(tp + fn, every), "capture": ratio(tp, tp + fn), "missed": ratio(fn, tp + fn)})
+    return x.withColumns({"balanced_accuracy": (F.col("recall") + F.col("specificity")) / 2, "lift": F.try_divide(F.col("precision"), F.col("overall_ctr")), "youden_j": F.col("recall") + F.col("specificity") - 1})
 
 
 def best_f1(thresholds: DataFrame) -> DataFrame:
-    return thresholds.orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
+    return thresholds.orderBy(F.desc_nulls_last("f1"), F.desc("threshold")).limit(1)
 
 
 def with_score_rank(df: DataFrame, score: str = "score", id_col: str = "id") -> DataFrame:
-    """rank from 1 by score (descending) and id, and rows. Ranks of a score start where the scores above end; only ties of one score share a window."""
+    """rank from 1 by score (descending) and id, total (all rows), rank_share and decile. Ranks of a score start where the scores above end; ties of one score are ordered in ranges of the id."""
     starts = by_score(df.withColumn("_one", F.lit(1)), score, "_one").select(F.col("s").alias("_s"), "n_above")
     one = df.agg(F.count("*").alias("total"))
-    within = F.row_number().over(Window.partitionBy(score).orderBy(id_col))
-    return df.join(starts, df[score] == F.col("_s")).withColumn("rank", F.col("n_above") + within).join(F.broadcast(one)).drop("_s", "n_above")
+    placed = ranking.with_place(df, score, id_col, "_place").join(starts, F.col(score).eqNullSafe(F.col("_s"))).withColumn("rank", F.col("n_above") + F.col("_place")).join(F.broadcast(one))
+    return placed.drop("_s", "n_above", "_place").withColumns({"rank_share": F.col("rank") / F.col("total"), "decile": group_of_rank(F.col("rank"), F.col("total"), 10)})
 
 
 def group_of_rank(rank: Column, total: Column, groups: int) -> Column:
@@ -76,28 +108,33 @@ def group_of_rank(rank: Column, total: Column, groups: int) -> Column:
     return F.when(rank <= cut, F.ceil(rank / (few + 1))).otherwise(more + F.ceil((rank - cut) / F.greatest(few, F.lit(1)))).cast("int")
 
 
-def topk_metrics(df: DataFrame, coverages: list[float], score: str = "score", label: str = "click", id_col: str = "id") -> DataFrame:
-    """For each coverage its max(1, ceil(n * coverage)) best rows: clicks, cutoff, rate, lift and capture."""
+def topk_metrics(df: DataFrame, coverages=TOPK_COVERAGES, score: str = "score", label: str = "click", id_col: str = "id") -> DataFrame:
+    """For each coverage its max(1, ceil(n * coverage)) best rows: clicks, cutoff, rate, lift, capture, gain (capture over coverage), clicks expected of as many random rows, and clicks beyond those."""
     ranked = with_score_rank(df, score, id_col)
     per = F.array(*[F.lit(float(c)) for c in coverages])
     # rows are counted by the smallest coverage that takes them, then summed upwards
     need = F.filter(per, lambda c: F.greatest(F.lit(1), F.ceil(F.col("total") * c)) >= F.col("rank"))
-    cells = ranked.withColumn("least", F.array_min(need)).groupBy("least").agg(F.count("*").alias("n"), F.sum(label).alias("c"), F.min(score).alias("low"))
-    whole = df.agg(F.count("*").alias("total"), F.sum(label).alias("clicks_total"))
+    cells = ranked.withColumn("least", F.array_min(need)).groupBy("least").agg(F.count("*").alias("n"), F.sum(label).alias("c"), F.min(score).alias("low"), F.max("total").alias("total"))
     rows = cells.withColumn("coverage", F.explode(F.filter(per, lambda c: c >= F.col("least"))))
+    whole = cells.agg(F.max("total").alias("_all"), F.sum("c").alias("_clicks")) if max(coverages) >= 1 else df.agg(F.count("*").alias("_all"), F.sum(label).alias("_clicks"))
     x = rows.groupBy("coverage").agg(F.sum("n").alias("rows"), F.sum("c").alias("clicks"), F.min("low").alias("cutoff")).join(F.broadcast(whole))
-    x = x.withColumns({"ctr": rate(F.col("clicks"), F.col("rows")), "capture": rate(F.col("clicks"), F.col("clicks_total"))})
-    return x.withColumn("lift", F.coalesce(F.try_divide(F.col("ctr"), rate(F.col("clicks_total"), F.col("total"))), F.lit(0.0))).drop("total", "clicks_total")
+    x = x.withColumns({"ctr": rate(F.col("clicks"), F.col("rows")), "capture": rate(F.col("clicks"), F.col("_clicks")), "expected_clicks": rate(F.col("rows") * F.col("_clicks"), F.col("_all"))})
+    lift = F.coalesce(F.try_divide(F.col("ctr"), rate(F.col("_clicks"), F.col("_all"))), F.lit(0.0))
+    return x.withColumns({"lift": lift, "gain": F.try_divide(F.col("capture"), F.col("rows") / F.col("_all")), "incremental_clicks": F.col("clicks") - F.col("expected_clicks")}).drop("_all", "_clicks")
 
 
 def score_groups(df: DataFrame, groups: int, ascending: bool, score: str = "score", label: str = "click", id_col: str = "id") -> DataFrame:
-    """Near-equal groups in score order (deciles, calibration bins): rows, clicks, score range and mean, rate, gap."""
+    """Near-equal groups in score order (deciles, calibration bins): rows, clicks, score range and mean, rate, gap, weighted gap, lift, share of clicks, and rows, coverage, clicks and capture up to each group."""
     ranked = with_score_rank(df, score, id_col)
     rank = F.col("total") + 1 - F.col("rank") if ascending else F.col("rank")
     x = ranked.groupBy(group_of_rank(rank, F.col("total"), groups).alias("grp")).agg(
         F.count("*").alias("n_rows"), F.sum(label).alias("clicks"), F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.round(F.avg(score), 9).alias("mean_score"))
-    x = x.withColumn("ctr", rate(F.col("clicks"), F.col("n_rows")))
-    return x.withColumn("gap", F.round(F.abs(F.col("mean_score") - F.col("ctr")), 9))
+    x = x.withColumn("ctr", rate(F.col("clicks"), F.col("n_rows"))).withColumn("gap", F.round(F.abs(F.col("mean_score") - F.col("ctr")), 9))
+    every, upto = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("grp")  # one row for each group
+    rows, clicks = F.sum("n_rows").over(every), F.sum("clicks").over(every)
+    return x.withColumns({
+        "weighted_gap": F.col("gap") * F.col("n_rows") / rows, "lift": F.coalesce(F.try_divide(F.col("ctr"), rate(clicks, rows)), F.lit(0.0)), "click_share": rate(F.col("clicks"), clicks), "cumulative_rows": F.sum("n_rows").over(upto),
+        "cumulative_coverage": rate(F.sum("n_rows").over(upto), rows), "cumulative_clicks": F.sum("clicks").over(upto), "cumulative_capture": rate(F.sum("clicks").over(upto), clicks)})
 
 
 #: The quantiles of a score summary, in percent.
@@ -105,10 +142,60 @@ PERCENTS = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)
 
 
 def score_summary(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
-    """Rows, clicks, rate, mean score and its quantiles, interpolated; one row."""
-    per = F.percentile(score, F.array(*[F.lit(p / 100) for p in PERCENTS]))
-    x = df.agg(F.count("*").alias("n_rows"), F.sum(label).alias("clicks"), F.avg(label).alias("ctr"), F.avg(score).alias("mean_score"), per.alias("_q"))
-    return x.select("n_rows", "clicks", "ctr", "mean_score", *[F.col("_q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS)])
+    """Rows, clicks, rate, mean score and its quantiles, interpolated; AUC, average precision, log loss and Brier score. One row."""
+    per = ranking.quantiles(df, score, [p / 100 for p in PERCENTS])
+    x = df.agg(F.count("*").alias("n_rows"), F.sum(label).alias("clicks"), F.avg(label).alias("ctr"), F.avg(score).alias("mean_score")).join(F.broadcast(per), how="left")
+    for one in (roc_auc(df, score, label), average_precision(df, score, label), probability_metrics(df, score, label).select("log_loss", "brier")):
+        x = x.join(F.broadcast(one))
+    return x.select("n_rows", "clicks", "ctr", "mean_score", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS)], "auc", "average_precision", "log_loss", "brier")
+
+
+def model_metrics(df: DataFrame, name: str, threshold: float = 0.5, features: int | None = None, seconds: float | None = None, score: str = "score", label: str = "click") -> DataFrame:
+    """One row for a scored table: the model's name, rows, confusion at the threshold, AUC, average precision, probability metrics, number of features and seconds; holdout_used is false, as no holdout row is looked at unless given."""
+    x = df.agg(F.lit(name).alias("model"), F.count("*").alias("n_rows"))
+    for one in (confusion(df, threshold, score, label), roc_auc(df, score, label), average_precision(df, score, label), probability_metrics(df, score, label)):
+        x = x.join(F.broadcast(one))
+    return x.withColumns({"feature_count": F.lit(features).cast("int"), "seconds": F.lit(seconds).cast("double"), "holdout_used": F.lit(False)})
+
+
+def compare_models_priority(metrics: DataFrame, base: str) -> DataFrame:
+    """compare_models with the place by AUC, then log loss, then gap, and each model's improvement over the base model."""
+    every = Window.partitionBy(F.lit(0))  # one row for each model
+    x = compare_models(metrics).withColumn("priority_rank", F.row_number().over(every.orderBy(F.desc("auc"), "log_loss", "calibration_gap", "model")))
+    return x.join(relative_improvement(metrics, base), "model").withColumn("is_best", F.col("priority_rank") == 1)
+
+
+def relative_improvement(metrics: DataFrame, base: str) -> DataFrame:
+    """model, and against the base model: auc_gain, auc_gain_percent, log_loss_reduction (and percent), gap_reduction (and percent); null where the base value is 0."""
+    one = metrics.filter(F.col("model") == base).select(*[F.col(c).alias(f"_{c}") for c in ("auc", "log_loss", "calibration_gap")])
+    x = metrics.join(F.broadcast(one))
+    fall = lambda c: F.col(f"_{c}") - F.col(c)
+    percent = lambda v, c: 100 * F.try_divide(v, F.col(f"_{c}"))
+    return x.select(
+        "model", (-fall("auc")).alias("auc_gain"), percent(-fall("auc"), "auc").alias("auc_gain_percent"), fall("log_loss").alias("log_loss_reduction"), percent(fall("log_loss"), "log_loss").alias("log_loss_reduction_percent"),
+        fall("calibration_gap").alias("gap_reduction"), percent(fall("calibration_gap"), "calibration_gap").alias("gap_reduction_percent"))
+
+
+def best_per_metric(metrics: DataFrame) -> DataFrame:
+    """criterion, model, value: the best model by AUC, log loss and gap; ties go to the first name."""
+    goals = {"auc": F.desc("auc"), "log_loss": F.asc("log_loss"), "calibration_gap": F.asc("calibration_gap")}
+    every = Window.partitionBy(F.lit(0))  # one row for each model
+    out = None
+    for c, order in goals.items():
+        x = metrics.withColumn("_r", F.row_number().over(every.orderBy(order, "model"))).filter("_r = 1").select(F.lit(c).alias("criterion"), "model", F.col(c).alias("value"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def strategy_summary(df: DataFrame, method: str, thresholds: DataFrame, score: str = "score", label: str = "click", id_col: str = "id") -> DataFrame:
+    """One row: the selected method, rows, clicks, rate, AUC, average precision, the threshold of largest F1, and rate, lift and capture of the best 1, 5, 10 and 20 percent."""
+    top = topk_metrics(df, (0.01, 0.05, 0.1, 0.2, 1.0), score, label, id_col)
+    cells = [F.max(F.when(F.col("coverage") == c, F.col(m))).alias(f"top_{round(100 * c)}_{m}") for c in (0.01, 0.05, 0.1, 0.2) for m in ("ctr", "lift", "capture")]
+    x = df.agg(F.lit(method).alias("method"), F.count("*").alias("n_rows"), F.sum(label).alias("clicks"), F.avg(label).alias("ctr"))
+    point = best_f1(thresholds).select(F.col("threshold").alias("max_f1_threshold"), F.col("precision").alias("max_f1_precision"), F.col("recall").alias("max_f1_recall"), F.col("f1").alias("max_f1"))
+    for one in (roc_auc(df, score, label), average_precision(df, score, label), point, top.agg(*cells)):
+        x = x.join(F.broadcast(one))
+    return x
 
 
 def compare_models(metrics: DataFrame) -> DataFrame:
@@ -129,6 +216,6 @@ def operating_points(thresholds: DataFrame) -> DataFrame:
     goals = {
         "max_f1": (c("f1"), F.lit(True)), "max_youden_j": (c("youden_j"), F.lit(True)), "recall_80": (c("precision"), c("recall") >= 0.8), "recall_90": (c("precision"), c("recall") >= 0.9),
         "precision_25": (c("recall"), c("precision") >= 0.25), "coverage_10": (-F.abs(c("coverage") - 0.1), F.lit(True)), "coverage_20": (-F.abs(c("coverage") - 0.2), F.lit(True))}
-    best = [F.max(F.when(ok, F.struct(F.round(goal, 12).alias("goal"), "threshold", "precision", "recall", "f1", "coverage"))).alias(n) for n, (goal, ok) in goals.items()]
+    best = [F.max(F.when(ok & goal.isNotNull(), F.struct(F.round(goal, 12).alias("goal"), "threshold", "precision", "recall", "f1", "coverage"))).alias(n) for n, (goal, ok) in goals.items()]
     rows = thresholds.agg(*best).select(F.inline(F.array(*[F.struct(F.lit(n).alias("point"), c(n).alias("x")) for n in goals])))
     return rows.select("point", c("x").isNotNull().alias("feasible"), *[c("x")[k].alias(k) for k in ("threshold", "precision", "recall", "f1", "coverage")])

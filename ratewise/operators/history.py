@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +13,24 @@ from ratewise.operators.rates import rate
 FIRST_PRIOR, SMOOTHING = 0.17, 20.0
 
 
-def apply_mapping(df: DataFrame, mapping: DataFrame, keys: list[str], fills: dict[str, float]) -> DataFrame:
+def apply_mapping(df: DataFrame, mapping: DataFrame, keys: list[str], fills: dict[str, float | None]) -> DataFrame:
     """Left look-up that keeps every row; a null key finds a null key; misses are filled."""
     m = mapping.select(*[F.col(k).alias(f"_m_{k}") for k in keys], *fills)
     on = [df[k].eqNullSafe(m[f"_m_{k}"]) for k in keys]
-    return df.join(m, on, "left").drop(*[f"_m_{k}" for k in keys]).fillna(fills)
+    out = df.join(m, on, "left").drop(*[f"_m_{k}" for k in keys])
+    filled = {c: v for c, v in fills.items() if v is not None}
+    return out.fillna(filled) if filled else out
 
 
 def frequency_map(df: DataFrame, key: str) -> DataFrame:
     return df.dropna(subset=[key]).groupBy(key).agg(F.count("*").alias("frequency"))
 
 
+def save_frequency_map(df: DataFrame, key: str, path: str) -> None:
+    """The frequency map of a key as a table (key, frequency)."""
+    frequency_map(df, key).write.mode("overwrite").parquet(path)
+
+
 def add_frequency(df: DataFrame, fitted_on: DataFrame, key: str) -> DataFrame:
     return apply_mapping(df, frequency_map(fitted_on, key), [key], {"frequency": 0}).withColumnRenamed("frequency", f"{key}_freq")
 
@@ -39,29 +48,82 @@ def history_by_date(daily: DataFrame, key: str, date: str = "date") -> DataFrame
     return past.withColumn("hist_ctr", rate(F.col("hist_clicks"), F.col("hist_impressions")))
 
 
-def with_exposure_percentile(history: DataFrame, date: str = "date") -> DataFrame:
-    """Average rank over count of the keys with impressions, within each date; other keys get 0.
+def with_exposure_percentile(history: DataFrame, by: list[str], column: str = "hist_impressions") -> DataFrame:
+    """Average rank over count of the keys with impressions, within each value of by (a date, or nothing); other keys get 0.
 
     Ranks come from the counts of each distinct number of impressions, so a date with very many keys is no window partition.
     """
-    seen = history.filter("hist_impressions > 0")
-    sizes = seen.groupBy(date, "hist_impressions").agg(F.count("*").alias("_ties"))
-    w = Window.partitionBy(date)
-    upto = F.sum("_ties").over(w.orderBy("hist_impressions").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = sizes.select(date, "hist_impressions", ((upto - (F.col("_ties") - 1) / 2) / F.sum("_ties").over(w)).alias("exposure_percentile"))
-    return history.join(ranks, [date, "hist_impressions"], "left").fillna(0.0, ["exposure_percentile"])
+    sizes = history.filter(F.col(column) > 0).groupBy(*by, column).agg(F.count("*").alias("keys"))
+    return _with_percentile(history, sizes, by, column)
+
+
+def _with_percentile(rows: DataFrame, sizes: DataFrame, by: list[str], column: str) -> DataFrame:
+    """sizes: keys with each number of impressions, for each value of by."""
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row for each number of impressions
+    upto = F.sum("keys").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = sizes.select(*by, column, ((upto - (F.col("keys") - 1) / 2) / F.sum("keys").over(w)).alias("exposure_percentile"))
+    return rows.join(ranks, [*by, column], "left").fillna(0.0, ["exposure_percentile"])
+
+
+def history_where_seen(daily: DataFrame, key: str, date: str = "date") -> DataFrame:
+    """For every (date, key) that occurs: impressions and clicks of the key's earlier dates, their rate, and the key's percentile among all keys seen before.
+
+    Sums run along each key's own dates. What the keys' sums are before a date follows from the changes: a key leaves its
+    last number of impressions and enters a new one; so dates meet numbers of impressions, not keys.
+    """
+    own = Window.partitionBy(key).orderBy(date)  # one row for each date of a key
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    x = daily.select(date, key, F.coalesce(F.sum("impressions").over(before), F.lit(0)).alias("hist_impressions"), F.coalesce(F.sum("clicks").over(before), F.lit(0)).alias("hist_clicks"), F.sum("impressions").over(own).alias("_upto"))
+    moves = x.select(F.col(date).alias("_d"), F.inline(F.array(F.struct(F.col("_upto").alias("hist_impressions"), F.lit(1).alias("_by")), F.struct(F.col("hist_impressions"), F.lit(-1).alias("_by")))))
+    moves = moves.filter("hist_impressions > 0").groupBy("_d", "hist_impressions").agg(F.sum("_by").alias("_by")).filter("_by <> 0")
+    dates = daily.select(date).distinct()  # one row for each date
+    sizes = moves.join(F.broadcast(dates), F.col("_d") < F.col(date)).groupBy(date, "hist_impressions").agg(F.sum("_by").alias("keys")).filter("keys > 0")
+    return _with_percentile(x.drop("_upto"), sizes, [date], "hist_impressions").withColumn("hist_ctr", rate(F.col("hist_clicks"), F.col("hist_impressions")))
+
+
+#: Columns of a key's history, with the values of an unseen key; in a table of rows they carry the key's name in front.
+HISTORY = {"hist_impressions": 0, "hist_clicks": 0, "hist_ctr": 0.0, "exposure_percentile": 0.0}
+
+
+def _named(mapping: DataFrame, key: str, columns) -> DataFrame:
+    return mapping.withColumnsRenamed({c: f"{key}_{c}" for c in columns})
 
 
 def add_history(df: DataFrame, key: str, date: str = "date", label: str = "click") -> DataFrame:
-    """Each row with its key's history before its date; no history gives 0."""
-    past = with_exposure_percentile(history_by_date(daily_key_stats(df, key, date, label), key, date), date)
-    return apply_mapping(df, past, [date, key], {"hist_impressions": 0, "hist_clicks": 0, "hist_ctr": 0.0, "exposure_percentile": 0.0})
+    """Each row with its key's history before its date, in columns KEY_hist_impressions, KEY_hist_clicks, KEY_hist_ctr, KEY_exposure_percentile; no history gives 0."""
+    past = history_where_seen(daily_key_stats(df, key, date, label), key, date)
+    return apply_mapping(df, _named(past, key, HISTORY), [date, key], {f"{key}_{c}": v for c, v in HISTORY.items()})
 
 
 def history_map(df: DataFrame, key: str, label: str = "click") -> DataFrame:
-    """One mapping over a whole split, for the next one."""
+    """One mapping over a whole split, for the next one: key, hist_impressions, hist_clicks, hist_ctr, exposure_percentile."""
     m = df.groupBy(key).agg(F.count(label).alias("hist_impressions"), F.coalesce(F.sum(label), F.lit(0)).cast("bigint").alias("hist_clicks"))
-    return m.withColumn("hist_ctr", rate(F.col("hist_clicks"), F.col("hist_impressions")))
+    return with_exposure_percentile(m, []).withColumn("hist_ctr", rate(F.col("hist_clicks"), F.col("hist_impressions")))
+
+
+def add_history_split(df: DataFrame, earlier: list[DataFrame], key: str, label: str = "click") -> DataFrame:
+    """Rows of a later split with their key's history over all rows of the earlier splits (valid: train; holdout: train and valid); columns as in add_history."""
+    mapping = history_map(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), earlier), key, label)
+    return apply_mapping(df, _named(mapping, key, HISTORY), [key], {f"{key}_{c}": v for c, v in HISTORY.items()})
+
+
+def save_maps(maps: dict[str, DataFrame], path: str) -> None:
+    """Mapping tables (by name: key and window of the history), each in a folder of its own under path."""
+    for name, mapping in maps.items():
+        mapping.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def unseen_ratio(df: DataFrame, keys: list[str]) -> DataFrame:
+    """key, n_rows, unseen_rows, unseen_ratio: rows whose key had no history; one pass."""
+    one = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"{k}_hist_impressions") == 0).alias(f"u{i}") for i, k in enumerate(keys)])
+    x = one.select("n", F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"u{i}").alias("unseen_rows")) for i, k in enumerate(keys)])))
+    return x.select("key", F.col("n").alias("n_rows"), "unseen_rows", rate(F.col("unseen_rows"), F.col("n")).alias("unseen_ratio"))
+
+
+def feature_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, min, max, mean; one pass."""
+    one = df.agg(*[F.struct(F.lit(c).alias("feature"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean")).alias(f"b{i}") for i, c in enumerate(columns)])
+    return one.select(F.inline(F.array(*[f"b{i}" for i in range(len(columns))])))
 
 
 def smoothed_rate(clicks: Column, n: Column, prior: Column, m: float = SMOOTHING) -> Column:
@@ -76,8 +138,24 @@ def priors_by_date(daily: DataFrame, date: str = "date") -> DataFrame:
 
 
 def add_target_encoding(df: DataFrame, key: str, date: str = "date", label: str = "click", m: float = SMOOTHING) -> DataFrame:
-    """Encoding from strictly earlier dates; an unseen key has its date's prior."""
+    """KEY_te, the encoding from strictly earlier dates; an unseen key has its date's prior. Rows without a date have none."""
     daily = daily_key_stats(df, key, date, label)
-    past = history_by_date(daily, key, date)
-    rows = apply_mapping(df, past, [date, key], {"hist_impressions": 0, "hist_clicks": 0}).join(F.broadcast(priors_by_date(daily, date)), date)
-    return rows.withColumn("te", smoothed_rate(F.col("hist_clicks"), F.col("hist_impressions"), F.col("prior"), m)).drop("hist_impressions", "hist_clicks")
+    before = Window.partitionBy(key).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)  # one row for each date of a key
+    past = daily.select(date, key, F.coalesce(F.sum("impressions").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("clicks").over(before), F.lit(0)).alias("_c"))
+    te = past.join(F.broadcast(priors_by_date(daily, date)), date).withColumn(f"{key}_te", smoothed_rate(F.col("_c"), F.col("_n"), F.col("prior"), m))
+    return apply_mapping(df, te, [date, key], {f"{key}_te": None})
+
+
+def te_map(df: DataFrame, key: str, label: str = "click", m: float = SMOOTHING) -> DataFrame:
+    """key, te, prior over a whole split, for the next one; without any labelled row the prior is FIRST_PRIOR."""
+    prior = df.agg(F.coalesce(F.try_divide(F.sum(label).cast("double"), F.count(label)), F.lit(FIRST_PRIOR)).alias("prior"))
+    x = df.groupBy(key).agg(F.count(label).alias("_n"), F.coalesce(F.sum(label), F.lit(0)).alias("_c")).join(F.broadcast(prior))
+    return x.select(key, smoothed_rate(F.col("_c"), F.col("_n"), F.col("prior"), m).alias("te"), "prior")
+
+
+def add_te_split(df: DataFrame, earlier: list[DataFrame], key: str, label: str = "click", m: float = SMOOTHING) -> DataFrame:
+    """Rows of a later split with KEY_te over all rows of the earlier splits; an unseen key has their prior."""
+    past = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), earlier)
+    prior = past.agg(F.coalesce(F.try_divide(F.sum(label).cast("double"), F.count(label)), F.lit(FIRST_PRIOR)).alias("_prior"))
+    rows = apply_mapping(df, te_map(past, key, label, m).withColumnRenamed("te", f"{key}_te"), [key], {f"{key}_te": None})
+    return rows.join(F.broadcast(prior)).withColumn(f"{key}_te", F.coalesce(f"{key}_te", "_prior")).drop("_prior")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.features import finite_or_zero
+from ratewise.operators import ranking
 from ratewise.operators.calibration import probability_of_one
 
 #: Endings of the columns that are features.
@@ -96,9 +97,11 @@ def global_importance(contributions: DataFrame) -> DataFrame:
     """For each feature: mean absolute, mean signed, exact median absolute, population deviation, shares of signs, percent of all, rank."""
     c = F.col("contribution")
     x = contributions.groupBy("feature").agg(
-        F.avg(F.abs(c)).alias("mean_abs"), F.avg(c).alias("mean_signed"), F.median(F.abs(c)).alias("median_abs"), F.stddev_pop(c).alias("std"),
+        F.avg(F.abs(c)).alias("mean_abs"), F.avg(c).alias("mean_signed"), F.stddev_pop(c).alias("std"),
         F.avg((c > 0).cast("int")).alias("positive_share"), F.avg((c < 0).cast("int")).alias("negative_share"))
-    every = Window.partitionBy(F.lit(0))  # one row for each feature
+    medians = ranking.quantiles(contributions.withColumn("_abs", F.abs(c)), "_abs", [0.5], "feature").select("feature", F.col("q")[0].alias("median_abs"))
+    x = x.join(F.broadcast(medians), "feature", "left")  # one row for each feature
+    every = Window.partitionBy(F.lit(0))
     percent = F.coalesce(F.try_divide(100 * F.col("mean_abs"), F.sum("mean_abs").over(every)), F.lit(0.0))
     return x.withColumns({"percent": percent, "rank": F.row_number().over(every.orderBy(F.desc("mean_abs"), "feature"))})
 

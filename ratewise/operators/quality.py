@@ -7,15 +7,25 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratewise.operators import ranking
 
-def feature_quality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each numeric column: missing, distinct, range, mean, exact median, sample deviation; one pass over the data."""
-    def of(c: str):
-        return F.struct(
-            F.lit(c).alias("feature_name"), F.count_if(F.col(c).isNull()).alias("missing_count"), F.count_distinct(c).alias("unique_count"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-            F.round(F.avg(c), 6).alias("mean"), F.median(c).alias("median"), F.round(F.stddev_samp(c), 6).alias("std"))
 
-    return df.agg(*[of(c).alias(f"q{i}") for i, c in enumerate(columns)]).select(F.inline(F.array(*[f"q{i}" for i in range(len(columns))])))
+def feature_quality(df: DataFrame, columns: list[str]) -> DataFrame:
+    """For each numeric column: type, missing and its share, distinct, whether constant, range, mean, exact median, sample deviation.
+
+    Distinct values are counted and ordered by groups of values, never gathered in one task.
+    """
+    kinds = dict(df.dtypes)
+    out = None
+    for c in columns:
+        one = df.agg(
+            F.count("*").alias("_n"), F.count_if(F.col(c).isNull()).alias("missing_count"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"))
+        distinct = df.select(c).dropna().distinct().agg(F.count("*").alias("unique_count"))
+        row = one.join(F.broadcast(distinct)).join(F.broadcast(ranking.quantiles(df, c, [0.5])), how="left").select(
+            F.lit(c).alias("feature_name"), F.lit(kinds[c]).alias("data_type"), "missing_count", F.try_divide(F.col("missing_count").cast("double"), F.col("_n").cast("double")).alias("missing_rate"), "unique_count", (F.col("unique_count") <= 1).alias("is_constant"),
+            "min", "max", "mean", F.col("q")[0].alias("median"), "std")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def category_rates(df: DataFrame, feature: str, label: str = "click") -> DataFrame:

@@ -95,11 +95,11 @@ _PAST = "days AS (SELECT date, site, count(click) AS n, sum(click) AS c FROM e G
 _add("g7_history", f"""WITH {_E}, {_PAST}, r AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY hist_impressions) + (count(*) OVER (PARTITION BY date, hist_impressions) - 1) / 2) / count(*) OVER (PARTITION BY date) AS exposure_percentile FROM past)
  SELECT id, coalesce(hist_impressions, 0) AS hist_impressions, coalesce(hist_clicks, 0) AS hist_clicks, coalesce(CAST(hist_clicks AS DOUBLE) / hist_impressions, 0) AS hist_ctr, coalesce(round(exposure_percentile, 9), 0) AS exposure_percentile
  FROM e LEFT JOIN r ON e.date = r.date AND e.site IS NOT DISTINCT FROM r.site""")(
-    lambda s, d: history.add_history(events(s, d), "site").select("id", "hist_impressions", "hist_clicks", "hist_ctr", F.round("exposure_percentile", 9).alias("exposure_percentile")))
+    lambda s, d: history.add_history(events(s, d), "site").select("id", *[F.col(f"site_{c}").alias(c) for c in ("hist_impressions", "hist_clicks", "hist_ctr")], F.round("site_exposure_percentile", 9).alias("exposure_percentile")))
 _add("g16_target_encoding", f"""WITH {_E}, {_PAST}, t AS (SELECT date, sum(click) AS c, count(click) AS n FROM e GROUP BY 1),
  pr AS (SELECT date, coalesce(CAST(sum(c) OVER w AS DOUBLE) / sum(n) OVER w, 0.17) AS prior FROM t WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
  SELECT id, round((coalesce(hist_clicks, 0) + 20.0 * prior) / (coalesce(hist_impressions, 0) + 20.0), 9) AS te FROM e JOIN pr ON e.date = pr.date LEFT JOIN past p ON e.date = p.date AND e.site IS NOT DISTINCT FROM p.site""")(
-    lambda s, d: history.add_target_encoding(events(s, d), "site").select("id", F.round("te", 9).alias("te")))
+    lambda s, d: history.add_target_encoding(events(s, d), "site").select("id", F.round("site_te", 9).alias("te")))
 _add("h2_split_summary", f"""WITH {_E}, x AS (SELECT *, CASE WHEN date BETWEEN '2024-01-01' AND '2024-01-24' THEN 'train' WHEN date BETWEEN '2024-01-25' AND '2024-01-27' THEN 'valid' WHEN date BETWEEN '2024-01-28' AND '2024-01-30' THEN 'holdout' END AS split FROM e)
  SELECT split, min(date) AS start_date, max(date) AS end_date, count(*) AS n_rows, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM e) AS share FROM x WHERE split IS NOT NULL GROUP BY 1""")(lambda s, d: splits.split_summary(events(s, d), BOUNDS))
 _QUOTA = f"""WITH {_E}, g AS (SELECT bucket, count(*) AS n_rows FROM e GROUP BY 1), q AS (SELECT bucket, n_rows, 1000 * n_rows // sum(n_rows) OVER () AS base, (1000 * n_rows) % CAST(sum(n_rows) OVER () AS BIGINT) AS rest FROM g),
@@ -108,7 +108,7 @@ _add("h4_quota", _QUOTA + " SELECT bucket, n_rows, quota FROM z")(lambda s, d: s
 _add("h5_sample", _QUOTA + ", r AS (SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS k FROM e) SELECT id, r.bucket FROM r JOIN z ON r.bucket = z.bucket WHERE k <= quota")(
     lambda s, d: splits.sample_per_group(events(s, d), "bucket", 1000, "id").select("id", "bucket"))
 _add("i8_feature_quality", f"""WITH {_E} SELECT 'bucket' AS feature_name, count(*) - count(bucket) AS missing_count, count(DISTINCT bucket) AS unique_count, CAST(min(bucket) AS DOUBLE) AS min, CAST(max(bucket) AS DOUBLE) AS max, round(avg(bucket), 6) AS mean, median(bucket) AS median, round(stddev_samp(bucket), 6) AS std FROM e
- UNION ALL SELECT 'user_id', count(*) - count(user_id), count(DISTINCT user_id), CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), round(avg(user_id), 6), median(user_id), round(stddev_samp(user_id), 6) FROM e""")(lambda s, d: quality.feature_quality(events(s, d), ["bucket", "user_id"]))
+ UNION ALL SELECT 'user_id', count(*) - count(user_id), count(DISTINCT user_id), CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), round(avg(user_id), 6), median(user_id), round(stddev_samp(user_id), 6) FROM e""")(lambda s, d: quality.feature_quality(events(s, d), ["bucket", "user_id"]).drop("data_type", "missing_rate", "is_constant"))
 _add("i11_rate_spread", f"""WITH {_L}, r AS (SELECT 'l_linenumber' AS feature_name, avg(click) AS ctr FROM l GROUP BY l_linenumber UNION ALL SELECT 'l_linestatus', avg(click) FROM l GROUP BY l_linestatus)
  SELECT feature_name, min(ctr) AS minimum_ctr, max(ctr) AS maximum_ctr, max(ctr) - min(ctr) AS ctr_spread, count(*) AS top_category_count FROM r GROUP BY 1""")(lambda s, d: quality.rate_spread(lines(s, d), ["l_linenumber", "l_linestatus"]))
 _add("i12_correlation", f"WITH {_E} SELECT 'bucket' AS feature_name, round(corr(bucket, click), 9) AS pearson FROM e UNION ALL SELECT 'user_id', round(corr(user_id, click), 9) FROM e")(lambda s, d: quality.label_correlation(events(s, d), ["bucket", "user_id"]))
@@ -121,9 +121,9 @@ _add("k3_k4_probability", f"""WITH {_L}, p AS (SELECT *, greatest(least(score, 1
 _GRID = [round(i / 100, 2) for i in range(1, 51)]
 _add("m3_thresholds", f"""WITH {_L}, g AS (SELECT unnest({_GRID}::DOUBLE[]) AS threshold), x AS (SELECT threshold, CAST(sum(CASE WHEN score >= threshold THEN click ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN score >= threshold THEN 1 - click ELSE 0 END) AS BIGINT) AS fp,
  CAST(sum(CASE WHEN score < threshold THEN 1 - click ELSE 0 END) AS BIGINT) AS tn, CAST(sum(CASE WHEN score < threshold THEN click ELSE 0 END) AS BIGINT) AS fn FROM l, g GROUP BY 1)
- SELECT threshold, tp, fp, tn, fn, round((tp + fp) / (tp + fp + tn + fn), 9) AS coverage, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall,
- round(coalesce(tn / nullif(tn + fp, 0), 0), 9) AS specificity, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(coalesce(tp / nullif(tp + fp, 0), 0) / ((tp + fn) / (tp + fp + tn + fn)), 9) AS lift,
- round(coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0) - 1, 9) AS youden_j FROM x""")(
+ SELECT threshold, tp, fp, tn, fn, round((tp + fp) / (tp + fp + tn + fn), 9) AS coverage, round(tp / nullif(tp + fp, 0), 9) AS "precision", round(tp / nullif(tp + fn, 0), 9) AS recall,
+ round(tn / nullif(tn + fp, 0), 9) AS specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1, round(tp / nullif(tp + fp, 0) / ((tp + fn) / (tp + fp + tn + fn)), 9) AS lift,
+ round(tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0) - 1, 9) AS youden_j FROM x""")(
     lambda s, d: evaluation.threshold_metrics(lines(s, d), _GRID).select("threshold", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("coverage", "precision", "recall", "specificity", "f1", "lift", "youden_j")]))
 _COVER = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]
 _add("m5_topk", f"""WITH {_E}, g AS (SELECT unnest({_COVER}::DOUBLE[]) AS coverage), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k, count(*) OVER () AS total, sum(click) OVER () AS all_clicks FROM e)

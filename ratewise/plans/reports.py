@@ -32,16 +32,16 @@ _add("i10_category_summary", f"""WITH {_L}, x AS (SELECT 'l_suppkey' AS feature_
  UNION ALL SELECT 'l_linestatus', l_linestatus, count(click), CAST(sum(click) AS BIGINT), avg(click) FROM l GROUP BY 2)
  SELECT feature_name, feature_value, impressions, clicks, round(ctr, 9) AS ctr FROM x QUALIFY row_number() OVER (PARTITION BY feature_name ORDER BY impressions DESC, feature_value NULLS FIRST) <= 20""")(
     lambda s, d: _rounded(checks.category_rate_summary([quality.category_rates(lines(s, d), c) for c in ("l_suppkey", "l_linestatus")]), "ctr"))
-_STAT = "SELECT {s} AS split, '{c}' AS feature, count(*) - count({c}) AS missing_count, CAST(0 AS BIGINT) AS inf_count, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 9) AS mean, count(*) FILTER (NOT {c} BETWEEN 0 AND 1) AS invalid_count FROM e GROUP BY 1"
+_STAT = "SELECT {s} AS split, '{c}' AS feature, count(*) - count({c}) AS missing_count, count(*) FILTER (isinf(CAST({c} AS DOUBLE))) AS inf_count, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 9) AS mean, count(*) FILTER (NOT {c} BETWEEN 0 AND 1) AS invalid_count FROM e GROUP BY 1"
 _add("i15_column_stats", f"""WITH {_E}, x AS ({_STAT.format(s=_SPLIT, c="score")} UNION ALL {_STAT.format(s=_SPLIT, c="bucket")})
  SELECT *, CASE WHEN invalid_count > 0 THEN 'ERROR' WHEN missing_count > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM x WHERE split IS NOT NULL""")(lambda s, d: _rounded(checks.column_stats(split_events(s, d), ["score", "bucket"]), "mean"))
-_add("i18_cold_start", f"WITH {_E} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS known FROM e WHERE date = (SELECT min(date) FROM e)")(
-    lambda s, d: checks.cold_start(history.add_history(events(s, d), "site"), ["hist_impressions", "hist_clicks", "exposure_percentile"]))
+_add("i18_cold_start", f"WITH {_E} SELECT count(*) AS n_rows, count(*) FILTER (EXISTS (SELECT 1 FROM e p WHERE p.date < e.date AND p.site IS NOT DISTINCT FROM e.site)) AS known FROM e WHERE date = (SELECT min(date) FROM e)")(
+    lambda s, d: checks.cold_start(history.add_history(events(s, d), "site"), ["site_hist_impressions", "site_hist_clicks", "site_exposure_percentile"]))
 _add("i19_mapping_consistent", f"WITH {_E}, x AS (SELECT site, count(DISTINCT bucket) + max(CASE WHEN bucket IS NULL THEN 1 ELSE 0 END) > 1 AS b, count(DISTINCT click) + max(CASE WHEN click IS NULL THEN 1 ELSE 0 END) > 1 AS c FROM e GROUP BY 1) SELECT unnest(['bucket', 'click']) AS feature, unnest([a, b]) AS keys FROM (SELECT count(*) FILTER (b) AS a, count(*) FILTER (c) AS b FROM x)")(
     lambda s, d: checks.mapping_consistent(events(s, d), "site", ["bucket", "click"]))
 _Q = ", ".join(f"round(quantile_cont(score, {p / 100}), 9) AS p{p}" for p in evaluation.PERCENTS)
 _add("k7_score_summary", f"WITH {_L} SELECT count(*) AS n_rows, CAST(sum(click) AS BIGINT) AS clicks, round(avg(click), 9) AS ctr, round(avg(score), 9) AS mean_score, {_Q} FROM l")(
-    lambda s, d: _rounded(evaluation.score_summary(lines(s, d)), "ctr", "mean_score", *[f"p{p}" for p in evaluation.PERCENTS]))
+    lambda s, d: _rounded(evaluation.score_summary(lines(s, d)), "ctr", "mean_score", *[f"p{p}" for p in evaluation.PERCENTS]).drop("auc", "average_precision", "log_loss", "brier"))
 _add("m7_operating_points", SQL["m3_thresholds"].replace("WITH l AS", "WITH m AS (WITH l AS", 1) + """), g AS (SELECT unnest([
  {'point': 'max_f1', 'goal': f1, 'ok': true}, {'point': 'max_youden_j', 'goal': youden_j, 'ok': true}, {'point': 'recall_80', 'goal': "precision", 'ok': recall >= 0.8}, {'point': 'recall_90', 'goal': "precision", 'ok': recall >= 0.9},
  {'point': 'precision_25', 'goal': recall, 'ok': "precision" >= 0.25}, {'point': 'coverage_10', 'goal': -abs(coverage - 0.1), 'ok': true}, {'point': 'coverage_20', 'goal': -abs(coverage - 0.2), 'ok': true}]) AS x, * FROM m),
@@ -52,7 +52,7 @@ _BINS = "b AS (SELECT count(*) AS n, abs(avg(score) - avg(click)) AS gap FROM (S
 _add("l6_ece_mce", f"WITH {_E}, {_BINS} SELECT round(sum(gap * n) / sum(n), 6) AS ece, round(max(gap), 6) AS mce FROM b")(
     lambda s, d: calibration.ece_mce(evaluation.score_groups(events(s, d), 20, True)).select(F.round("ece", 6).alias("ece"), F.round("mce", 6).alias("mce")))
 
-FEATURES = ["bucket", "hour_sin", "hour_cos", "hist_ctr", "exposure_percentile"]
+FEATURES = ["bucket", "hour_sin", "hour_cos", "site_hist_ctr", "site_exposure_percentile"]
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
