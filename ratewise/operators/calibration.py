@@ -56,19 +56,46 @@ def ece_mce(bins: DataFrame) -> DataFrame:
 
 
 def calibration_metrics(df: DataFrame, methods: dict[str, str], bins: int = 20, label: str = "click", id_col: str = "id") -> DataFrame:
-    """For each method (name: score column): log loss, Brier, means and gap, AUC, ECE and MCE; one row each."""
+    """For each method (name: score column): confusion at 0.5, log loss, Brier, means and gap, AUC, average precision, ECE and MCE; one row each."""
     out = None
     for name, column in methods.items():
         x = df.select(id_col, label, F.col(column).alias("score"))
-        row = evaluation.probability_metrics(x, "score", label).join(evaluation.roc_auc(x, "score", label))
+        row = evaluation.probability_metrics(x, "score", label).join(evaluation.roc_auc(x, "score", label)).join(evaluation.average_precision(x, "score", label)).join(evaluation.confusion(x, 0.5, "score", label))
         row = row.join(ece_mce(evaluation.score_groups(x, bins, True, "score", label, id_col))).select(F.lit(name).alias("method"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def select_calibrator(metrics: DataFrame) -> DataFrame:
-    """The method of the smallest log loss, then Brier, ECE and gap."""
-    return metrics.orderBy("log_loss", "brier", "ece", "calibration_gap", "method").limit(1)
+def select_calibrator(metrics: DataFrame, raw: str = "raw") -> DataFrame:
+    """The method of the smallest log loss, then Brier, ECE and gap, with what each of them changes against the raw scores."""
+    keys = ("log_loss", "brier", "ece", "calibration_gap")
+    best = metrics.orderBy(*keys, "method").limit(1)
+    base = metrics.filter(F.col("method") == raw).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return best.join(F.broadcast(base), how="left").withColumns({f"{k}_change": F.col(k) - F.col(f"_{k}") for k in keys}).drop(*[f"_{k}" for k in keys])
+
+
+def refit_selected(df: DataFrame, method: str, score: str = "score", label: str = "click"):
+    """The chosen method fitted on all rows; None for raw scores. The result is not evaluated again."""
+    return {"raw": lambda: None, "sigmoid": lambda: fit_sigmoid(df, score, label), "isotonic": lambda: fit_isotonic(df, score, label)}[method]()
+
+
+def calibration_split(df: DataFrame, label: str = "click", fraction: float = 0.6, id_col: str = "id", seed: int = 42, drift: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """(df with part a to fit and b to compare, stratified by label; a check row that warns where the parts' rates lie more than drift apart)."""
+    parts = splits.stratified_split(df, label, fraction, id_col, seed)
+    rates = parts.agg(F.avg(F.when(F.col("part") == "a", F.col(label))).alias("a"), F.avg(F.when(F.col("part") == "b", F.col(label))).alias("b"))
+    gap = F.abs(F.col("a") - F.col("b"))
+    return parts, rates.select(F.lit("calibration_split").alias("check"), F.lit(label).alias("subject"), F.when(gap > drift, "WARNING").otherwise("PASS").alias("status"), F.round(gap, 9).cast("string").alias("observed"), F.lit(str(drift)).alias("expected"))
+
+
+def check_calibration(parts: DataFrame, whole: DataFrame, metrics: DataFrame, bins: DataFrame, id_col: str = "id") -> DataFrame:
+    """Check rows: the split is disjoint and complete, ECE lies in [0, 1], metrics are finite, and the bins' rows add up to those of part b."""
+    ids = parts.groupBy(id_col).agg(F.count_distinct("part").alias("p")).agg(F.count("*").alias("ids"), F.count_if(F.col("p") > 1).alias("in_both"))
+    x = ids.join(parts.agg(F.count("*").alias("rows"), F.count_if(F.col("part") == "b").alias("b_rows"))).join(whole.agg(F.count("*").alias("all_rows")))
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    x = x.join(metrics.agg(F.count_if(~F.col("ece").between(0, 1)).alias("bad_ece"), F.count_if(bad("log_loss") | bad("brier") | bad("auc")).alias("not_finite"))).join(bins.agg(F.sum("n_rows").alias("bin_rows")))
+    rules = {"disjoint": ("in_both", F.lit(0)), "complete": ("rows", F.col("all_rows")), "ece_range": ("bad_ece", F.lit(0)), "finite": ("not_finite", F.lit(0)), "bin_rows": ("bin_rows", F.col("b_rows"))}
+    rows = [F.struct(F.lit(n).alias("check"), F.lit("calibration").alias("subject"), F.when(F.col(c) == e, "PASS").otherwise("ERROR").alias("status"), F.col(c).cast("string").alias("observed"), e.cast("string").alias("expected")) for n, (c, e) in rules.items()]
+    return x.select(F.inline(F.array(*rows)))
 
 
 def check_monotone(df: DataFrame, before: str, after: str, slack: float = 1e-12) -> DataFrame:

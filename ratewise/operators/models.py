@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import math
+import random
 import re
+import time
 from collections import Counter
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,20 +15,23 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratewise.functions.features import finite_or_zero
-from ratewise.operators import ranking
+from ratewise.functions.features import contribution_direction, feature_entity, feature_family, finite_or_zero, hour_cyclic, log1p_columns
+from ratewise.operators import evaluation, ranking
 from ratewise.operators.calibration import probability_of_one
 
 #: Endings of the columns that are features.
 FEATURE_ENDINGS = ("_freq", "_hist_impressions", "_hist_clicks", "_hist_ctr", "_exposure_percentile", "_te")
 
 
-def discover_features(columns: list[str], deny: tuple[str, ...] = ()) -> list[str]:
-    """Columns with a feature's ending, sorted, then is_weekend and the two hour terms; an error where one kind is missing."""
+def discover_features(columns: list[str], deny: tuple[str, ...] = (), expected: int | None = None) -> list[str]:
+    """Columns with a feature's ending, sorted, then is_weekend and the two hour terms; an error where one kind is missing, or where there are not as many as expected."""
     found = sorted(c for c in columns if c.endswith(FEATURE_ENDINGS) and c not in deny and not re.fullmatch(r"C\d+", c))
     if not found or "is_weekend" not in columns:
         raise ValueError("no feature column found" if not found else "is_weekend is missing")
-    return [*found, "is_weekend", "hour_sin", "hour_cos"]
+    every = [*found, "is_weekend", "hour_sin", "hour_cos"]
+    if expected is not None and len(every) != expected:
+        raise ValueError(f"{len(every)} features, not {expected}")
+    return every
 
 
 def matrix(df: DataFrame, features: list[str]) -> DataFrame:
@@ -32,6 +39,15 @@ def matrix(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({c: finite_or_zero(F.col(c).cast("double")) for c in features})
 
 
+def build_matrix(df: DataFrame, features: list[str], hour: str = "hour_of_day") -> DataFrame:
+    """In this order: counts as log(1 + x), the hour as sine and cosine, then null, NaN and infinite values as 0."""
+    x = log1p_columns(df, features)
+    if hour in df.columns:
+        sin, cos = hour_cyclic(F.col(hour))
+        x = x.withColumns({"hour_sin": sin, "hour_cos": cos})
+    return matrix(x, features)
+
+
 def fit_logistic(df: DataFrame, features: list[str], label: str = "click", reg: float = 1e-4) -> PipelineModel:
     """L2 logistic regression on standardised features; scaler and model fit on df only."""
     steps = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_x"),
@@ -112,3 +128,65 @@ def find_cases(scored: DataFrame, threshold: float, score: str = "score", label:
     kind = F.when(hit & y, "true_positive").when(hit, "false_positive").when(y, "false_negative").otherwise("true_negative")
     far = F.when(hit, -s).otherwise(s)
     return scored.groupBy(kind.alias("case")).agg(F.min(F.struct(far.alias("far"), F.col(id_col).alias("id"), s.alias("score"))).alias("x")).select("case", "x.id", "x.score")
+
+
+#: What a trial of a search draws, evenly or on a log scale (low, high, log): depth, step, rows of a leaf, gain of a split, share of rows and of features.
+SEARCH_SPACE = {"maxDepth": (3, 7, False), "stepSize": (0.02, 0.15, True), "minInstancesPerNode": (1, 300, True), "minInfoGain": (0.0, 0.2, False), "subsamplingRate": (0.7, 1.0, False), "features": (0.7, 1.0, False)}
+
+
+def search_boosted(spark: SparkSession, df: DataFrame, features: list[str], valid_flag: str, trials: int = 20, rounds: int = 50, label: str = "click", seed: int = 42) -> tuple[DataFrame, PipelineModel]:
+    """(a row for each trial, the best trial's model): seeded draws, each fitted with early stopping and judged by the log loss on the rows of valid_flag.
+
+    Spark's trees have no number of leaves and no L1 or L2 weight; depth, step, rows of a leaf, gain, and shares of rows and features are searched.
+    """
+    rng, rows, best = random.Random(seed), [], None
+    ready = matrix(df, features).select(*features, label, valid_flag).persist()
+    try:
+        for trial in range(trials):
+            drawn = {k: math.exp(rng.uniform(math.log(lo), math.log(hi))) if log else rng.uniform(lo, hi) for k, (lo, hi, log) in SEARCH_SPACE.items()}
+            params = {"maxDepth": round(drawn["maxDepth"]), "stepSize": drawn["stepSize"], "minInstancesPerNode": round(drawn["minInstancesPerNode"]), "minInfoGain": drawn["minInfoGain"], "subsamplingRate": drawn["subsamplingRate"], "featureSubsetStrategy": f"{drawn['features']:.3f}"}
+            started = time.monotonic()
+            gbt = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, seed=seed, validationIndicatorCol=valid_flag, **params)
+            model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), gbt]).fit(ready)
+            scored = score(model, ready.filter(F.col(valid_flag)), features)
+            m = evaluation.probability_metrics(scored, "score", label).join(evaluation.roc_auc(scored, "score", label)).first()
+            rows.append((trial, float(m["log_loss"]), m["auc"], float(m["calibration_gap"]), len(model.stages[-1].trees), time.monotonic() - started, json.dumps(params)))
+            if best is None or rows[-1][1] < best[0]:
+                best = (rows[-1][1], model)
+    finally:
+        ready.unpersist()
+    return spark.createDataFrame(rows, "trial int, log_loss double, auc double, calibration_gap double, best_round int, seconds double, params string").withColumn("rank", F.row_number().over(Window.orderBy("log_loss", "trial"))), best[1]
+
+
+def score_models(df: DataFrame, models: dict[str, tuple[PipelineModel, list[str]]], keep: list[str]) -> DataFrame:
+    """keep and one probability column for each model (name: model and its features), in one pass."""
+    x = df
+    for i, (model, features) in enumerate(models.values()):
+        ready = df.select(*keep, *[c for c in df.columns if c not in keep]) if i == 0 else x
+        raw = {f: F.col(f) for f in features}
+        x = score(model, ready.withColumns({f"_keep_{f}": c for f, c in raw.items()}), features, f"_score_{i}")
+        x = x.withColumns({f: F.col(f"_keep_{f}") for f in features}).drop(*[f"_keep_{f}" for f in features])
+    return x.select(*keep, *[F.col(f"_score_{i}").alias(name) for i, name in enumerate(models)])
+
+
+def group_importance(importance: DataFrame, by: str, entities: list[str] | None = None) -> DataFrame:
+    """From global_importance, by 'family' or 'entity': features, total mean absolute contribution, the strongest feature and its value, percent of all."""
+    group = feature_family(F.col("feature")) if by == "family" else feature_entity(F.col("feature"), entities or [])
+    x = importance.groupBy(group.alias(by)).agg(F.count("*").alias("feature_count"), F.sum("mean_abs").alias("total_mean_abs"), F.max(F.struct("mean_abs", "feature")).alias("top"))
+    percent = F.coalesce(F.try_divide(100 * F.col("total_mean_abs"), F.sum("total_mean_abs").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))  # one row for each group
+    return x.select(by, "feature_count", "total_mean_abs", F.col("top.feature").alias("top_feature"), F.col("top.mean_abs").alias("top_mean_abs"), percent.alias("percent"))
+
+
+def case_contributions(contributions: DataFrame, cases: DataFrame, id_col: str = "id") -> DataFrame:
+    """Of each case (case, id, score) its features by absolute contribution, with their rank and direction."""
+    few = cases.select("case", F.col("id").alias("_id"), "score")  # four rows
+    x = contributions.join(F.broadcast(few), F.col(id_col) == F.col("_id")).drop("_id")
+    order = Window.partitionBy("case").orderBy(F.desc(F.abs("contribution")), "feature")  # one row for each feature
+    return x.withColumns({"rank": F.row_number().over(order), "direction": contribution_direction(F.col("contribution"))})
+
+
+def case_extremes(contributions: DataFrame) -> DataFrame:
+    """From case_contributions: for each case the features that raise and lower its score most; null where none does."""
+    c = F.col("contribution")
+    x = contributions.groupBy("case").agg(F.max(F.when(c > 0, F.struct(c.alias("v"), F.col("feature").alias("f")))).alias("up"), F.min(F.when(c < 0, F.struct(c.alias("v"), F.col("feature").alias("f")))).alias("down"))
+    return x.select("case", F.col("up.f").alias("top_positive"), F.col("up.v").alias("top_positive_value"), F.col("down.f").alias("top_negative"), F.col("down.v").alias("top_negative_value"))

@@ -26,10 +26,17 @@ def with_overall(table: DataFrame, overall: DataFrame) -> DataFrame:
     return table.join(F.broadcast(one)).withColumn("ctr_vs_overall", F.col("ctr") - F.col("overall_ctr"))
 
 
-def rate_by(df: DataFrame, keys: list[str], label: str = "click") -> DataFrame:
-    """Rates by keys, against the overall rate of all rows. Rows with a null key are left out of the groups."""
-    grouped = df.dropna(subset=keys).groupBy(*keys).agg(*_sums(label)).withColumn("ctr", rate(F.col("clicks"), F.col("impressions")))
-    return with_overall(grouped, overall_rate(df, label))
+def _cells(df: DataFrame, keys: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """(groups of non-null keys, the overall row): one scan serves both, as the overall row sums the groups of all keys."""
+    every = df.groupBy(*keys).agg(*_sums(label)).withColumn("ctr", rate(F.col("clicks"), F.col("impressions")))
+    whole = every.agg(F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"), F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"))
+    return every.dropna(subset=keys), whole.withColumn("ctr", rate(F.col("clicks"), F.col("impressions")))
+
+
+def rate_by(df: DataFrame, keys: list[str], label: str = "click", overall: DataFrame | None = None) -> DataFrame:
+    """Rates by keys, against the overall rate of all rows (or a given overall row). Rows with a null key are left out of the groups."""
+    grouped, whole = _cells(df, keys, label)
+    return with_overall(grouped, whole if overall is None else overall)
 
 
 def rate_by_hour(df: DataFrame, ts: str = "ts", label: str = "click") -> DataFrame:
@@ -58,8 +65,9 @@ def with_volume_rank(table: DataFrame, name: str = "impressions_rank") -> DataFr
 
 
 def cross_rate(df: DataFrame, k1: str, k2: str, low_volume: int = 100_000, label: str = "click") -> DataFrame:
-    table = with_share(rate_by(df, [k1, k2], label), df.agg(F.count("*").alias("impressions")))
-    return table.withColumn("is_low_volume", F.col("impressions") < low_volume)
+    """Rates by two keys with each cell's share of all rows and whether it has few."""
+    grouped, whole = _cells(df, [k1, k2], label)
+    return with_share(with_overall(grouped, whole), whole).withColumn("is_low_volume", F.col("impressions") < low_volume)
 
 
 def within_group_share(table: DataFrame, group: str) -> DataFrame:
@@ -92,3 +100,21 @@ def missing_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     sums = [F.count_if(F.col(k).isNull()).alias(f"n{i}") for i, k in enumerate(keys)] + [F.count_if(F.trim(F.col(k).cast("string")) == "").alias(f"b{i}") for i, k in enumerate(keys)]
     rows = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"n{i}").alias("nulls"), F.col(f"b{i}").alias("blanks")) for i, k in enumerate(keys)])
     return df.agg(*sums).select(F.inline(rows))
+
+
+def heat_matrix(table: DataFrame, row: str, column: str, rows: list, columns: list, scale: float = 100.0) -> DataFrame:
+    """Of a cross table, for each of rows (all of them, found or not): the scaled rate c_VALUE and the low-volume flag low_VALUE of each of columns; absent cells are null."""
+    low = pivot_measure(table.withColumn("_low", F.col("is_low_volume").cast("int")), row, column, columns, "_low").select(row, *[(F.col(f"c_{v}") == 1).alias(f"low_{v}") for v in columns])
+    grid = table.sparkSession.createDataFrame([(v,) for v in rows], table.select(row).schema)
+    return grid.join(F.broadcast(pivot_measure(table, row, column, columns, "ctr", scale)), row, "left").join(F.broadcast(low), row, "left")  # one row for each of rows
+
+
+def missing_either(df: DataFrame, k1: str, k2: str) -> DataFrame:
+    """One row: rows where the first, the second, either or both keys are null or blank."""
+    a, b = (F.coalesce(F.trim(F.col(k).cast("string")) == "", F.lit(True)) for k in (k1, k2))
+    return df.agg(F.count_if(a).alias("first_missing"), F.count_if(b).alias("second_missing"), F.count_if(a | b).alias("either_missing"), F.count_if(a & b).alias("both_missing"))
+
+
+def top_rows(table: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The n rows of a rate table with most impressions."""
+    return table.orderBy(F.desc("impressions"), *ties).limit(n)

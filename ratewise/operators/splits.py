@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewise.operators import ranking
+
 
 def split_of(ts: Column, bounds: dict[str, tuple[str, str]]) -> Column:
     """The split whose dates (first, last) hold the time; null outside of all."""
@@ -23,10 +25,12 @@ def split_summary(df: DataFrame, bounds: dict[str, tuple[str, str]], ts: str = "
 
 
 def proportional_quota(groups: DataFrame, group: str, n: int) -> DataFrame:
-    """group, quota from (group, n_rows): shares of n by largest remainder, ties to the higher group; the sum is n."""
+    """group, quota from (group, n_rows): shares of n by largest remainder, ties to the higher group; the sum is n. An error where there are fewer than n rows."""
     whole = groups.agg(F.sum("n_rows").alias("total"))
     exact = F.lit(n) * F.col("n_rows")
     x = groups.join(F.broadcast(whole)).withColumns({"base": F.floor(exact / F.col("total")), "rest": exact % F.col("total")})
+    if_enough = F.when(F.col("total") >= n, F.col("base")).otherwise(F.raise_error(F.lit(f"fewer than {n} rows")).cast("bigint"))
+    x = x.withColumn("base", if_enough)
     missing = F.lit(n) - F.sum("base").over(Window.partitionBy())  # one row for each group
     place = F.row_number().over(Window.orderBy(F.desc("rest"), F.desc(group)))
     return x.withColumn("quota", F.col("base") + (place <= missing).cast("int")).select(group, "n_rows", "quota")
@@ -38,3 +42,45 @@ def sample_per_group(df: DataFrame, group: str, n: int, id_col: str, seed: int =
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(draw, id_col))).filter(F.col("_r") <= n)
     return ranked.join(F.broadcast(quota), F.col(group) == F.col("_g")).filter(F.col("_r") <= F.col("quota")).drop("_g", "quota", "_r")
+
+
+def time_split(df: DataFrame, bounds: dict[str, tuple[str, str]], ts: str = "ts") -> DataFrame:
+    """df with the column split; rows outside of all ranges or without a time are left out (split_counts counts them)."""
+    return df.withColumn("split", split_of(F.col(ts), bounds)).dropna(subset=["split"])
+
+
+def split_counts(df: DataFrame, bounds: dict[str, tuple[str, str]], ts: str = "ts") -> DataFrame:
+    """split, n_rows of every split, and of the rows left out: out_of_range and null_time."""
+    where = F.when(F.col(ts).isNull(), "null_time").otherwise(F.coalesce(split_of(F.col(ts), bounds), F.lit("out_of_range")))
+    return df.groupBy(where.alias("split")).agg(F.count("*").alias("n_rows"))
+
+
+def _draw(seed: int, id_col: str) -> Column:
+    """A text that is unique to an id and in an order that the seed decides."""
+    i = F.col(id_col).cast("string")
+    return F.concat_ws(":", F.md5(F.concat_ws(":", F.lit(str(seed)), i).cast("binary")), i)
+
+
+def _drawn(df: DataFrame, group: str, quota: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """df with _in: whether a row is among the first quota rows of its group in drawn order; a group may have most of all rows."""
+    placed = ranking.with_place(df.withColumn("_draw", _draw(seed, id_col)), group, "_draw", "_place")
+    q = quota.select(F.col(group).alias("_g"), "quota")  # one row for each group
+    return placed.join(F.broadcast(q), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_in", F.col("_place") <= F.col("quota")).drop("_g", "quota", "_place", "_draw")
+
+
+def stratified_split(df: DataFrame, label: str, fraction: float, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """df with the column part, a or b: a holds fraction of all rows (rounded) and of each label as nearly as whole rows allow. ids are unique."""
+    groups = df.groupBy(label).agg(F.count("*").alias("n_rows"))
+    quota = proportional_quota(groups, label, round(fraction * df.count()))
+    return _drawn(df, label, quota, id_col, seed).withColumn("part", F.when(F.col("_in"), "a").otherwise("b")).drop("_in")
+
+
+def stratified_sample(df: DataFrame, label: str, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """n rows, each label in proportion."""
+    quota = proportional_quota(df.groupBy(label).agg(F.count("*").alias("n_rows")), label, n)
+    return _drawn(df, label, quota, id_col, seed).filter("_in").drop("_in")
+
+
+def simple_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """n rows without replacement, the first in drawn order; each task hands on n rows at most."""
+    return df.withColumn("_draw", _draw(seed, id_col)).orderBy("_draw").limit(n).drop("_draw")

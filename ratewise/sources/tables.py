@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -23,3 +25,47 @@ def write_table_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 def write_by_date(df: DataFrame, path: str, date: str) -> None:
     """Parquet in one folder for each date; rows of a date are spread over tasks, a hot date over many."""
     df.hint("rebalance", date).write.mode("overwrite").partitionBy(date).parquet(path)
+
+
+def read_events(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Parquet with only the columns asked for; the scan reads no others."""
+    df = spark.read.parquet(path)
+    return df.select(*columns) if columns else df
+
+
+def read_many(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
+    """One table over several datasets, columns matched by name; an error without any."""
+    if not paths:
+        raise ValueError("no dataset given")
+    return reduce(lambda a, b: a.unionByName(b), [read_events(spark, p, columns) for p in paths])
+
+
+def query_to_csv(spark: SparkSession, sql: str, path: str, args: dict | list | None = None) -> None:
+    """The small result of a query as one headed CSV file."""
+    out = spark.sql(sql, args=args)
+    write_table_csv(out, path, out.columns)
+
+
+def write_report_json(df: DataFrame, path: str) -> None:
+    """A report of a few rows, nested columns included, as JSON lines in one file."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def table_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """table, n_rows, files, columns of each Parquet dataset; counts come from the files' footers."""
+    out = None
+    for name, path in paths.items():
+        df = spark.read.parquet(path)
+        row = df.agg(F.lit(name).alias("table"), F.count("*").alias("n_rows"), F.lit(len(df.inputFiles())).cast("bigint").alias("files"), F.lit(len(df.columns)).cast("bigint").alias("columns"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def head_sample(df: DataFrame, n: int = 100_000) -> DataFrame:
+    """The first n rows, for a profile."""
+    return df.limit(n)
+
+
+def save_predictions(df: DataFrame, path: str, score: str = "score", columns: tuple[str, ...] = ("id", "click", "date")) -> None:
+    """id, label, date and probability of each scored row."""
+    df.select(*columns, F.col(score).alias("probability")).write.mode("overwrite").parquet(path)
