@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ratewise.plans import reports as catalog
+from ratewise.plans import workflow as catalog
 
 DATA = "/root/testdata/sf0.001"
 
