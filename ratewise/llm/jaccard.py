@@ -5,7 +5,8 @@
 2. A set's first n - ceil(t * n) + slack shingles go to index lists. Two sets that link share at least as many list entries
    as the smaller one's slack, so a set with fewer shared entries than that links with nothing and leaves all lists.
 3. Index skipping: a list's members stand in blocks by size and position, and pairs of blocks that cannot hold a link are
-   skipped; within blocks size and position decide which pairs stay open. Lists with the same members count once.
+   skipped; within blocks size and position decide which pairs stay open. Of lists with the same members one is looked at,
+   with their number as its weight; pairs that share fewer entries than the smaller one's slack are dropped.
 4. Answer skipping: open pairs meet by groups of sets whose lists have the same leader (the least of their members). There
    the overlaps of a first set are counted from a small index; those of a similar set follow from them by the shingles in
    which the two sets differ.
@@ -155,51 +156,82 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _within(batch, percent: int):
-    """Open pairs of each list that is one block: (node, group) of both; lists of one length go together."""
+    """Open pairs of each list that is one block: (node, group) of both, size of the smaller and weight; lists of one length go together."""
     (offsets, node), *others = (_lists(batch.column(f"{c}_a")) for c in ("node", "n", "pos", "block"))
     n, pos, block = (v for _, v in others)
     lengths = np.diff(offsets)
     for m in np.unique(lengths[lengths > 1]).tolist():
         i, j = np.triu_indices(m, 1)
         starts = offsets[:-1][lengths == m]
+        weight = batch.column("weight").to_numpy()[lengths == m]
         step = max(1, _HELD // len(i))
         for k in range(0, len(starts), step):
             u = (starts[k : k + step, None] + i).ravel()
             v = (starts[k : k + step, None] + j).ravel()
             fits = _fitting(n[u], pos[u], n[v], pos[v], percent)
-            yield node[u[fits]], block[u[fits]], node[v[fits]], block[v[fits]]
+            w = np.repeat(weight[k : k + step], len(i))[fits]
+            yield node[u[fits]], block[u[fits]], node[v[fits]], block[v[fits]], np.minimum(n[u[fits]], n[v[fits]]), w
 
 
 def _between(batch, percent: int):
     """Open pairs of two blocks of a long list, or of a block with itself."""
     a, b = ([_lists(batch.column(f"{c}_{s}")) for c in ("node", "n", "pos", "block")] for s in "ab")
+    weight = batch.column("weight").to_numpy()
     for k in range(batch.num_rows):
         (na, sa, pa_, ga), (nb, sb, pb, gb) = ([v[at[k] : at[k + 1]] for at, v in side] for side in (a, b))
         fits = _fitting(sa[:, None], pa_[:, None], sb, pb, percent)
         if na[0] == nb[0]:
             fits &= na[:, None] < nb
         i, j = np.nonzero(fits)
-        yield na[i], ga[i], nb[j], gb[j]
+        yield na[i], ga[i], nb[j], gb[j], np.minimum(sa[i], sb[j]), np.full(len(i), weight[k])
 
 
 def _merged(found) -> list[np.ndarray]:
-    """Each pair once: x, y, gx, gy, the lower group first, within a group the lower node."""
-    x, gx, y, gy = (np.concatenate(c) for c in zip(*found, strict=True))
+    """Each pair once, with its summed weight: x, gx, y, gy, n, weight, the lower group first, within a group the lower node."""
+    x, gx, y, gy, n, w = (np.concatenate(c) for c in zip(*found, strict=True))
     turn = (gx > gy) | ((gx == gy) & (x > y))
     x, y, gx, gy = np.where(turn, y, x), np.where(turn, x, y), np.where(turn, gy, gx), np.where(turn, gx, gy)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-    return [x[new], gx[order][new], y[new], gy[order][new]]
+    at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    return [x[at], gx[order][at], y[at], gy[order][at], n[order][at], np.add.reduceat(w[order], at)]
 
 
 def _by_groups(pairs: list[np.ndarray]) -> pa.RecordBatch:
     """A row for each pair of groups, with its pairs."""
     order = np.lexsort((pairs[3], pairs[1]))
-    x, gx, y, gy = (v[order] for v in pairs)
+    x, gx, y, gy, n, w = (v[order] for v in pairs)
     at = np.flatnonzero(np.append(True, (gx[1:] != gx[:-1]) | (gy[1:] != gy[:-1])))
     offsets = pa.array(np.append(at, len(x)).astype(np.int32))
-    return _batch(ga=pa.array(gx[at]), gb=pa.array(gy[at]), xs=pa.ListArray.from_arrays(offsets, pa.array(x)), ys=pa.ListArray.from_arrays(offsets, pa.array(y)))
+    of = lambda v, t=pa.int64(): pa.ListArray.from_arrays(offsets, pa.array(v, t))
+    return _batch(ga=pa.array(gx[at]), gb=pa.array(gy[at]), xs=of(x), ys=of(y), ns=of(n.astype(np.int32), pa.int32()), ws=of(w.astype(np.int32), pa.int32()))
+
+
+def _with_enough(batches):
+    """Rows in order of (ga, gb): each pair of groups in one row, with the pairs that share as many list entries as a link of their sizes must."""
+    key, held = None, []
+
+    def close():
+        x, y, n, w = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((y, x))
+        x, y, n, w = x[order], y[order], n[order], w[order]
+        at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        enough = np.add.reduceat(w, at) >= _slack(n[at])
+        at = at[enough]
+        if len(at):
+            offsets = pa.array(np.array([0, len(at)], np.int32))
+            yield _batch(ga=pa.array([key[0]], pa.int64()), gb=pa.array([key[1]], pa.int64()), xs=pa.ListArray.from_arrays(offsets, pa.array(x[at])), ys=pa.ListArray.from_arrays(offsets, pa.array(y[at])))
+
+    for batch in batches:
+        columns = [batch.column(c) for c in ("xs", "ys", "ns", "ws")]
+        for k, here in enumerate(zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True)):
+            if here != key:
+                if held:
+                    yield from close()
+                key, held = here, []
+            held.append([c[k].values.to_numpy().astype(np.int64) for c in columns])
+    if held:
+        yield from close()
 
 
 def _opened(batches, percent: int, pairs_of):
@@ -350,7 +382,7 @@ def _order(measured: DataFrame):
 def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
     """ga, gb, xs, ys: pairs that size and position leave open, from list entries (token, node, pos, n)."""
     lists = kept.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2"), F.min("node").alias("leader")).filter("members > 1")
-    lists = common.staged(lists.groupBy("members", "m1", "m2", "leader").agg(F.min("token").alias("token")).select("token", "members", "leader"), "set-lists")  # of lists with the same members, one
+    lists = common.staged(lists.groupBy("members", "m1", "m2", "leader").agg(F.min("token").alias("token"), F.count("*").cast("int").alias("weight")).select("token", "members", "leader", "weight"), "set-lists")  # of lists with the same members, one, with their number
     shared = common.staged(kept.join(lists, "token"), "set-shared")
     leaders = common.staged(shared.groupBy("node").agg(F.min("leader").alias("least")), "set-leaders")
     parts = leaders.groupBy("least").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
@@ -358,30 +390,31 @@ def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
     shared = shared.join(placed, "node")
     apart = lambda c: F.when(F.col("members") > BLOCK, c.cast("int")).otherwise(0)
     keys = [apart(F.floor(F.log("n") / F.lit(float(np.log(1.25))))).alias("bn"), apart(F.floor(F.col("pos") * 20 / F.col("n"))).alias("bp"), apart(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).alias("bh")]
-    blocks = shared.groupBy("token", "members", "leader", *keys).agg(F.collect_list(F.struct("node", "n", "pos", "block")).alias("e"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    blocks = shared.groupBy("token", "members", "leader", "weight", *keys).agg(F.collect_list(F.struct("node", "n", "pos", "block")).alias("e"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     blocks = common.staged(blocks.withColumn("at", F.struct("bn", "bp", "bh")), "set-blocks")
 
     def side(s: str) -> list[Column]:
         return [F.col(f"e.{c}").alias(f"{c}_{s}") for c in ("node", "n", "pos", "block")]
 
-    schema = "ga long, gb long, xs array<long>, ys array<long>"
+    schema = "ga long, gb long, xs array<long>, ys array<long>, ns array<int>, ws array<int>"
     tasks = common.shuffle_partitions(kept.sparkSession)  # few bytes, much work: not to be left to their size
     # lists of one leader hold much the same pairs: where they are opened together, a pair is handed on once
     shares = lists.groupBy("leader").agg(F.ceil(F.sum(F.least("members", F.lit(BLOCK)).cast("double") ** 2) / (2 * LOOKED_AT)).cast("int").alias("shares"))
     short = blocks.filter(F.col("members") <= BLOCK).join(shares, "leader").withColumn("share", F.pmod(F.xxhash64("token"), F.col("shares")))
-    short = short.select("leader", "share", *side("a")).repartition(tasks, "leader", "share").mapInArrow(lambda it: _opened(it, percent, _within), schema)
+    short = short.select("leader", "share", "weight", *side("a")).repartition(tasks, "leader", "share").mapInArrow(lambda it: _opened(it, percent, _within), schema)
     c = F.col
     bounds = ("n0", "n1", "p0", "p1", "at")
-    a, b = (blocks.filter(F.col("members") > BLOCK).select("token", *(["leader"] if s == "a" else []), *side(s), *[F.col(x).alias(f"{x}_{s}") for x in bounds]) for s in "ab")
+    a, b = (blocks.filter(F.col("members") > BLOCK).select("token", *(["leader", "weight"] if s == "a" else []), *side(s), *[F.col(x).alias(f"{x}_{s}") for x in bounds]) for s in "ab")
     sized = (c("n1_a") * 100 >= c("n0_b") * percent) & (c("n1_b") * 100 >= c("n0_a") * percent)
     # the most a pair of these blocks can share, against the least that a link of the smallest sizes needs
     most = F.least("p1_a", "p1_b") + 1 + F.least(c("n1_a") - c("p0_a") - 1, c("n1_b") - c("p0_b") - 1)
     room = most >= F.ceil(percent * (c("n0_a") + c("n0_b")) / (100 + percent))
     met = a.join(b, "token").filter((c("at_a") <= c("at_b")) & sized & room)
     kinds = ("at_a.bn", "at_a.bh", "at_b.bn", "at_b.bh")
-    long = met.select("leader", *[F.col(k).alias(k.replace(".", "_")) for k in kinds], *[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")])
+    long = met.select("leader", "weight", *[F.col(k).alias(k.replace(".", "_")) for k in kinds], *[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")])
     long = long.repartition(tasks, "leader", *[k.replace(".", "_") for k in kinds]).mapInArrow(lambda it: _opened(it, percent, _between), schema)
-    return common.staged(short.unionByName(long), "set-pairs")
+    found = short.unionByName(long).repartition(tasks, "ga", "gb").sortWithinPartitions("ga", "gb")
+    return common.staged(found.mapInArrow(_with_enough, "ga long, gb long, xs array<long>, ys array<long>"), "set-pairs")
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
