@@ -15,7 +15,8 @@ BOUNDS = 200
 
 def range_of(df: DataFrame, column: str) -> Column:
     """The number of the range that a row's value is in, ascending; nulls are in the first."""
-    drawn = df.select(column).dropna().distinct().orderBy(F.xxhash64(column)).limit(BOUNDS).collect()
+    values = df.select(F.col(column).alias("v"), F.xxhash64(column).alias("h")).dropna(subset=["v"])
+    drawn = values.groupBy("v").agg(F.max("h").alias("h")).orderBy("h").limit(BOUNDS).collect()
     bounds = F.array(*[F.lit(r[0]) for r in drawn])
     return F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(column))), F.lit(-1)) if drawn else F.lit(0)
 
@@ -31,7 +32,7 @@ def with_running(df: DataFrame, column: str, values: list[str], descending: bool
     earlier = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(way("_r")).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r")).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     bases = totals.select(*[f"_k{i}" for i in range(len(keys))], "_r", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values])  # at most BOUNDS + 2 rows of a group
-    on = [F.col("_range") == F.col("_r"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    on = [F.col("_range").eqNullSafe(F.col("_r")), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
     within = Window.partitionBy(*keys, "_range").orderBy(way(column)).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(bases, on)
     return out.withColumns({f"{v}_before": F.col(f"_b_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).drop("_range", "_r", *[f"_k{i}" for i in range(len(keys))], *[f"_b_{v}" for v in values])
@@ -44,7 +45,7 @@ def with_place(df: DataFrame, group: str, order: str, name: str = "place") -> Da
     before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
     bases = cells.select("_g", "_r", F.coalesce(before, F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order))
-    joined = rows.join(bases, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    joined = rows.join(bases, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
     return joined.withColumn(name, F.col("_base") + within).drop("_range", "_g", "_r", "_base")
 
 
@@ -61,4 +62,4 @@ def quantiles(df: DataFrame, column: str, points: list[float], group: str | None
     holds = lambda p: (p >= F.col("_from")) & (p < F.col("_from") + F.col("_n"))
     picked = rows.filter(holds(low) | holds(high)).groupBy(*keys, "x.i").agg(
         F.max(F.when(holds(low), F.col("_v"))).alias("lo"), F.max(F.when(holds(high), F.col("_v"))).alias("hi"), F.max(share).alias("share"))
-    return picked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")).alias("q")))), lambda x: x["q"]).alias("q"))
+    return picked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")).alias("q")))), lambda x: x["q"]).alias("q")).filter(F.size("q") > 0)  # an empty table has no row
