@@ -186,9 +186,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     groups = exact_groups(docs, id_col, text_col)
     kept = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    tagged = docs.withColumn("_sha256", F.sha2(normalised(docs[text_col]).cast("binary"), 256))
-    rows = tagged.join(kept, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
+    sha = F.sha2(normalised(docs[text_col]).cast("binary"), 256)
+    whole = docs.select(F.struct("*").alias("row"), docs[id_col].cast("bigint").alias("_id"), sha.alias("_sha"))  # docs' own columns may have any names
+    rows = whole.alias("l").join(kept.alias("r"), F.col("l._id").eqNullSafe(F.col("r._id")) & (F.col("l._sha") == F.col("r._sha")), "left_semi")
     repeated = groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if not repeated.isEmpty():
-        rows = rows.dropDuplicates([id_col, "_sha256"])
-    return rows.drop("_sha256")
+        rows = rows.dropDuplicates(["_id", "_sha"])
+    return rows.select("row.*")

@@ -477,4 +477,4 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """docs, with the smallest id of each group of linked documents, all columns as they are. Rows that repeat that id all stay."""
     kept = similar_groups(docs, id_col, text_col, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(kept.alias("kept"), docs[id_col].cast("bigint").eqNullSafe(F.col("kept._id")), "left_semi")

@@ -43,12 +43,49 @@ def water_targets(sizes: DataFrame, copies: int = MOST_COPIES, cycle: tuple[int,
     return x.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("water"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def _filled(lengths: np.ndarray, free: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """(documents of each length, how far their words end from left): a bounded knapsack, as near to left as any choice.
+
+    Binary splitting of the counts; reachable sums are the bits of one integer, up to left at first. Where left itself is
+    out of reach, a second pass looks above it, no farther than what the first one missed.
+    """
+    limit, order = left, np.argsort(lengths, kind="stable")
+    while True:
+        mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
+        for i in order:
+            n, piece = int(min(free[i], limit // max(1, int(lengths[i])))), 1
+            while n > 0:
+                piece = min(piece, n)
+                steps.append((i, piece, reach))
+                reach |= (reach << (piece * int(lengths[i]))) & mask
+                n, piece = n - piece, piece * 2
+            if reach >> left & 1:
+                break
+        best = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+        if limit > left or left - best <= 1:
+            break
+        limit = 2 * left - best - 1
+    above = reach >> (left + 1)
+    if above:
+        best = left + (above & -above).bit_length()
+    miss, extra = abs(left - best), np.zeros(len(free), np.int64)
+    for i, piece, earlier in reversed(steps):
+        if not earlier >> best & 1:
+            best -= piece * int(lengths[i])
+            extra[i] += piece
+    return extra, miss
+
+
+#: Documents of a length that are given back at most where the shares leave the budget out of reach.
+GIVEN_BACK = 8
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each length to choose so that their words come as near to budget as found.
 
-    Proportional shares first, then the longest lengths that still fit, until at most window words are left; then a
-    bounded knapsack over the counts that remain (binary splitting, reachable sums as bits of one integer), which
-    may end above or below the budget, whichever is nearer.
+    Proportional shares first, then the longest lengths that still fit, until at most window words are left; a bounded
+    knapsack over the counts that remain fills those. Where it misses, some documents of each length, the shortest first,
+    are given back while no more than window words are left, and the knapsack runs again; the nearer result counts.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
@@ -57,37 +94,26 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
         return counts.copy()
     chosen = (counts * (budget / total)).astype(np.int64)
     left = budget - int((lengths * chosen).sum())
-    free = counts - chosen
     for i in np.argsort(-lengths, kind="stable"):
         if left <= window:
             break
-        n = min(int(free[i]), max(0, left - window // 2) // int(lengths[i]))
+        n = min(int(counts[i] - chosen[i]), max(0, left - window // 2) // int(lengths[i]))
         chosen[i] += n
-        free[i] -= n
         left -= n * int(lengths[i])
     if left < 0:
         return chosen
-    limit = left + min(left, int(lengths[free > 0].min())) if (free > 0).any() else left
-    mask = (1 << (limit + 1)) - 1
-    reach, steps = 1, []
-    for i in np.argsort(lengths, kind="stable"):
-        n, piece = int(min(free[i], limit // max(1, int(lengths[i])))), 1
-        while n > 0:
-            piece = min(piece, n)
-            steps.append((i, piece, reach))
-            reach |= (reach << (piece * int(lengths[i]))) & mask
-            n, piece = n - piece, piece * 2
-        if reach >> left & 1:
-            break
-    below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
-    above = reach >> left
-    above = left + ((above & -above).bit_length() - 1) if above else None
-    best = below if above is None or left - below <= above - left else above
-    for i, piece, earlier in reversed(steps):
-        if not earlier >> best & 1:
-            best -= piece * int(lengths[i])
-            chosen[i] += piece
-    return chosen
+    extra, miss = _filled(lengths, counts - chosen, left)
+    if miss:
+        fewer, more = chosen.copy(), left
+        for _ in range(GIVEN_BACK):
+            for i in np.argsort(lengths, kind="stable"):
+                if more <= window and fewer[i]:
+                    fewer[i] -= 1
+                    more += int(lengths[i])
+        again, nearer = _filled(lengths, counts - fewer, more)
+        if nearer < miss:
+            return fewer + again
+    return chosen + extra
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -205,7 +205,6 @@ def test_neighbours_of_copies_and_bad_vectors(spark):
 
 def test_token_files_round_trip(docs, table):
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     got, start = {r["doc_id"]: r for r in token_frames.encode_corpus(docs, str(public_tokenizers.path("byte_bpe_50k.json"))).collect()}, 0
     for i, text in sorted(zip(table.doc_id, table.text, strict=True)):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
