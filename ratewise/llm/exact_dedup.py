@@ -166,9 +166,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = 1 << (MAX_DEPTH - depth)
     plan = spark.createDataFrame([(c, owner[slots[c // width]]) for c in range(1 << MAX_DEPTH)], "cell int, owner int")
 
-    entries = rows.select("doc_id", "norm", "digest").mapInArrow(lambda it: _reduced(it, HELD_BYTES), "digest string, norm string, first_id long, rows long")
+    entries = common.in_arrow(rows.select("doc_id", "norm", "digest"), lambda it: _reduced(it, HELD_BYTES), "digest string, norm string, first_id long, rows long")
     owned = entries.withColumn("cell", cell).join(F.broadcast(plan), "cell")  # 2**MAX_DEPTH rows
-    resolved = owned.repartitionById(owners, F.col("owner")).sortWithinPartitions("digest").select("digest", "norm", "first_id", "rows").mapInArrow(_resolved, "digest string, place int, chained string, keep_id long, group_size long")
+    owned = owned.repartitionById(owners, F.col("owner")).sortWithinPartitions("digest").select("digest", "norm", "first_id", "rows")
+    resolved = common.in_arrow(owned, _resolved, "digest string, place int, chained string, keep_id long, group_size long")
     index = common.staged(resolved, "dedup-index")
 
     single = index.filter("chained is null").select("digest", "keep_id", "group_size")

@@ -372,7 +372,7 @@ def _answers(batches, percent: int, pairs: bool):
 
 def _order(measured: DataFrame):
     """The summed sketch, broadcast: COUNTERS numbers, however large the corpus."""
-    parts = measured.filter("slice is not null").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
+    parts = common.in_arrow(measured.filter("slice is not null").select("slice", "counts").repartition(_SLICES, "slice"), _summed, "slice int, counts binary").collect()
     counts = np.zeros((_SLICES, COUNTERS // _SLICES), np.uint64)
     for r in parts:
         counts[r["slice"]] += np.frombuffer(r["counts"], np.uint64)
@@ -401,7 +401,7 @@ def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
     # lists of one leader hold much the same pairs: where they are opened together, a pair is handed on once
     shares = lists.groupBy("leader").agg(F.ceil(F.sum(F.least("members", F.lit(BLOCK)).cast("double") ** 2) / (2 * LOOKED_AT)).cast("int").alias("shares"))
     short = blocks.filter(F.col("members") <= BLOCK).join(shares, "leader").withColumn("share", F.pmod(F.xxhash64("token"), F.col("shares")))
-    short = short.select("leader", "share", "weight", *side("a")).repartition(tasks, "leader", "share").mapInArrow(lambda it: _opened(it, percent, _within), schema)
+    short = common.in_arrow(short.select("leader", "share", "weight", *side("a")).repartition(tasks, "leader", "share"), lambda it: _opened(it, percent, _within), schema)
     c = F.col
     bounds = ("n0", "n1", "p0", "p1", "at")
     a, b = (blocks.filter(F.col("members") > BLOCK).select("token", *(["leader", "weight"] if s == "a" else []), *side(s), *[F.col(x).alias(f"{x}_{s}") for x in bounds]) for s in "ab")
@@ -412,23 +412,24 @@ def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
     met = a.join(b, "token").filter((c("at_a") <= c("at_b")) & sized & room)
     kinds = ("at_a.bn", "at_a.bh", "at_b.bn", "at_b.bh")
     long = met.select("leader", "weight", *[F.col(k).alias(k.replace(".", "_")) for k in kinds], *[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")])
-    long = long.repartition(tasks, "leader", *[k.replace(".", "_") for k in kinds]).mapInArrow(lambda it: _opened(it, percent, _between), schema)
+    long = common.in_arrow(long.repartition(tasks, "leader", *[k.replace(".", "_") for k in kinds]), lambda it: _opened(it, percent, _between), schema)
     found = short.unionByName(long).repartition(tasks, "ga", "gb").sortWithinPartitions("ga", "gb")
-    return common.staged(found.mapInArrow(_with_enough, "ga long, gb long, xs array<long>, ys array<long>"), "set-pairs")
+    opened = common.staged(common.in_arrow(found, _with_enough, "ga long, gb long, xs array<long>, ys array<long>"), "set-pairs")
+    return opened
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows' sets, different sets, answers of _answers)."""
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    measured = common.staged(rows.mapInArrow(lambda it: _measured(it, size), "doc_id long, n long, node long, slice int, counts binary"), "set-sizes")
+    measured = common.staged(common.in_arrow(rows, lambda it: _measured(it, size), "doc_id long, n long, node long, slice int, counts binary"), "set-sizes")
     sketch = _order(measured)
     sized = measured.filter("slice is null").select("doc_id", "n", "node")
     classes = measured.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"))
     classes = common.staged(classes, "set-classes")
 
-    entries = rows.select("text").mapInArrow(lambda it: _prefixes(it, size, percent, sketch), "token long, node long, pos int")
+    entries = common.in_arrow(rows.select("text"), lambda it: _prefixes(it, size, percent, sketch), "token long, node long, pos int")
     entries = entries.repartition(common.shuffle_partitions(docs.sparkSession), "token").sortWithinPartitions("token", "node")
-    entries = common.staged(entries.mapInArrow(_shared, "token long, node long, pos int"), "set-entries")
+    entries = common.staged(common.in_arrow(entries, _shared, "token long, node long, pos int"), "set-entries")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))  # the slack of the smallest set that can link with this one
     good = entries.groupBy("node").agg(F.count("*").alias("entries")).join(classes, "node").filter(F.col("entries") >= least).select("node", F.col("n").cast("int").alias("n"))
     kept = common.staged(entries.join(common.staged(good, "set-linkable"), "node"), "set-kept")
@@ -438,13 +439,14 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     members = common.staged(members.join(classes.select("node", "first", "copies"), "node"), "set-members")
     ids = common.staged(members.select(F.col("first").alias("_id")).distinct(), "set-ids")
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(lambda it: _packed_sets(it, size), "node long, packed binary")
+    sets = common.in_arrow(texts, lambda it: _packed_sets(it, size), "node long, packed binary")
     no_array, none = F.lit(None).cast("array<long>"), F.lit(None).cast("long")
     left = members.join(sets, "node").select("ga", "gb", F.lit(0).alias("role"), "node", "copies", "packed", no_array.alias("xs"), no_array.alias("ys"))
     right = opened.select("ga", "gb", F.lit(1).alias("role"), none.alias("node"), none.alias("copies"), F.lit(None).cast("binary").alias("packed"), "xs", "ys")
     met = left.unionByName(right).repartition(common.shuffle_partitions(docs.sparkSession), "ga", "gb").sortWithinPartitions("ga", "gb", "role", "node")
-    answers = met.mapInArrow(lambda it: _answers(it, percent, pairs), "a long, b long" if pairs else "node long, root long, links long")
-    return sized, classes, common.staged(answers, "set-answers")
+    answers = common.in_arrow(met, lambda it: _answers(it, percent, pairs), "a long, b long" if pairs else "node long, root long, links long")
+    answers = common.staged(answers, "set-answers")
+    return sized, classes, answers
 
 
 def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:

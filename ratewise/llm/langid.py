@@ -100,7 +100,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     quota = max(1, most_rows // len(found))
     share = F.create_map(*[x for k, n in found.items() for x in (F.lit(k), F.lit(min(1.0, quota / n)))])
     drawn = labelled.filter(common.seeded_unit(3, labelled[id_col]) < share[labelled[lang_col]])
-    rows = drawn.select(drawn[lang_col].alias("lang"), drawn[text_col].alias("text")).mapInArrow(_packed, "lang string, bits binary").collect()  # about most_rows rows of BITS / 8 bytes
+    rows = common.in_arrow(drawn.select(drawn[lang_col].alias("lang"), drawn[text_col].alias("text")), _packed, "lang string, bits binary").collect()  # about most_rows rows of BITS / 8 bytes
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
     languages = sorted({r["lang"] for r in rows})
     if not rows:
@@ -129,6 +129,7 @@ def _guesser(model: Model | None, spark):
                     names[c:d] = np.array(model.languages, object)[best]
                     scores[c:d] = p[np.arange(len(best)), best] / p.sum(1)
             names[~lettered], scores[~lettered] = "und", 0.0
+            pa.default_memory_pool().release_unused()  # a worker outlives its tasks
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
     return guess

@@ -111,7 +111,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    pieces = common.staged(rows.mapInArrow(lambda it: _pieces(it, tokenizer_path, end_id, limits.tokens), schema), "pack-pieces")
+    pieces = common.staged(common.in_arrow(rows, lambda it: _pieces(it, tokenizer_path, end_id, limits.tokens), schema), "pack-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = common.staged(by_task.withColumn("before", before), "pack-offsets")
