@@ -38,10 +38,10 @@ BATCH_ROWS = 1024
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: cuts the lineage and outlives any executor."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = path or new_path(spark, label)
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
     try:
@@ -51,6 +51,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables of one computation, deleted once what was computed from them is staged itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def staged(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, label))
+        return staged(df, label, self.paths[-1])
+
+    def clear(self) -> None:
+        """Delete their folders; no DataFrame that reads them may be used from here on."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
+
+
 def in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """df.mapInArrow; at the end of a task its worker, which Spark uses again, hands back the memory that Arrow no longer needs."""
 

@@ -379,19 +379,20 @@ def _order(measured: DataFrame):
     return measured.sparkSession.sparkContext.broadcast(counts.reshape(-1))
 
 
-def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(kept: DataFrame, percent: int, results: common.Scratch) -> DataFrame:
     """ga, gb, xs, ys: pairs that size and position leave open, from list entries (token, node, pos, n)."""
+    scratch = common.Scratch(kept.sparkSession)
     lists = kept.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2"), F.min("node").alias("leader")).filter("members > 1")
-    lists = common.staged(lists.groupBy("members", "m1", "m2", "leader").agg(F.min("token").alias("token"), F.count("*").cast("int").alias("weight")).select("token", "members", "leader", "weight"), "set-lists")  # of lists with the same members, one, with their number
-    shared = common.staged(kept.join(lists, "token"), "set-shared")
-    leaders = common.staged(shared.groupBy("node").agg(F.min("leader").alias("least")), "set-leaders")
+    lists = scratch.staged(lists.groupBy("members", "m1", "m2", "leader").agg(F.min("token").alias("token"), F.count("*").cast("int").alias("weight")).select("token", "members", "leader", "weight"), "set-lists")  # of lists with the same members, one, with their number
+    shared = scratch.staged(kept.join(lists, "token"), "set-shared")
+    leaders = scratch.staged(shared.groupBy("node").agg(F.min("leader").alias("least")), "set-leaders")
     parts = leaders.groupBy("least").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     placed = leaders.join(parts, "least").select("node", F.xxhash64("least", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
     shared = shared.join(placed, "node")
     apart = lambda c: F.when(F.col("members") > BLOCK, c.cast("int")).otherwise(0)
     keys = [apart(F.floor(F.log("n") / F.lit(float(np.log(1.25))))).alias("bn"), apart(F.floor(F.col("pos") * 20 / F.col("n"))).alias("bp"), apart(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).alias("bh")]
     blocks = shared.groupBy("token", "members", "leader", "weight", *keys).agg(F.collect_list(F.struct("node", "n", "pos", "block")).alias("e"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-    blocks = common.staged(blocks.withColumn("at", F.struct("bn", "bp", "bh")), "set-blocks")
+    blocks = scratch.staged(blocks.withColumn("at", F.struct("bn", "bp", "bh")), "set-blocks")
 
     def side(s: str) -> list[Column]:
         return [F.col(f"e.{c}").alias(f"{c}_{s}") for c in ("node", "n", "pos", "block")]
@@ -414,13 +415,15 @@ def _open_pairs(kept: DataFrame, percent: int) -> DataFrame:
     long = met.select("leader", "weight", *[F.col(k).alias(k.replace(".", "_")) for k in kinds], *[f"{v}_{s}" for s in "ab" for v in ("node", "n", "pos", "block")])
     long = common.in_arrow(long.repartition(tasks, "leader", *[k.replace(".", "_") for k in kinds]), lambda it: _opened(it, percent, _between), schema)
     found = short.unionByName(long).repartition(tasks, "ga", "gb").sortWithinPartitions("ga", "gb")
-    opened = common.staged(common.in_arrow(found, _with_enough, "ga long, gb long, xs array<long>, ys array<long>"), "set-pairs")
+    opened = results.staged(common.in_arrow(found, _with_enough, "ga long, gb long, xs array<long>, ys array<long>"), "set-pairs")
+    scratch.clear()
     return opened
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows' sets, different sets, answers of _answers)."""
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    early, middle, scratch = (common.Scratch(docs.sparkSession) for _ in range(3))
     measured = common.staged(common.in_arrow(rows, lambda it: _measured(it, size), "doc_id long, n long, node long, slice int, counts binary"), "set-sizes")
     sketch = _order(measured)
     sized = measured.filter("slice is null").select("doc_id", "n", "node")
@@ -429,15 +432,17 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
 
     entries = common.in_arrow(rows.select("text"), lambda it: _prefixes(it, size, percent, sketch), "token long, node long, pos int")
     entries = entries.repartition(common.shuffle_partitions(docs.sparkSession), "token").sortWithinPartitions("token", "node")
-    entries = common.staged(common.in_arrow(entries, _shared, "token long, node long, pos int"), "set-entries")
+    entries = early.staged(common.in_arrow(entries, _shared, "token long, node long, pos int"), "set-entries")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))  # the slack of the smallest set that can link with this one
     good = entries.groupBy("node").agg(F.count("*").alias("entries")).join(classes, "node").filter(F.col("entries") >= least).select("node", F.col("n").cast("int").alias("n"))
-    kept = common.staged(entries.join(common.staged(good, "set-linkable"), "node"), "set-kept")
-    opened = _open_pairs(kept, percent)
+    kept = middle.staged(entries.join(early.staged(good, "set-linkable"), "node"), "set-kept")
+    early.clear()
+    opened = _open_pairs(kept, percent, scratch)
+    middle.clear()
 
     members = opened.select("ga", "gb", F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("node")).distinct()
-    members = common.staged(members.join(classes.select("node", "first", "copies"), "node"), "set-members")
-    ids = common.staged(members.select(F.col("first").alias("_id")).distinct(), "set-ids")
+    members = scratch.staged(members.join(classes.select("node", "first", "copies"), "node"), "set-members")
+    ids = scratch.staged(members.select(F.col("first").alias("_id")).distinct(), "set-ids")
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = common.in_arrow(texts, lambda it: _packed_sets(it, size), "node long, packed binary")
     no_array, none = F.lit(None).cast("array<long>"), F.lit(None).cast("long")
@@ -446,6 +451,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     met = left.unionByName(right).repartition(common.shuffle_partitions(docs.sparkSession), "ga", "gb").sortWithinPartitions("ga", "gb", "role", "node")
     answers = common.in_arrow(met, lambda it: _answers(it, percent, pairs), "a long, b long" if pairs else "node long, root long, links long")
     answers = common.staged(answers, "set-answers")
+    scratch.clear()
     return sized, classes, answers
 
 
