@@ -101,7 +101,7 @@ def check_calibration(parts: DataFrame, whole: DataFrame, metrics: DataFrame, bi
 def check_monotone(df: DataFrame, before: str, after: str, slack: float = 1e-12) -> DataFrame:
     """One row: places where the score after falls as the one before rises. Distinct scores are compared within ranges, and ranges with one another."""
     pairs = df.groupBy(F.col(before).alias("b")).agg(F.min(after).alias("low"), F.max(after).alias("high"))
-    pairs = pairs.withColumn("r", ranking.range_of(pairs, "b"))
+    pairs = ranking.with_range(pairs, "b", "r")
     fell = F.col("low") < F.lag("high").over(Window.partitionBy("r").orderBy("b")) - slack
     inside = pairs.withColumn("fell", fell).groupBy("r").agg(F.count_if("fell").alias("falls"), F.min_by("low", "b").alias("first"), F.max_by("high", "b").alias("last"))
     across = F.col("first") < F.lag("last").over(Window.orderBy("r")) - slack  # one row for each range

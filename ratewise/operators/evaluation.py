@@ -65,7 +65,7 @@ THRESHOLD_RATES = (
 
 
 def threshold_metrics(df: DataFrame, grid: list[float], score: str = "score", label: str = "click") -> DataFrame:
-    """Confusion counts and rates for each threshold, score >= threshold being selected; undefined rates are null. Rows without a label are left out.
+    """Confusion counts and rates for each threshold, score >= threshold being selected; undefined rates are null, F1 without a true positive among them. Rows without a label are left out.
 
     Rows are first counted by the highest threshold that they reach, so the data is read once whatever the grid.
     """
@@ -84,7 +84,7 @@ def threshold_metrics(df: DataFrame, grid: list[float], score: str = "score", la
     ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     x = x.withColumns({
         "positive_rows": tp + fn, "negative_rows": fp + tn, "selected_rows": tp + fp, "coverage": ratio(tp + fp, every), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp),
-        "false_positive_rate": ratio(fp, fp + tn), "false_negative_rate": ratio(fn, fn + tp), "accuracy": ratio(tp + tn, every), "f1": ratio(2 * tp, 2 * tp + fp + fn), "npv": ratio(tn, tn + fn),
+        "false_positive_rate": ratio(fp, fp + tn), "false_negative_rate": ratio(fn, fn + tp), "accuracy": ratio(tp + tn, every), "f1": F.when(tp > 0, ratio(2 * tp, 2 * tp + fp + fn)), "npv": ratio(tn, tn + fn),
         "selected_ctr": ratio(tp, tp + fp), "unselected_ctr": ratio(fn, fn + tn), "overall_ctr": ratio(tp + fn, every), "capture": ratio(tp, tp + fn), "missed": ratio(fn, tp + fn)})
     return x.withColumns({"balanced_accuracy": (F.col("recall") + F.col("specificity")) / 2, "lift": F.try_divide(F.col("precision"), F.col("overall_ctr")), "youden_j": F.col("recall") + F.col("specificity") - 1})
 
@@ -101,6 +101,25 @@ def with_score_rank(df: DataFrame, score: str = "score", id_col: str = "id") ->
     return placed.drop("_s", "n_above", "_place").withColumns({"rank_share": F.col("rank") / F.col("total"), "decile": group_of_rank(F.col("rank"), F.col("total"), 10)})
 
 
+def _score_segments(df: DataFrame, cuts, segment, score: str, label: str, id_col: str) -> DataFrame:
+    """segment, n, c, low, high, weight (sum of scores) for segments of the ranking by score (descending) and id, and total.
+
+    cuts(total): an array of ranks after which a segment ends; segment(rank, total): a rank's segment. Whole scores are
+    counted by score; only the rows of a score that a cut divides, one score for each cut at most, are ranked by id.
+    """
+    rows = df.select(F.col(score).alias("s"), F.col(label).alias("y"), F.col(id_col).alias("i"))
+    counts = rows.groupBy("s").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("c"))
+    run = ranking.with_running(counts, "s", ["n"], descending=True).join(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    above = F.col("n_before")
+    run = run.withColumn("cut", F.exists(cuts(F.col("total")), lambda k: (k > above) & (k < above + F.col("n"))))
+    whole = run.filter("not cut").groupBy(segment(above + 1, F.col("total")).alias("segment")).agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.min("s").alias("low"), F.max("s").alias("high"), F.sum(F.col("s") * F.col("n")).alias("weight"), F.max("total").alias("total"))
+    few = run.filter("cut").select(F.col("s").alias("_s"), F.col("n_before").alias("_above"), "total")  # a row for each cut at most
+    tied = rows.join(F.broadcast(few), F.col("s").eqNullSafe(F.col("_s"))).drop("_s")
+    placed = ranking.with_place(tied, "s", "i", "_place", of=rows)
+    parts = placed.groupBy(segment(F.col("_above") + F.col("_place"), F.col("total")).alias("segment")).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("c"), F.min("s").alias("low"), F.max("s").alias("high"), F.sum("s").alias("weight"), F.max("total").alias("total"))
+    return whole.unionByName(parts).groupBy("segment").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("weight").alias("weight"), F.max("total").alias("total"))
+
+
 def group_of_rank(rank: Column, total: Column, groups: int) -> Column:
     """Near-equal groups from 1; the first total % groups have one row more."""
     few, more = F.floor(total / groups), total % groups
@@ -110,14 +129,16 @@ def group_of_rank(rank: Column, total: Column, groups: int) -> Column:
 
 def topk_metrics(df: DataFrame, coverages=TOPK_COVERAGES, score: str = "score", label: str = "click", id_col: str = "id") -> DataFrame:
     """For each coverage its max(1, ceil(n * coverage)) best rows: clicks, cutoff, rate, lift, capture, gain (capture over coverage), clicks expected of as many random rows, and clicks beyond those."""
-    ranked = with_score_rank(df, score, id_col)
-    per = F.array(*[F.lit(float(c)) for c in coverages])
-    # rows are counted by the smallest coverage that takes them, then summed upwards
-    need = F.filter(per, lambda c: F.greatest(F.lit(1), F.ceil(F.col("total") * c)) >= F.col("rank"))
-    cells = ranked.withColumn("least", F.array_min(need)).groupBy("least").agg(F.count("*").alias("n"), F.sum(label).alias("c"), F.min(score).alias("low"), F.max("total").alias("total"))
-    rows = cells.withColumn("coverage", F.explode(F.filter(per, lambda c: c >= F.col("least"))))
-    whole = cells.agg(F.max("total").alias("_all"), F.sum("c").alias("_clicks")) if max(coverages) >= 1 else df.agg(F.count("*").alias("_all"), F.sum(label).alias("_clicks"))
-    x = rows.groupBy("coverage").agg(F.sum("n").alias("rows"), F.sum("c").alias("clicks"), F.min("low").alias("cutoff")).join(F.broadcast(whole))
+    steps = sorted({float(c) for c in coverages})
+    last = lambda total, c: F.greatest(F.lit(1), F.ceil(total * F.lit(c))).cast("bigint")
+    cuts = lambda total: F.array(*[last(total, c) for c in steps])
+    # a segment is the number of coverages that do not reach a rank: rows count for the later ones
+    segment = lambda rank, total: sum((last(total, c) < rank).cast("int") for c in steps[1:]) + (last(total, steps[0]) < rank).cast("int")
+    cells = _score_segments(df, cuts, segment, score, label, id_col)
+    per = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("coverage")) for i, c in enumerate(steps)])
+    rows = cells.select("segment", "n", "c", "low", "total", F.inline(per))
+    taken = F.col("segment") <= F.col("i")
+    x = rows.groupBy("coverage").agg(F.sum(F.when(taken, F.col("n"))).alias("rows"), F.sum(F.when(taken, F.col("c"))).alias("clicks"), F.min(F.when(taken, F.col("low"))).alias("cutoff"), F.max("total").alias("_all"), F.sum("c").alias("_clicks"))
     x = x.withColumns({"ctr": rate(F.col("clicks"), F.col("rows")), "capture": rate(F.col("clicks"), F.col("_clicks")), "expected_clicks": rate(F.col("rows") * F.col("_clicks"), F.col("_all"))})
     lift = F.coalesce(F.try_divide(F.col("ctr"), rate(F.col("_clicks"), F.col("_all"))), F.lit(0.0))
     return x.withColumns({"lift": lift, "gain": F.try_divide(F.col("capture"), F.col("rows") / F.col("_all")), "incremental_clicks": F.col("clicks") - F.col("expected_clicks")}).drop("_all", "_clicks")
@@ -125,10 +146,11 @@ def topk_metrics(df: DataFrame, coverages=TOPK_COVERAGES, score: str = "score",
 
 def score_groups(df: DataFrame, groups: int, ascending: bool, score: str = "score", label: str = "click", id_col: str = "id") -> DataFrame:
     """Near-equal groups in score order (deciles, calibration bins): rows, clicks, score range and mean, rate, gap, weighted gap, lift, share of clicks, and rows, coverage, clicks and capture up to each group."""
-    ranked = with_score_rank(df, score, id_col)
-    rank = F.col("total") + 1 - F.col("rank") if ascending else F.col("rank")
-    x = ranked.groupBy(group_of_rank(rank, F.col("total"), groups).alias("grp")).agg(
-        F.count("*").alias("n_rows"), F.sum(label).alias("clicks"), F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.round(F.avg(score), 9).alias("mean_score"))
+    sized = lambda total, k: F.floor(total / groups) * k + F.least(total % groups, F.lit(k))  # noqa: E731  rows of the first k groups
+    cuts = lambda total: F.array(*[(total - sized(total, k) if ascending else sized(total, k)).cast("bigint") for k in range(1, groups)], F.lit(0).cast("bigint"))
+    segment = lambda rank, total: group_of_rank(total + 1 - rank if ascending else rank, total, groups)
+    x = _score_segments(df, cuts, segment, score, label, id_col).select(
+        F.col("segment").alias("grp"), F.col("n").alias("n_rows"), F.col("c").alias("clicks"), F.col("low").alias("min_score"), F.col("high").alias("max_score"), F.round(F.col("weight") / F.col("n"), 9).alias("mean_score"))
     x = x.withColumn("ctr", rate(F.col("clicks"), F.col("n_rows"))).withColumn("gap", F.round(F.abs(F.col("mean_score") - F.col("ctr")), 9))
     every, upto = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("grp")  # one row for each group
     rows, clicks = F.sum("n_rows").over(every), F.sum("clicks").over(every)
@@ -142,12 +164,20 @@ PERCENTS = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)
 
 
 def score_summary(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
-    """Rows, clicks, rate, mean score and its quantiles, interpolated; AUC, average precision, log loss and Brier score. One row."""
-    per = ranking.quantiles(df, score, [p / 100 for p in PERCENTS])
-    x = df.agg(F.count("*").alias("n_rows"), F.sum(label).alias("clicks"), F.avg(label).alias("ctr"), F.avg(score).alias("mean_score")).join(F.broadcast(per), how="left")
-    for one in (roc_auc(df, score, label), average_precision(df, score, label), probability_metrics(df, score, label).select("log_loss", "brier")):
-        x = x.join(F.broadcast(one))
-    return x.select("n_rows", "clicks", "ctr", "mean_score", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS)], "auc", "average_precision", "log_loss", "brier")
+    """Rows, clicks, rate, mean score and its quantiles, interpolated; AUC, average precision, log loss and Brier score of the labelled rows. One row, all of it from the counts by score."""
+    y = F.col(label)
+    counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"), F.count(y).alias("m"), F.coalesce(F.sum(y), F.lit(0)).alias("c"))
+    run = ranking.with_running(counts, "s", ["n", "m", "c"], descending=True)
+    run = run.join(F.broadcast(counts.agg(F.sum(F.when(F.col("s").isNotNull(), F.col("n"))).alias("_total"))))
+    s, n, m, c, m_above, c_above = (F.col(k) for k in ("s", "n", "m", "c", "m_before", "c_before"))
+    p = clip_probability(s)
+    won, hit = (m - c) * (c_above + c / 2), c * (c_above + c) / F.nullif(m_above + m, F.lit(0))
+    loss, square = -(c * F.ln(p) + (m - c) * F.ln(1 - p)), c * (1 - s) * (1 - s) + (m - c) * s * s
+    labelled = lambda x: F.try_divide(F.sum(F.when(s.isNotNull(), x)), F.sum(F.when(s.isNotNull(), m)))
+    per = ranking.quantile_values(s, F.col("_total") - F.col("n_before") - n, n, F.col("_total"), [q / 100 for q in PERCENTS])
+    return run.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n_rows"), F.sum(c).alias("clicks"), F.try_divide(F.sum(c).cast("double"), F.sum(m)).alias("ctr"), F.try_divide(F.sum(s * n), F.max("_total")).alias("mean_score"), *[q.alias(f"p{k}") for k, q in zip(PERCENTS, per, strict=True)],
+        F.try_divide(F.sum(won), F.sum(c).cast("double") * F.sum(m - c)).alias("auc"), F.try_divide(F.sum(hit), F.sum(c).cast("double")).alias("average_precision"), labelled(loss).alias("log_loss"), labelled(square).alias("brier"))
 
 
 def model_metrics(df: DataFrame, name: str, threshold: float = 0.5, features: int | None = None, seconds: float | None = None, score: str = "score", label: str = "click") -> DataFrame:

@@ -1,24 +1,35 @@
 """Running sums, ranks and exact quantiles over a whole table, without a window over all rows.
 
-Rows are cut into ranges by bounds drawn from the data (those of the smallest hashes, so reruns agree), summed by range,
-and only then ordered within a range. Bounds are BOUNDS values, however large the table; any bounds give the same result.
+Rows are cut into ranges by bounds drawn from the column: those of one in SAMPLED hashes, each KEPT-th of them in order,
+so the ranges grow in number with the rows and reruns agree. The bounds are a scalar subquery (one pass over the column, no
+shuffle of its values, no job before the query runs); a row finds its range by binary search. Rows are
+summed by range and ordered within a range only; any bounds give the same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values that cut a table, or each of its groups, into ranges.
-BOUNDS = 200
+#: One value in so many is drawn, each KEPT-th drawn value is a bound: a range has about SAMPLED * KEPT rows.
+SAMPLED, KEPT = 1 << 15, 16
+#: Steps of the binary search: fewer than 2**STEPS bounds are found, those of about 5 * 10**11 rows.
+STEPS = 20
 
 
-def range_of(df: DataFrame, column: str) -> Column:
-    """The number of the range that a row's value is in, ascending; nulls are in the first."""
-    values = df.select(F.col(column).alias("v"), F.xxhash64(column).alias("h")).dropna(subset=["v"])
-    drawn = values.groupBy("v").agg(F.max("h").alias("h")).orderBy("h").limit(BOUNDS).collect()
-    bounds = F.array(*[F.lit(r[0]) for r in drawn])
-    return F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(column))), F.lit(-1)) if drawn else F.lit(0)
+def bounds(df: DataFrame, column: str) -> DataFrame:
+    """One row: the bounds of column's values as a sorted array."""
+    drawn = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull() & (F.pmod(F.xxhash64("v"), F.lit(SAMPLED)) == 0))
+    return drawn.agg(F.filter(F.array_sort(F.collect_set("v")), lambda _, i: i % KEPT == KEPT - 1).alias("bounds"))
+
+
+def with_range(df: DataFrame, column: str, name: str = "_range", of: DataFrame | None = None) -> DataFrame:
+    """df with the number of the range that a row's value is in, ascending; nulls are in range -1. Bounds come from the same column of another table, if one is given."""
+    out = df.withColumns({"_range_of": F.col(column), "_range_bounds": bounds(df if of is None else of, column).scalar()})
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(STEPS))])
+    # _range_bounds is named once, so the subquery's value is used in place; _range_of twice, so a computed column is not computed again for each step
+    found = F.aggregate(steps, F.lit(0), lambda p, step: F.when(F.get("_range_bounds", p + step - 1) <= F.col("_range_of"), p + step).otherwise(p))
+    return out.withColumn(name, F.when(F.col("_range_of").isNull(), -1).otherwise(found)).drop("_range_of", "_range_bounds")
 
 
 def with_running(df: DataFrame, column: str, values: list[str], descending: bool = False, group: str | None = None) -> DataFrame:
@@ -27,20 +38,20 @@ def with_running(df: DataFrame, column: str, values: list[str], descending: bool
     column is unique within a group; nulls come first in ascending and last in descending order. Missing sums are 0.
     """
     keys = [group] if group else []
-    rows = df.withColumn("_range", range_of(df, column))
+    rows = with_range(df, column)
     way = F.desc_nulls_last if descending else F.asc_nulls_first
     earlier = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(way("_r")).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r")).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    bases = totals.select(*[f"_k{i}" for i in range(len(keys))], "_r", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values])  # at most BOUNDS + 2 rows of a group
+    bases = totals.select(*[f"_k{i}" for i in range(len(keys))], "_r", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values])  # a row for each range of a group
     on = [F.col("_range").eqNullSafe(F.col("_r")), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
     within = Window.partitionBy(*keys, "_range").orderBy(way(column)).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(bases, on)
     return out.withColumns({f"{v}_before": F.col(f"_b_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).drop("_range", "_r", *[f"_k{i}" for i in range(len(keys))], *[f"_b_{v}" for v in values])
 
 
-def with_place(df: DataFrame, group: str, order: str, name: str = "place") -> DataFrame:
-    """name from 1 within each group, in order of a unique column; a group that most rows have is ordered in ranges."""
-    rows = df.withColumn("_range", range_of(df, order))
+def with_place(df: DataFrame, group: str, order: str, name: str = "place", of: DataFrame | None = None) -> DataFrame:
+    """name from 1 within each group, in order of a unique column; a group that most rows have is ordered in ranges, with bounds from another table's column if one is given."""
+    rows = with_range(df, order, of=of)
     cells = rows.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
     bases = cells.select("_g", "_r", F.coalesce(before, F.lit(0)).alias("_base"))
@@ -50,16 +61,22 @@ def with_place(df: DataFrame, group: str, order: str, name: str = "place") -> Da
 
 
 def quantiles(df: DataFrame, column: str, points: list[float], group: str | None = None) -> DataFrame:
-    """(group,) q: the exact quantiles of the non-null values as an array, interpolated between the two values around each point."""
+    """(group,) q: the exact quantiles of the non-null values as an array, interpolated between the two values around each point. Without a value there is no row."""
     keys = [group] if group else []
     counts = df.select(*keys, F.col(column).cast("double").alias("_v")).dropna(subset=["_v"]).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     run = with_running(counts, "_v", ["_n"], group=group)
     whole = counts.groupBy(*[F.col(k).alias("_g") for k in keys]).agg(F.sum("_n").alias("_total"))
     joined = run.join(F.broadcast(whole), F.col(group).eqNullSafe(F.col("_g"))) if group else run.join(F.broadcast(whole))
-    at = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at")) for i, p in enumerate(points)])
-    rows = joined.select(*keys, "_v", "_n", F.col("_n_before").alias("_from"), F.explode(at).alias("x"))
-    low, high, share = F.floor("x.at"), F.ceil("x.at"), F.col("x.at") - F.floor("x.at")
-    holds = lambda p: (p >= F.col("_from")) & (p < F.col("_from") + F.col("_n"))
-    picked = rows.filter(holds(low) | holds(high)).groupBy(*keys, "x.i").agg(
-        F.max(F.when(holds(low), F.col("_v"))).alias("lo"), F.max(F.when(holds(high), F.col("_v"))).alias("hi"), F.max(share).alias("share"))
-    return picked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")).alias("q")))), lambda x: x["q"]).alias("q")).filter(F.size("q") > 0)  # an empty table has no row
+    found = joined.groupBy(*keys).agg(F.array(*quantile_values(F.col("_v"), F.col("_n_before"), F.col("_n"), F.col("_total"), points)).alias("q"), F.max("_total").alias("_total"))
+    return found.filter("_total > 0").drop("_total")
+
+
+def quantile_values(value, before, n, total, points: list[float]) -> list:
+    """For each point an aggregate over distinct values that gives its interpolated quantile, from the rows before a value, with it, and in all."""
+    out = []
+    for p in points:
+        at = F.lit(float(p)) * (total - 1)
+        holds = lambda k: (k >= before) & (k < before + n)
+        low, high = F.max(F.when(holds(F.floor(at)), value)), F.max(F.when(holds(F.ceil(at)), value))
+        out.append(low + (high - low) * F.max(at - F.floor(at)))
+    return out

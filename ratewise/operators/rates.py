@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewise.operators import ranking
+
 
 def rate(clicks: Column, impressions: Column) -> Column:
     """clicks / impressions, 0 without impressions."""
@@ -60,8 +62,10 @@ def with_share(table: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def with_volume_rank(table: DataFrame, name: str = "impressions_rank") -> DataFrame:
-    """Competition rank by impressions of an aggregated table (a row for each key)."""
-    return table.withColumn(name, F.rank().over(Window.orderBy(F.desc("impressions"))))
+    """Competition rank by impressions of an aggregated table (a row for each key): one more than the keys with more impressions, from the counts of each number of impressions."""
+    sizes = table.groupBy(F.col("impressions").alias("_i")).agg(F.count("*").alias("_keys"))
+    above = ranking.with_running(sizes, "_i", ["_keys"], descending=True).select("_i", (F.col("_keys_before") + 1).cast("int").alias(name))
+    return table.join(above, F.col("impressions").eqNullSafe(F.col("_i"))).drop("_i")
 
 
 def cross_rate(df: DataFrame, k1: str, k2: str, low_volume: int = 100_000, label: str = "click") -> DataFrame:

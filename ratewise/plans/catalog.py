@@ -122,7 +122,7 @@ _GRID = [round(i / 100, 2) for i in range(1, 51)]
 _add("m3_thresholds", f"""WITH {_L}, g AS (SELECT unnest({_GRID}::DOUBLE[]) AS threshold), x AS (SELECT threshold, CAST(sum(CASE WHEN score >= threshold THEN click ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN score >= threshold THEN 1 - click ELSE 0 END) AS BIGINT) AS fp,
  CAST(sum(CASE WHEN score < threshold THEN 1 - click ELSE 0 END) AS BIGINT) AS tn, CAST(sum(CASE WHEN score < threshold THEN click ELSE 0 END) AS BIGINT) AS fn FROM l, g GROUP BY 1)
  SELECT threshold, tp, fp, tn, fn, round((tp + fp) / (tp + fp + tn + fn), 9) AS coverage, round(tp / nullif(tp + fp, 0), 9) AS "precision", round(tp / nullif(tp + fn, 0), 9) AS recall,
- round(tn / nullif(tn + fp, 0), 9) AS specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1, round(tp / nullif(tp + fp, 0) / ((tp + fn) / (tp + fp + tn + fn)), 9) AS lift,
+ round(tn / nullif(tn + fp, 0), 9) AS specificity, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 9) AS f1, round(tp / nullif(tp + fp, 0) / ((tp + fn) / (tp + fp + tn + fn)), 9) AS lift,
  round(tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0) - 1, 9) AS youden_j FROM x""")(
     lambda s, d: evaluation.threshold_metrics(lines(s, d), _GRID).select("threshold", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("coverage", "precision", "recall", "specificity", "f1", "lift", "youden_j")]))
 _COVER = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]

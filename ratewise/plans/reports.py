@@ -40,8 +40,8 @@ _add("i18_cold_start", f"WITH {_E} SELECT count(*) AS n_rows, count(*) FILTER (E
 _add("i19_mapping_consistent", f"WITH {_E}, x AS (SELECT site, count(DISTINCT bucket) + max(CASE WHEN bucket IS NULL THEN 1 ELSE 0 END) > 1 AS b, count(DISTINCT click) + max(CASE WHEN click IS NULL THEN 1 ELSE 0 END) > 1 AS c FROM e GROUP BY 1) SELECT unnest(['bucket', 'click']) AS feature, unnest([a, b]) AS keys FROM (SELECT count(*) FILTER (b) AS a, count(*) FILTER (c) AS b FROM x)")(
     lambda s, d: checks.mapping_consistent(events(s, d), "site", ["bucket", "click"]))
 _Q = ", ".join(f"round(quantile_cont(score, {p / 100}), 9) AS p{p}" for p in evaluation.PERCENTS)
-_add("k7_score_summary", f"WITH {_L} SELECT count(*) AS n_rows, CAST(sum(click) AS BIGINT) AS clicks, round(avg(click), 9) AS ctr, round(avg(score), 9) AS mean_score, {_Q} FROM l")(
-    lambda s, d: _rounded(evaluation.score_summary(lines(s, d)), "ctr", "mean_score", *[f"p{p}" for p in evaluation.PERCENTS]).drop("auc", "average_precision", "log_loss", "brier"))
+_add("k7_score_summary", f"WITH {_L} SELECT count(*) AS n_rows, CAST(sum(click) AS BIGINT) AS clicks, round(avg(click), 9) AS ctr, round(avg(score), 9) AS mean_score, {_Q}, (SELECT auc FROM ({SQL['k2_auc']})) AS auc, (SELECT average_precision FROM ({SQL['k5_average_precision']})) AS average_precision, (SELECT log_loss FROM ({SQL['k3_k4_probability']})) AS log_loss, (SELECT brier FROM ({SQL['k3_k4_probability']})) AS brier FROM l")(
+    lambda s, d: _rounded(evaluation.score_summary(lines(s, d)), "ctr", "mean_score", *[f"p{p}" for p in evaluation.PERCENTS], "auc", "average_precision", "log_loss", "brier"))
 _add("m7_operating_points", SQL["m3_thresholds"].replace("WITH l AS", "WITH m AS (WITH l AS", 1) + """), g AS (SELECT unnest([
  {'point': 'max_f1', 'goal': f1, 'ok': true}, {'point': 'max_youden_j', 'goal': youden_j, 'ok': true}, {'point': 'recall_80', 'goal': "precision", 'ok': recall >= 0.8}, {'point': 'recall_90', 'goal': "precision", 'ok': recall >= 0.9},
  {'point': 'precision_25', 'goal': recall, 'ok': "precision" >= 0.25}, {'point': 'coverage_10', 'goal': -abs(coverage - 0.1), 'ok': true}, {'point': 'coverage_20', 'goal': -abs(coverage - 0.2), 'ok': true}]) AS x, * FROM m),

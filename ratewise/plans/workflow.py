@@ -136,8 +136,8 @@ _WIDE = [0.05, 0.1, 0.25, 0.4, 0.6, 5.0]
 _add("m3_threshold_rates", f"""WITH {_L}, g AS (SELECT unnest({_WIDE}::DOUBLE[]) AS threshold), x AS (SELECT threshold, count(*) FILTER (score >= threshold AND click = 1) AS tp, count(*) FILTER (score >= threshold AND click = 0) AS fp, count(*) FILTER (score < threshold AND click = 0) AS tn, count(*) FILTER (score < threshold AND click = 1) AS fn FROM l, g GROUP BY 1)
  SELECT threshold, tp + fn AS positive_rows, fp + tn AS negative_rows, tp + fp AS selected_rows, round(fp / nullif(fp + tn, 0), 9) AS false_positive_rate, round(fn / nullif(fn + tp, 0), 9) AS false_negative_rate, round((tp + tn) / (tp + fp + tn + fn), 9) AS accuracy,
  round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 9) AS balanced_accuracy, round(tn / nullif(tn + fn, 0), 9) AS npv, round(tp / nullif(tp + fp, 0), 9) AS selected_ctr, round(fn / nullif(fn + tn, 0), 9) AS unselected_ctr, round((tp + fn) / (tp + fp + tn + fn), 9) AS overall_ctr,
- round(tp / nullif(tp + fp, 0) / ((tp + fn) / (tp + fp + tn + fn)), 9) AS lift, round(fn / nullif(tp + fn, 0), 9) AS missed FROM x""")(
-    lambda s, d: evaluation.threshold_metrics(lines(s, d), _WIDE).select("threshold", "positive_rows", "negative_rows", "selected_rows", *[F.round(c, 9).alias(c) for c in ("false_positive_rate", "false_negative_rate", "accuracy", "balanced_accuracy", "npv", "selected_ctr", "unselected_ctr", "overall_ctr", "lift", "missed")]))
+ round(tp / nullif(tp + fp, 0) / ((tp + fn) / (tp + fp + tn + fn)), 9) AS lift, round(fn / nullif(tp + fn, 0), 9) AS missed, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 9) AS f1 FROM x""")(
+    lambda s, d: evaluation.threshold_metrics(lines(s, d), _WIDE).select("threshold", "positive_rows", "negative_rows", "selected_rows", *[F.round(c, 9).alias(c) for c in ("false_positive_rate", "false_negative_rate", "accuracy", "balanced_accuracy", "npv", "selected_ctr", "unselected_ctr", "overall_ctr", "lift", "missed", "f1")]))
 _ALL = list(evaluation.TOPK_COVERAGES)
 _add("m5_topk_all", f"""WITH {_E}, g AS (SELECT unnest({_ALL}::DOUBLE[]) AS coverage), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k, count(*) OVER () AS total, sum(click) OVER () AS all_clicks FROM e)
  SELECT coverage, count(*) AS rows, CAST(sum(click) AS BIGINT) AS clicks, round(sum(click) / max(all_clicks) / (count(*) / max(total)), 9) AS gain, round(count(*) * max(all_clicks) / max(total), 6) AS expected_clicks, round(sum(click) - count(*) * max(all_clicks) / max(total), 6) AS incremental_clicks
