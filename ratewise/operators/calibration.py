@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +36,70 @@ def apply_sigmoid(model: LogisticRegressionModel, df: DataFrame, score: str = "s
     return df.withColumn(out, clip_probability(1 / (1 + F.exp(-z))))
 
 
-def fit_isotonic(df: DataFrame, score: str = "score", label: str = "click") -> IsotonicRegressionModel:
-    """Non-decreasing fit. Equal scores are pooled before it, so the fit sees one weighted row for each distinct score."""
-    pooled = df.groupBy(F.col(score).alias("s")).agg(F.avg(label).alias("y"), F.count(label).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w", isotonic=True).fit(pooled)
+@dataclass(frozen=True)
+class Isotonic:
+    """Knots of a non-decreasing fit: scores in rising order and the value at each; linear between them, constant outside."""
+
+    scores: list[float]
+    values: list[float]
+
+
+def _pooled(rows: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
+    """Pool adjacent violators: pools (low, high, sum of labels, weight) in order of low, neighbours joined until their means rise."""
+    out = []
+    for low, high, total, weight in rows:
+        while out and out[-1][2] * weight >= total * out[-1][3]:
+            first, _, t, w = out.pop()
+            low, total, weight = first, total + t, weight + w
+        out.append((low, high, total, weight))
+    return out
+
+
+#: Neighbouring groups of pools that one task joins in a round.
+FAN = 32
+
+
+def pools(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
+    """low, high, total, weight: the pools of the non-decreasing fit of label on score; rows without a score or label are left out.
+
+    Rows are counted by score, and scores cut into ranges. Each range is pooled by a task of its own; then FAN neighbours
+    are joined at a time, round by round. Pools of a part are parts of the whole's pools, so every round hands on pools
+    only: of 0/1 labels a range has about as many as the cube root of its scores, the last round about that of all.
+    """
+    rows = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y")).dropna()
+    counts = rows.groupBy("s").agg(F.sum("y").alias("total"), F.count("*").cast("double").alias("weight"))
+    cut = ranking.with_range(counts, "s", "part", of=rows).select("part", F.col("s").alias("low"), F.col("s").alias("high"), "total", "weight")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("low")
+        found = pd.DataFrame(_pooled(list(zip(pdf["low"], pdf["high"], pdf["total"], pdf["weight"], strict=True))), columns=["low", "high", "total", "weight"])
+        return found.assign(part=int(pdf["part"].iloc[0]))[["part", "low", "high", "total", "weight"]]
+
+    schema = "part int, low double, high double, total double, weight double"
+    for _ in range(math.ceil(ranking.STEPS / math.log2(FAN)) + 1):  # 2**STEPS ranges at most
+        cut = cut.groupBy("part").applyInPandas(join, schema).withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+    return cut.drop("part")
+
+
+def fit_isotonic(df: DataFrame, score: str = "score", label: str = "click") -> Isotonic:
+    """Non-decreasing fit by pools; a pool's ends are knots of its mean. Without a labelled row every score has value 0."""
+    found = pools(df, score, label).orderBy("low").collect()  # the pools are the model
+    scores, values = [], []
+    for p in found:
+        for at in dict.fromkeys((p["low"], p["high"])):
+            scores.append(at)
+            values.append(p["total"] / p["weight"])
+    return Isotonic(scores or [0.0], values or [0.0])
+
+
+def apply_isotonic(model: Isotonic, df: DataFrame, score: str = "score", out: str = "isotonic") -> DataFrame:
+    """Linear between knots, constant outside of them; clamped. A null score stays null."""
 
+    @F.pandas_udf("double")
+    def value(s: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(s, model.scores, model.values))
 
-def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, score: str = "score", out: str = "isotonic") -> DataFrame:
-    """Linear between knots, constant outside of them; clamped."""
-    x = model.setFeaturesCol(score).setPredictionCol("_iso").transform(df)
-    return x.withColumn(out, clip_probability(F.col("_iso"))).drop("_iso")
+    return df.withColumn(out, F.when(F.col(score).isNotNull(), clip_probability(value(F.col(score).cast("double")))))
 
 
 def scores_long(df: DataFrame, methods: dict[str, str], keep: list[str]) -> DataFrame:

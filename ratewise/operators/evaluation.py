@@ -12,8 +12,9 @@ from ratewise.operators.rates import rate
 
 def by_score(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
     """Distinct scores of labelled rows with rows n, clicks c and the rows and clicks above (n_above, c_above)."""
-    counts = df.dropna(subset=[label]).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("c"))
-    return ranking.with_running(counts, "s", ["n", "c"], descending=True).withColumnsRenamed({"n_before": "n_above", "c_before": "c_above"})
+    rows = df.dropna(subset=[label]).select(F.col(score).alias("s"), F.col(label).alias("y"))
+    counts = rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("c"))
+    return ranking.with_running(counts, "s", ["n", "c"], descending=True, of=rows).withColumnsRenamed({"n_before": "n_above", "c_before": "c_above"})
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
@@ -109,7 +110,7 @@ def _score_segments(df: DataFrame, cuts, segment, score: str, label: str, id_col
     """
     rows = df.select(F.col(score).alias("s"), F.col(label).alias("y"), F.col(id_col).alias("i"))
     counts = rows.groupBy("s").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("c"))
-    run = ranking.with_running(counts, "s", ["n"], descending=True).join(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    run = ranking.with_running(counts, "s", ["n"], descending=True, of=rows).join(F.broadcast(counts.agg(F.sum("n").alias("total"))))
     above = F.col("n_before")
     run = run.withColumn("cut", F.exists(cuts(F.col("total")), lambda k: (k > above) & (k < above + F.col("n"))))
     whole = run.filter("not cut").groupBy(segment(above + 1, F.col("total")).alias("segment")).agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.min("s").alias("low"), F.max("s").alias("high"), F.sum(F.col("s") * F.col("n")).alias("weight"), F.max("total").alias("total"))
@@ -165,9 +166,9 @@ PERCENTS = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)
 
 def score_summary(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
     """Rows, clicks, rate, mean score and its quantiles, interpolated; AUC, average precision, log loss and Brier score of the labelled rows. One row, all of it from the counts by score."""
-    y = F.col(label)
-    counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"), F.count(y).alias("m"), F.coalesce(F.sum(y), F.lit(0)).alias("c"))
-    run = ranking.with_running(counts, "s", ["n", "m", "c"], descending=True)
+    rows, y = df.select(F.col(score).cast("double").alias("s"), F.col(label).alias("y")), F.col("y")
+    counts = rows.groupBy("s").agg(F.count("*").alias("n"), F.count(y).alias("m"), F.coalesce(F.sum(y), F.lit(0)).alias("c"))
+    run = ranking.with_running(counts, "s", ["n", "m", "c"], descending=True, of=rows)
     run = run.join(F.broadcast(counts.agg(F.sum(F.when(F.col("s").isNotNull(), F.col("n"))).alias("_total"))))
     s, n, m, c, m_above, c_above = (F.col(k) for k in ("s", "n", "m", "c", "m_before", "c_before"))
     p = clip_probability(s)

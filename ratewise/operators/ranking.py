@@ -32,13 +32,14 @@ def with_range(df: DataFrame, column: str, name: str = "_range", of: DataFrame |
     return out.withColumn(name, F.when(F.col("_range_of").isNull(), -1).otherwise(found)).drop("_range_of", "_range_bounds")
 
 
-def with_running(df: DataFrame, column: str, values: list[str], descending: bool = False, group: str | None = None) -> DataFrame:
+def with_running(df: DataFrame, column: str, values: list[str], descending: bool = False, group: str | None = None, of: DataFrame | None = None) -> DataFrame:
     """df with VALUE_before for each of values: its sum over the rows before, in order of column, within group if given.
 
     column is unique within a group; nulls come first in ascending and last in descending order. Missing sums are 0.
+    of: the rows that df counts, with the same column: its bounds are the same, without df's shuffle.
     """
     keys = [group] if group else []
-    rows = with_range(df, column)
+    rows = with_range(df, column, of=of)
     way = F.desc_nulls_last if descending else F.asc_nulls_first
     earlier = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(way("_r")).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r")).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -63,8 +64,9 @@ def with_place(df: DataFrame, group: str, order: str, name: str = "place", of: D
 def quantiles(df: DataFrame, column: str, points: list[float], group: str | None = None) -> DataFrame:
     """(group,) q: the exact quantiles of the non-null values as an array, interpolated between the two values around each point. Without a value there is no row."""
     keys = [group] if group else []
-    counts = df.select(*keys, F.col(column).cast("double").alias("_v")).dropna(subset=["_v"]).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    run = with_running(counts, "_v", ["_n"], group=group)
+    rows = df.select(*keys, F.col(column).cast("double").alias("_v")).dropna(subset=["_v"])
+    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    run = with_running(counts, "_v", ["_n"], group=group, of=rows)
     whole = counts.groupBy(*[F.col(k).alias("_g") for k in keys]).agg(F.sum("_n").alias("_total"))
     joined = run.join(F.broadcast(whole), F.col(group).eqNullSafe(F.col("_g"))) if group else run.join(F.broadcast(whole))
     found = joined.groupBy(*keys).agg(F.array(*quantile_values(F.col("_v"), F.col("_n_before"), F.col("_n"), F.col("_total"), points)).alias("q"), F.max("_total").alias("_total"))
