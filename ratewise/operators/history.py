@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratewise.operators.rates import rate
@@ -40,12 +40,31 @@ def daily_key_stats(df: DataFrame, key: str, date: str = "date", label: str = "c
     return df.groupBy(date, key).agg(F.count(label).alias("impressions"), F.coalesce(F.sum(label), F.lit(0)).cast("bigint").alias("clicks"))
 
 
-def history_by_date(daily: DataFrame, key: str, date: str = "date") -> DataFrame:
-    """For every date d and key seen before d: impressions and clicks of dates before d, and their rate."""
-    dates = daily.select(F.col(date).alias("_d")).distinct()  # one row for each date
-    seen = daily.join(F.broadcast(dates), F.col(date) < F.col("_d"))
-    past = seen.groupBy(F.col("_d").alias(date), key).agg(F.sum("impressions").alias("hist_impressions"), F.sum("clicks").alias("hist_clicks"))
-    return past.withColumn("hist_ctr", rate(F.col("hist_clicks"), F.col("hist_impressions")))
+def history_intervals(daily: DataFrame, key: str, date: str = "date") -> DataFrame:
+    """Interval map of a key's history: key, valid_from, valid_to, hist_impressions, hist_clicks, hist_ctr.
+
+    A row holds for the dates after valid_from up to valid_to (null: all later ones): the sums of the key's dates up to
+    valid_from. As many rows as the key has dates; a date before its first has no row.
+    """
+    own = Window.partitionBy(key).orderBy(date)  # one row for each date of a key
+    x = daily.dropna(subset=[date]).select(key, F.col(date).alias("valid_from"), F.lead(date).over(own).alias("valid_to"), F.sum("impressions").over(own).alias("hist_impressions"), F.sum("clicks").over(own).alias("hist_clicks"))
+    return x.withColumn("hist_ctr", rate(F.col("hist_clicks"), F.col("hist_impressions")))
+
+
+def look_up_history(df: DataFrame, intervals: DataFrame, key: str, date: str = "date") -> DataFrame:
+    """Each row with what its key's history was before its date, whatever the date, in columns KEY_hist_impressions, KEY_hist_clicks, KEY_hist_ctr; no history, or no date, gives 0.
+
+    Only the distinct (key, date) of the rows meet the map, in order of date within a key, so a key that most rows have
+    brings no more rows than there are dates, and no row is compared with intervals that do not hold it.
+    """
+    names = ("hist_impressions", "hist_clicks", "hist_ctr")
+    state = F.struct(*names)
+    asked = df.select(F.col(key).alias("_k"), F.col(date).alias("_d")).dropna(subset=["_d"]).distinct().withColumns({"_asks": F.lit(0), "_state": F.lit(None).cast(intervals.select(state.alias("s")).schema["s"].dataType)})
+    known = intervals.select(F.col(key).alias("_k"), F.col("valid_from").alias("_d"), F.lit(1).alias("_asks"), state.alias("_state"))  # a date's own rows come after its question
+    upto = Window.partitionBy("_k").orderBy("_d", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = asked.unionByName(known).withColumn("_state", F.last("_state", ignorenulls=True).over(upto)).filter("_asks = 0")
+    m = found.select(F.col("_k").alias(key), F.col("_d").alias(date), *[F.col(f"_state.{c}").alias(f"{key}_{c}") for c in names])
+    return apply_mapping(df, m, [date, key], {f"{key}_{c}": HISTORY[c] for c in names})
 
 
 def with_exposure_percentile(history: DataFrame, by: list[str], column: str = "hist_impressions") -> DataFrame:
@@ -107,10 +126,43 @@ def add_history_split(df: DataFrame, earlier: list[DataFrame], key: str, label:
     return apply_mapping(df, _named(mapping, key, HISTORY), [key], {f"{key}_{c}": v for c, v in HISTORY.items()})
 
 
-def save_maps(maps: dict[str, DataFrame], path: str) -> None:
-    """Mapping tables (by name: key and window of the history), each in a folder of its own under path."""
-    for name, mapping in maps.items():
-        mapping.write.mode("overwrite").parquet(f"{path}/{name}")
+#: Columns that a saved map adds up, with what a day adds when a key is missing from it.
+SUMMED = ("impressions", "clicks")
+
+
+def _saved_key(key: Column) -> Column:
+    """A text that tells a null key from every value, so that a bucketed map needs no null-safe join."""
+    return F.when(key.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), key.cast("string")))
+
+
+def _write_map(rows: DataFrame, table: str, buckets: int) -> None:
+    rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "saved_key").sortBy("saved_key").saveAsTable(table)
+
+
+def save_history_map(daily: DataFrame, key: str, table: str, buckets: int | None = None) -> None:
+    """A map (saved_key, key, impressions, clicks) from daily sums, as a table in buckets of the key: as many as shuffle partitions, or more."""
+    n = buckets or int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = daily.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMMED])
+    _write_map(sums.select(_saved_key(F.col(key)).alias("saved_key"), key, *SUMMED), table, n)
+
+
+def add_days(spark: SparkSession, table: str, daily: DataFrame, key: str, into: str) -> None:
+    """The map of table with more daily sums, written as the table into (another one; a reader of the first is not disturbed). Only the days are shuffled."""
+    if into == table:
+        raise ValueError("a map is not written over the table that it is read from")
+    n = next(int(r["data_type"]) for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r["col_name"] == "Num Buckets")
+    old = spark.table(table).select("saved_key", F.col(key).alias("_old"), *[F.col(c).alias(f"_{c}") for c in SUMMED])
+    new = daily.groupBy(key).agg(*[F.sum(c).alias(c) for c in SUMMED]).withColumn("saved_key", _saved_key(F.col(key)))
+    both = old.join(new, "saved_key", "full")
+    _write_map(both.select("saved_key", F.coalesce("_old", key).alias(key), *[(F.coalesce(F.col(f"_{c}"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).alias(c) for c in SUMMED]), into, n)
+
+
+def look_up_saved(df: DataFrame, table: str, key: str) -> DataFrame:
+    """Each row with its key's KEY_hist_impressions, KEY_hist_clicks and KEY_hist_ctr of a saved map; a missing key gives 0. The map's side is read in its buckets, without a shuffle."""
+    m = df.sparkSession.table(table).select("saved_key", *[F.col(c).alias(f"_{c}") for c in SUMMED])
+    out = df.withColumn("saved_key", _saved_key(F.col(key))).join(m, "saved_key", "left").drop("saved_key")
+    n, c = (F.coalesce(F.col(f"_{x}"), F.lit(0)) for x in SUMMED)
+    return out.withColumns({f"{key}_hist_impressions": n, f"{key}_hist_clicks": c, f"{key}_hist_ctr": rate(c, n)}).drop("_impressions", "_clicks")
 
 
 def unseen_ratio(df: DataFrame, keys: list[str]) -> DataFrame:
