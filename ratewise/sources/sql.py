@@ -8,8 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text between semicolons; quotes and comments may hold one.
-_STATEMENT = re.compile(r"(?:'[^']*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|[^;])+")
+#: Comments, and the text between semicolons; quotes and comments may hold one.
+_COMMENT = r"--[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
+_STATEMENT = re.compile(rf"(?:'[^']*'|\"[^\"]*\"|`[^`]*`|{_COMMENT}|[^;])+")
 
 
 def register_events(df: DataFrame, view: str) -> DataFrame:
@@ -31,7 +32,7 @@ def run_sql(spark: SparkSession, sql: str, args: dict | list | None = None) -> D
 def run_sql_file(spark: SparkSession, path: str) -> list[DataFrame]:
     """A DataFrame for each statement of a file."""
     parts = _STATEMENT.findall(Path(path).read_text(encoding="utf-8"))
-    return [spark.sql(p) for p in parts if re.sub(r"--[^\n]*", "", p).strip()]
+    return [spark.sql(p) for p in parts if re.sub(_COMMENT, "", p).strip()]
 
 
 def table_names(spark: SparkSession) -> list[str]:

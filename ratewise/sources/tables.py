@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own under spark.checkpoint.dir, which driver and executors share; on a local master without that setting, under a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def read_events_csv(spark: SparkSession, path: str, columns: list[str], null_values: tuple[str, ...] = ("",)) -> DataFrame:
     """Headed CSV, every column a string, so that no dirty value stops the read; null_values become null."""
     schema = StructType([StructField(c, StringType()) for c in columns])

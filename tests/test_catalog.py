@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ratewise.plans import learned as catalog
+from ratewise.plans import end_to_end as catalog
 
 DATA = "/root/testdata/sf0.001"
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratewise.operators import calibration, checks, cleaning, models
-from ratewise.plans import learned, reports
+from ratewise.plans import end_to_end, reports
 from ratewise.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -76,6 +76,6 @@ def test_checks_find_bad_values(spark):
     assert {(r.feature, r.missing_count, r.inf_count, r.status) for r in stats.collect()} == {("x_te", 1, 0, "ERROR"), ("y_te", 0, 3, "ERROR")}
 
 
-@pytest.mark.parametrize("name", sorted(set(learned.QUERIES) - set(learned.SQL)))
+@pytest.mark.parametrize("name", sorted(set(end_to_end.QUERIES) - set(end_to_end.SQL)))
 def test_runs(spark, name):
-    assert learned.QUERIES[name](spark, DATA).count() > 0
+    assert end_to_end.QUERIES[name](spark, DATA).count() > 0

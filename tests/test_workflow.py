@@ -36,7 +36,7 @@ def test_sql_files_and_catalog(spark, tmp_path):
     df = sql.register_events(spark.sql("SELECT timestamp'2024-01-01 05:06:07' AS hour_dt, true AS flag, 7 AS k UNION ALL SELECT null, null, 8"), "rw_t")
     assert sorted((r["k"], r["hour_dt"], r["flag"]) for r in df.collect()) == [(7, "2024-01-01 05:06:07", 1), (8, None, 0)]
     f = tmp_path / "q.sql"
-    f.write_text("-- one; not a statement\nSELECT ';' AS a;\n\nSELECT count(*) AS n FROM rw_t;\n")
+    f.write_text("-- one; not a statement\nSELECT ';' AS a;\n/* two; it's * not / one */\nSELECT count(*) /* ; */ AS n FROM rw_t;\n/* ; */\n")
     assert [r.collect()[0][0] for r in sql.run_sql_file(spark, str(f))] == [";", 2]
     assert "rw_t" in sql.table_names(spark) and sql.table_columns(spark, "rw_t")[1] == ("flag", "int") and sql.row_count(spark, "rw_t") == 2
     with pytest.raises(ValueError):
