@@ -118,7 +118,7 @@ def calibration_metrics(df: DataFrame, methods: dict[str, str], bins: int = 20,
     out = None
     for name, column in methods.items():
         x = df.select(id_col, label, F.col(column).alias("score"))
-        row = evaluation.probability_metrics(x, "score", label).join(evaluation.roc_auc(x, "score", label)).join(evaluation.average_precision(x, "score", label)).join(evaluation.confusion(x, 0.5, "score", label))
+        row = evaluation.ranked_metrics(x, "score", label).join(evaluation.confusion(x, 0.5, "score", label))
         row = row.join(ece_mce(evaluation.score_groups(x, bins, True, "score", label, id_col))).select(F.lit(name).alias("method"), "*")
         out = row if out is None else out.unionByName(row)
     return out

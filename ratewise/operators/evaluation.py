@@ -181,10 +181,16 @@ def score_summary(df: DataFrame, score: str = "score", label: str = "click") ->
         F.try_divide(F.sum(won), F.sum(c).cast("double") * F.sum(m - c)).alias("auc"), F.try_divide(F.sum(hit), F.sum(c).cast("double")).alias("average_precision"), labelled(loss).alias("log_loss"), labelled(square).alias("brier"))
 
 
+def ranked_metrics(df: DataFrame, score: str = "score", label: str = "click") -> DataFrame:
+    """One row: log loss, Brier score, mean score, actual rate, their gap, AUC and average precision, all from the counts by score."""
+    x = score_summary(df, score, label)
+    return x.select("log_loss", "brier", "mean_score", F.col("ctr").alias("actual_rate"), F.abs(F.col("mean_score") - F.col("ctr")).alias("calibration_gap"), "auc", "average_precision")
+
+
 def model_metrics(df: DataFrame, name: str, threshold: float = 0.5, features: int | None = None, seconds: float | None = None, score: str = "score", label: str = "click") -> DataFrame:
     """One row for a scored table: the model's name, rows, confusion at the threshold, AUC, average precision, probability metrics, number of features and seconds; holdout_used is false, as no holdout row is looked at unless given."""
     x = df.agg(F.lit(name).alias("model"), F.count("*").alias("n_rows"))
-    for one in (confusion(df, threshold, score, label), roc_auc(df, score, label), average_precision(df, score, label), probability_metrics(df, score, label)):
+    for one in (confusion(df, threshold, score, label), ranked_metrics(df, score, label)):
         x = x.join(F.broadcast(one))
     return x.withColumns({"feature_count": F.lit(features).cast("int"), "seconds": F.lit(seconds).cast("double"), "holdout_used": F.lit(False)})
 
