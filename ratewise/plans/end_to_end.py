@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.operators import averaged, checks, cleaning, rates
-from ratewise.plans.catalog import _E, QUERIES, SQL, _add, events
-from ratewise.plans.learned import FEATURES, noisy_rows
+from ratewise.plans.catalog import _E, _add, events
+from ratewise.plans.learned import FEATURES, QUERIES, SQL, noisy_rows
 from ratewise.plans.reports import _SPLIT, split_events
 from ratewise.sources import sql, tables
 

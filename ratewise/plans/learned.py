@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ratewise.functions import features
 from ratewise.operators import averaged, boosting, evaluation, history, models, search
-from ratewise.plans.catalog import _E, _L, QUERIES, SQL, _add, events, lines
+from ratewise.plans.catalog import _E, _L, _add, events, lines
 from ratewise.plans.reports import _rounded, split_events
+from ratewise.plans.workflow import QUERIES, SQL
 
 FEATURES = ["score", "user_id", "hour_sin", "hour_cos", "site_hist_ctr", "site_exposure_percentile"]
 #: Rounds of the queries' fits, rounds without a better loss before they end, and step; all other settings are the baselines'.
