@@ -84,20 +84,22 @@ def _with_percentile(rows: DataFrame, sizes: DataFrame, by: list[str], column: s
     return rows.join(ranks, [*by, column], "left").fillna(0.0, ["exposure_percentile"])
 
 
-def history_where_seen(daily: DataFrame, key: str, date: str = "date") -> DataFrame:
+def history_where_seen(daily: DataFrame, key: str, date: str = "date", of: tuple[str, ...] = ()) -> DataFrame:
     """For every (date, key) that occurs: impressions and clicks of the key's earlier dates, their rate, and the key's percentile among all keys seen before.
 
     Sums run along each key's own dates. What the keys' sums are before a date follows from the changes: a key leaves its
-    last number of impressions and enters a new one; so dates meet numbers of impressions, not keys.
+    last number of impressions and enters a new one; so dates meet numbers of impressions, not keys. Daily sums without a
+    date are earlier than none and are left out. of: columns that tell several kinds of keys in one table apart.
     """
-    own = Window.partitionBy(key).orderBy(date)  # one row for each date of a key
+    daily = daily.dropna(subset=[date])
+    own = Window.partitionBy(*of, key).orderBy(date)  # one row for each date of a key
     before = own.rowsBetween(Window.unboundedPreceding, -1)
-    x = daily.select(date, key, F.coalesce(F.sum("impressions").over(before), F.lit(0)).alias("hist_impressions"), F.coalesce(F.sum("clicks").over(before), F.lit(0)).alias("hist_clicks"), F.sum("impressions").over(own).alias("_upto"))
-    moves = x.select(F.col(date).alias("_d"), F.inline(F.array(F.struct(F.col("_upto").alias("hist_impressions"), F.lit(1).alias("_by")), F.struct(F.col("hist_impressions"), F.lit(-1).alias("_by")))))
-    moves = moves.filter("hist_impressions > 0").groupBy("_d", "hist_impressions").agg(F.sum("_by").alias("_by")).filter("_by <> 0")
+    x = daily.select(date, *of, key, F.coalesce(F.sum("impressions").over(before), F.lit(0)).alias("hist_impressions"), F.coalesce(F.sum("clicks").over(before), F.lit(0)).alias("hist_clicks"), F.sum("impressions").over(own).alias("_upto"))
+    moves = x.select(F.col(date).alias("_d"), *of, F.inline(F.array(F.struct(F.col("_upto").alias("hist_impressions"), F.lit(1).alias("_by")), F.struct(F.col("hist_impressions"), F.lit(-1).alias("_by")))))
+    moves = moves.filter("hist_impressions > 0").groupBy("_d", *of, "hist_impressions").agg(F.sum("_by").alias("_by")).filter("_by <> 0")
     dates = daily.select(date).distinct()  # one row for each date
-    sizes = moves.join(F.broadcast(dates), F.col("_d") < F.col(date)).groupBy(date, "hist_impressions").agg(F.sum("_by").alias("keys")).filter("keys > 0")
-    return _with_percentile(x.drop("_upto"), sizes, [date], "hist_impressions").withColumn("hist_ctr", rate(F.col("hist_clicks"), F.col("hist_impressions")))
+    sizes = moves.join(F.broadcast(dates), F.col("_d") < F.col(date)).groupBy(date, *of, "hist_impressions").agg(F.sum("_by").alias("keys")).filter("keys > 0")
+    return _with_percentile(x.drop("_upto"), sizes, [date, *of], "hist_impressions").withColumn("hist_ctr", rate(F.col("hist_clicks"), F.col("hist_impressions")))
 
 
 #: Columns of a key's history, with the values of an unseen key; in a table of rows they carry the key's name in front.
@@ -130,7 +132,7 @@ def add_history_split(df: DataFrame, earlier: list[DataFrame], key: str, label:
 SUMMED = ("impressions", "clicks")
 
 
-def _saved_key(key: Column) -> Column:
+def saved_key(key: Column) -> Column:
     """A text that tells a null key from every value, so that a bucketed map needs no null-safe join."""
     return F.when(key.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), key.cast("string")))
 
@@ -143,7 +145,7 @@ def save_history_map(daily: DataFrame, key: str, table: str, buckets: int | None
     """A map (saved_key, key, impressions, clicks) from daily sums, as a table in buckets of the key: as many as shuffle partitions, or more."""
     n = buckets or int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sums = daily.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMMED])
-    _write_map(sums.select(_saved_key(F.col(key)).alias("saved_key"), key, *SUMMED), table, n)
+    _write_map(sums.select(saved_key(F.col(key)).alias("saved_key"), key, *SUMMED), table, n)
 
 
 def add_days(spark: SparkSession, table: str, daily: DataFrame, key: str, into: str) -> None:
@@ -152,7 +154,7 @@ def add_days(spark: SparkSession, table: str, daily: DataFrame, key: str, into:
         raise ValueError("a map is not written over the table that it is read from")
     n = next(int(r["data_type"]) for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r["col_name"] == "Num Buckets")
     old = spark.table(table).select("saved_key", F.col(key).alias("_old"), *[F.col(c).alias(f"_{c}") for c in SUMMED])
-    new = daily.groupBy(key).agg(*[F.sum(c).alias(c) for c in SUMMED]).withColumn("saved_key", _saved_key(F.col(key)))
+    new = daily.groupBy(key).agg(*[F.sum(c).alias(c) for c in SUMMED]).withColumn("saved_key", saved_key(F.col(key)))
     both = old.join(new, "saved_key", "full")
     _write_map(both.select("saved_key", F.coalesce("_old", key).alias(key), *[(F.coalesce(F.col(f"_{c}"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).alias(c) for c in SUMMED]), into, n)
 
@@ -160,7 +162,7 @@ def add_days(spark: SparkSession, table: str, daily: DataFrame, key: str, into:
 def look_up_saved(df: DataFrame, table: str, key: str) -> DataFrame:
     """Each row with its key's KEY_hist_impressions, KEY_hist_clicks and KEY_hist_ctr of a saved map; a missing key gives 0. The map's side is read in its buckets, without a shuffle."""
     m = df.sparkSession.table(table).select("saved_key", *[F.col(c).alias(f"_{c}") for c in SUMMED])
-    out = df.withColumn("saved_key", _saved_key(F.col(key))).join(m, "saved_key", "left").drop("saved_key")
+    out = df.withColumn("saved_key", saved_key(F.col(key))).join(m, "saved_key", "left").drop("saved_key")
     n, c = (F.coalesce(F.col(f"_{x}"), F.lit(0)) for x in SUMMED)
     return out.withColumns({f"{key}_hist_impressions": n, f"{key}_hist_clicks": c, f"{key}_hist_ctr": rate(c, n)}).drop("_impressions", "_clicks")
 
@@ -183,15 +185,15 @@ def smoothed_rate(clicks: Column, n: Column, prior: Column, m: float = SMOOTHING
 
 
 def priors_by_date(daily: DataFrame, date: str = "date") -> DataFrame:
-    """Rate of all dates before each date; the first date has FIRST_PRIOR."""
-    totals = daily.groupBy(date).agg(F.sum("impressions").alias("n"), F.sum("clicks").alias("c"))
+    """Rate of all dates before each date; the first date has FIRST_PRIOR. Sums without a date are left out."""
+    totals = daily.dropna(subset=[date]).groupBy(date).agg(F.sum("impressions").alias("n"), F.sum("clicks").alias("c"))
     before = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)  # one row for each date
     return totals.select(date, F.coalesce(F.try_divide(F.sum("c").over(before).cast("double"), F.sum("n").over(before)), F.lit(FIRST_PRIOR)).alias("prior"))
 
 
 def add_target_encoding(df: DataFrame, key: str, date: str = "date", label: str = "click", m: float = SMOOTHING) -> DataFrame:
     """KEY_te, the encoding from strictly earlier dates; an unseen key has its date's prior. Rows without a date have none."""
-    daily = daily_key_stats(df, key, date, label)
+    daily = daily_key_stats(df, key, date, label).dropna(subset=[date])
     before = Window.partitionBy(key).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)  # one row for each date of a key
     past = daily.select(date, key, F.coalesce(F.sum("impressions").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("clicks").over(before), F.lit(0)).alias("_c"))
     te = past.join(F.broadcast(priors_by_date(daily, date)), date).withColumn(f"{key}_te", smoothed_rate(F.col("_c"), F.col("_n"), F.col("prior"), m))

@@ -107,8 +107,8 @@ _QUOTA = f"""WITH {_E}, g AS (SELECT bucket, count(*) AS n_rows FROM e GROUP BY
 _add("h4_quota", _QUOTA + " SELECT bucket, n_rows, quota FROM z")(lambda s, d: splits.proportional_quota(events(s, d).groupBy("bucket").agg(F.count("*").alias("n_rows")), "bucket", 1000))
 _add("h5_sample", _QUOTA + ", r AS (SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS k FROM e) SELECT id, r.bucket FROM r JOIN z ON r.bucket = z.bucket WHERE k <= quota")(
     lambda s, d: splits.sample_per_group(events(s, d), "bucket", 1000, "id").select("id", "bucket"))
-_add("i8_feature_quality", f"""WITH {_E} SELECT 'bucket' AS feature_name, count(*) - count(bucket) AS missing_count, count(DISTINCT bucket) AS unique_count, CAST(min(bucket) AS DOUBLE) AS min, CAST(max(bucket) AS DOUBLE) AS max, round(avg(bucket), 6) AS mean, median(bucket) AS median, round(stddev_samp(bucket), 6) AS std FROM e
- UNION ALL SELECT 'user_id', count(*) - count(user_id), count(DISTINCT user_id), CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), round(avg(user_id), 6), median(user_id), round(stddev_samp(user_id), 6) FROM e""")(lambda s, d: quality.feature_quality(events(s, d), ["bucket", "user_id"]).drop("data_type", "missing_rate", "is_constant"))
+_add("i8_feature_quality", f"""WITH {_E} SELECT 'bucket' AS feature_name, 'int' AS data_type, count(*) - count(bucket) AS missing_count, round(1 - count(bucket) / count(*), 9) AS missing_rate, count(DISTINCT bucket) AS unique_count, CAST(count(DISTINCT bucket) <= 1 AS INTEGER) AS is_constant, CAST(min(bucket) AS DOUBLE) AS min, CAST(max(bucket) AS DOUBLE) AS max, round(avg(bucket), 6) AS mean, median(bucket) AS median, round(stddev_samp(bucket), 6) AS std FROM e
+ UNION ALL SELECT 'user_id', 'bigint', count(*) - count(user_id), round(1 - count(user_id) / count(*), 9), count(DISTINCT user_id), CAST(count(DISTINCT user_id) <= 1 AS INTEGER), CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), round(avg(user_id), 6), median(user_id), round(stddev_samp(user_id), 6) FROM e""")(lambda s, d: quality.feature_quality(events(s, d), ["bucket", "user_id"]).withColumns({"missing_rate": F.round("missing_rate", 9), "is_constant": F.col("is_constant").cast("int")}))
 _add("i11_rate_spread", f"""WITH {_L}, r AS (SELECT 'l_linenumber' AS feature_name, avg(click) AS ctr FROM l GROUP BY l_linenumber UNION ALL SELECT 'l_linestatus', avg(click) FROM l GROUP BY l_linestatus)
  SELECT feature_name, min(ctr) AS minimum_ctr, max(ctr) AS maximum_ctr, max(ctr) - min(ctr) AS ctr_spread, count(*) AS top_category_count FROM r GROUP BY 1""")(lambda s, d: quality.rate_spread(lines(s, d), ["l_linenumber", "l_linestatus"]))
 _add("i12_correlation", f"WITH {_E} SELECT 'bucket' AS feature_name, round(corr(bucket, click), 9) AS pearson FROM e UNION ALL SELECT 'user_id', round(corr(user_id, click), 9) FROM e")(lambda s, d: quality.label_correlation(events(s, d), ["bucket", "user_id"]))

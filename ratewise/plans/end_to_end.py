@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewise.operators import averaged, checks, cleaning, rates
+from ratewise.functions import features
+from ratewise.operators import averaged, checks, cleaning, entities, rates
 from ratewise.plans.catalog import _E, _add, events
 from ratewise.plans.learned import FEATURES, QUERIES, SQL, noisy_rows
 from ratewise.plans.reports import _SPLIT, split_events
@@ -115,4 +116,54 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+KEYS = ["site", "bucket", "user_id", "hour_of_day", "bucket_site"]
+_VALUES = ("hist_impressions", "hist_clicks", "hist_ctr", "exposure_percentile", "te")
+
+
+def _five(x: DataFrame) -> DataFrame:
+    """Events with five keys of three types, nulls among them."""
+    return features.time_parts(x).withColumns({"bucket_site": features.cross_key(F.col("bucket"), F.col("site")), "site": F.when(F.col("id") % 11 != 0, F.col("site"))})
+
+
+def _values(x: DataFrame) -> DataFrame:
+    return x.select("id", *[(F.round(f"{k}_{c}", 9) if c in _VALUES[2:] else F.col(f"{k}_{c}")).alias(f"{k}_{c}") for k in KEYS for c in _VALUES])
+
+
+def g7_g16_five_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History and encoding of five keys before each event's date, from one pass for all daily sums."""
+    return _values(entities.add_keys(_five(split_events(spark, sf_dir)), KEYS, tables.new_folder(spark, "keys")))
+
+
+def g9_g17_five_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdout events with history and encoding of five keys over train and valid, from the two splits' saved daily sums."""
+    x, folder = _five(split_events(spark, sf_dir)), tables.new_folder(spark, "keys")
+    for name in ("train", "valid"):
+        entities.save_daily_sums(x.filter(F.col("split") == name), KEYS, f"{folder}/{name}")
+    return _values(entities.add_keys_split(x.filter("split = 'holdout'"), [f"{folder}/train", f"{folder}/valid"], KEYS, folder))
+
+
+_E5 = f"{_E}, f AS (SELECT id, date, click, CASE WHEN id % 11 <> 0 THEN site END AS site, bucket, user_id, CAST(hour(ts) AS INTEGER) AS hour_of_day, bucket || '_' || site AS bucket_site, {_SPLIT} AS split FROM e), s5 AS (SELECT * FROM f WHERE split IS NOT NULL)"
+
+
+def _key_by_date_sql(k: str) -> str:
+    return f"""d_{k} AS (SELECT {k}, date, count(click) AS n, sum(click) AS c FROM s5 GROUP BY ALL), a_{k} AS (SELECT t.date, d.{k}, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS c FROM (SELECT DISTINCT date FROM s5) t JOIN d_{k} d ON d.date < t.date GROUP BY ALL),
+ p_{k} AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY n) + (count(*) OVER (PARTITION BY date, n) - 1) / 2) / count(*) OVER (PARTITION BY date) AS p FROM a_{k} WHERE n > 0)"""
+
+
+def _key_whole_sql(k: str) -> str:
+    return f"""d_{k} AS (SELECT {k}, count(click) AS n, CAST(sum(click) AS BIGINT) AS c FROM s5 WHERE split <> 'holdout' GROUP BY 1), p_{k} AS (SELECT *, (rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2) / count(*) OVER () AS p FROM d_{k} WHERE n > 0)"""
+
+
+def _key_columns_sql(k: str) -> str:
+    n, c = f"coalesce(p_{k}.n, 0)", f"coalesce(p_{k}.c, 0)"
+    return f"{n} AS {k}_hist_impressions, {c} AS {k}_hist_clicks, round(coalesce(p_{k}.c / p_{k}.n, 0), 9) AS {k}_hist_ctr, round(coalesce(p_{k}.p, 0), 9) AS {k}_exposure_percentile, round(({c} + 20 * prior) / ({n} + 20), 9) AS {k}_te"
+
+
+_add("g7_g16_five_keys", f"""WITH {_E5}, {", ".join(_key_by_date_sql(k) for k in KEYS)}, t AS (SELECT date, sum(click) AS c, count(click) AS n FROM s5 GROUP BY 1),
+ pr AS (SELECT date, coalesce(CAST(sum(c) OVER w AS DOUBLE) / sum(n) OVER w, 0.17) AS prior FROM t WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT id, {", ".join(_key_columns_sql(k) for k in KEYS)} FROM s5 JOIN pr ON pr.date = s5.date {" ".join(f"LEFT JOIN p_{k} ON p_{k}.date = s5.date AND p_{k}.{k} IS NOT DISTINCT FROM s5.{k}" for k in KEYS)}""")(g7_g16_five_keys)
+_add("g9_g17_five_keys", f"""WITH {_E5}, {", ".join(_key_whole_sql(k) for k in KEYS)}, o AS (SELECT CAST(sum(click) AS DOUBLE) / count(click) AS prior FROM s5 WHERE split <> 'holdout')
+ SELECT id, {", ".join(_key_columns_sql(k) for k in KEYS)} FROM s5 JOIN o ON true {" ".join(f"LEFT JOIN p_{k} ON p_{k}.{k} IS NOT DISTINCT FROM s5.{k}" for k in KEYS)} WHERE s5.split = 'holdout'""")(g9_g17_five_keys)
+
+
 __all__ = ["QUERIES", "SQL"]
