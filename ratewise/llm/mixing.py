@@ -2,8 +2,9 @@
 
 Documents are counted by exact word length within each source. A source whose target is r whole copies and a rest
 takes every document r times; the rest is met by documents chosen by their lengths alone: each length first gives its
-proportional share, then a bounded-knapsack dynamic program over the lengths' remaining counts fills what is left of the
-budget as exactly as any choice can within its window. Which documents of a length are chosen follows a seeded order.
+proportional share, at every size of the budget, then a bounded-knapsack dynamic program over the lengths' remaining
+counts fills the last words of the budget as exactly as any choice can. Which documents of a length are chosen follows
+a seeded order.
 
 Only histograms (distinct lengths of a source, at most the square root of twice its words) meet in a task. Documents
 are ranked within (source, length) in buckets, so a hot group is cut up.
@@ -20,7 +21,7 @@ from ratewise.llm import common, ranks
 
 #: No document is taken more often than this.
 MOST_COPIES = 3
-#: Words of a budget that the dynamic program sees at most; shares are handed out until no more than that is left.
+#: Shares are handed out until no more words than this are left for the dynamic program, or no document is that short.
 WINDOW = 1 << 16
 
 
@@ -54,13 +55,11 @@ def _filled(lengths: np.ndarray, free: np.ndarray, left: int) -> tuple[np.ndarra
         mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
         for i in order:
             n, piece = int(min(free[i], limit // max(1, int(lengths[i])))), 1
-            while n > 0:
+            while n > 0 and not reach >> left & 1:  # once left is reached, longer documents are not needed
                 piece = min(piece, n)
                 steps.append((i, piece, reach))
                 reach |= (reach << (piece * int(lengths[i]))) & mask
                 n, piece = n - piece, piece * 2
-            if reach >> left & 1:
-                break
         best = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
         if limit > left or left - best <= 1:
             break
@@ -83,23 +82,33 @@ GIVEN_BACK = 8
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each length to choose so that their words come as near to budget as found.
 
-    Proportional shares first, then the longest lengths that still fit, until at most window words are left; a bounded
-    knapsack over the counts that remain fills those. Where it misses, some documents of each length, the shortest first,
-    are given back while no more than window words are left, and the knapsack runs again; the nearer result counts.
+    Every length gives its proportional share in whole documents. Where more than window words are left by the parts of
+    documents, lengths give one more in order of their largest remainders, and shares are handed out again, so that a
+    large budget takes each length in proportion as a small one does. More than window words are left only where every
+    document that is still free is longer than that. A bounded knapsack over the counts that remain fills the rest. Where
+    it misses, some documents of each length, the shortest first, are given back while no more than window words are left,
+    and the knapsack runs again; the nearer result counts.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(counts), np.int64)
     if budget >= total:
         return counts.copy()
-    chosen = (counts * (budget / total)).astype(np.int64)
-    left = budget - int((lengths * chosen).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= window:
+    chosen, left = np.zeros(len(counts), np.int64), budget
+    while True:
+        free, before = counts - chosen, left
+        shares = free * (left / int((lengths * free).sum()))
+        give = np.minimum(shares.astype(np.int64), free)
+        chosen += give
+        left -= int((lengths * give).sum())
+        for i in np.argsort(give - shares, kind="stable"):
+            if left <= window:
+                break
+            if chosen[i] < counts[i] and lengths[i] <= left:
+                chosen[i] += 1
+                left -= int(lengths[i])
+        if left <= window or left == before:
             break
-        n = min(int(counts[i] - chosen[i]), max(0, left - window // 2) // int(lengths[i]))
-        chosen[i] += n
-        left -= n * int(lengths[i])
     if left < 0:
         return chosen
     extra, miss = _filled(lengths, counts - chosen, left)

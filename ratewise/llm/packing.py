@@ -86,31 +86,39 @@ def plan(counts: np.ndarray, limits: Limits = Limits(), score: str = "norm", wei
 
 
 def _pieces(batches, path: str, end_id: int, most: int):
-    """Tokenise; a row for each piece, with this task's number and the piece's rank among the task's pieces of its length."""
+    """Tokenise; a row for each piece, with this task's number, the piece's rank among the task's pieces of its length, and the columns after id and text."""
     task, seen = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
     encoder = tokens.encoder(path, keeps_space=False)
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, ids in zip(batch.column(0), encoder.encode(batch.column(1)), strict=True):
+        places: list[int] = []
+        for place, (doc_id, ids) in enumerate(zip(batch.column(0), encoder.encode(batch.column(1)), strict=True)):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             for k, start in enumerate(range(0, len(ids), most)):
                 piece = ids[start : start + most]
                 rows.append((doc_id.as_py(), k, start, len(piece), zlib.crc32(piece.tobytes()), task, int(seen[len(piece)])))
+                places.append(place)
                 seen[len(piece)] += 1
         if rows:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+            kept = [batch.column(i).take(pa.array(places)) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)), *kept], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", *batch.schema.names[2:]])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, limits: Limits = Limits(), score: str = "norm") -> DataFrame:
-    """Pieces and where they lie: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, limits: Limits = Limits(), score: str = "norm", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces and where they lie: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and docs' columns keep.
 
     A document is its ids and end_id (null or empty text: end_id alone); only documents longer than limits.tokens are cut,
     into pieces of that length and a rest. Rows that repeat an id are packed each. An empty table gives an empty result.
+    A kept column named as one of the piece's own is an error.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    clash = set(keep) & {"doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "rank", "before", "sequence_id", "offset"}
+    if clash:
+        raise ValueError(f"columns of a piece: {sorted(clash)}")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long{kept}"
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
     pieces = common.staged(common.in_arrow(rows, lambda it: _pieces(it, tokenizer_path, end_id, limits.tokens), schema), "pack-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -129,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(keys, length << 48 | rank, "right") - 1
             sequence = a[at, 3] + rank - a[at, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(a[at, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(a[at, 4]), *(batch.column(n) for n in keep)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *keep])
 
-    ranked = pieces.join(offsets.select("length", "task", "before"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = pieces.join(offsets.select("length", "task", "before"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"), *[f"`{c}`" for c in keep])
+    return ranked.mapInArrow(placed, f"doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long{kept}")

@@ -65,6 +65,12 @@ def test_pieces_match_the_library(docs, rows):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         want += [(i, k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
     assert by_id(packing.pack(docs, WORD_BPE), "doc_id", "piece", "start", "length", "ids_crc32") == ordered(want)
+    kept = packing.pack(docs, WORD_BPE, keep=("lang", "source"))
+    assert kept.columns[7:] == ["lang", "source"] and by_id(kept.select(*kept.columns[:5]), "doc_id", "piece", "start", "length", "ids_crc32") == ordered(want)
+    own = {tuple(r) for r in docs.select("doc_id", "lang", "source").collect()}
+    assert {tuple(r) for r in kept.select("doc_id", "lang", "source").collect()} == own
+    with pytest.raises(ValueError, match="columns of a piece"):
+        packing.pack(docs.withColumn("rank", F.lit(1)), WORD_BPE, keep=("rank",))
 
 
 def test_token_files_match_the_library_and_are_read_by_document(spark, docs, rows):
@@ -111,6 +117,22 @@ def test_window_cannot_miss_on_a_histogram_of_texts():
             assert int((lengths * mixing.fit_counts(lengths, counts, budget, window)).sum()) == budget
 
 
+def test_a_large_budget_takes_each_length_in_proportion():
+    """Beyond the words of the window, which the shortest lengths fill, no length is more than a document off its share, however large the budget."""
+    lengths, counts = np.arange(1, 2001), np.full(2000, 1000)
+    for budget in (867_433_711, 123_456_789, 1_999_999_999):
+        chosen, share = mixing.fit_counts(lengths, counts, budget), 1000 * budget / int((lengths * counts).sum())
+        assert int((lengths * chosen).sum()) == budget
+        assert np.abs(chosen - share)[100:].max() <= 1 and (lengths * np.abs(chosen - share))[:100].sum() <= 3 * mixing.WINDOW
+
+
+def test_documents_longer_than_the_window():
+    """Where only such documents are free, the nearest sum of them counts."""
+    assert mixing.fit_counts(np.array([3, 100]), np.array([4, 3]), 195, window=16).tolist() in ([0, 2], [4, 2])
+    assert mixing.fit_counts(np.array([100]), np.array([7]), 349, window=16).tolist() == [3]
+    assert mixing.fit_counts(np.array([100]), np.array([7]), 351, window=16).tolist() == [4]
+
+
 def test_a_document_above_the_budget_is_taken_where_it_is_nearer():
     assert mixing.fit_counts(np.array([8, 30_000]), np.array([1, 1]), 29_988).tolist() == [0, 1]
     assert mixing.fit_counts(np.array([8, 30_000]), np.array([1, 1]), 15_000).tolist() == [1, 0]
