@@ -12,7 +12,7 @@ from ratewise.llm import common, exact_dedup, jaccard, langid, mixing, packing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null, or without a letter) go."""
+    """Documents in no language (null, or without a letter) go; the others have a language from here on, predicted where the label is null."""
     return langid.with_language(docs)
 
 
@@ -32,8 +32,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens; a document that the mix repeats is packed as often."""
-    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+    """Sequences of at most 4096 tokens, each piece with its document's language and source; a document that the mix repeats is packed as often."""
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), keep=("lang", "source"))
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_duplicates", near), ("mix", mix), ("pack", pack)]
