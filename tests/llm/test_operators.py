@@ -379,3 +379,5 @@ def test_pipeline_stages(spark, docs, table):
     assert len(ids) == len(set(ids)) and {groups[i] for i in ids} == {groups[i] for i in lettered}
     final = corpus_pipeline.run(spark, DATA).toPandas()
     assert set(final.doc_id) <= set(ids) and final.groupby("sequence_id").length.sum().max() <= 4096
+    language = {r["doc_id"]: (r["lang"], r["source"]) for r in kept.select("doc_id", "lang", "source").collect()}
+    assert all(language[i] == (lang, source) for i, lang, source in zip(final.doc_id, final.lang, final.source.where(final.source.notna(), None), strict=True)) and final.lang.notna().all()
