@@ -215,6 +215,22 @@ def test_token_files_round_trip(docs, table):
 SPECIAL = ["<|endoftext|>", "one word<|endoftext|>inside of it", "after blanks  \n <|endoftext|> and on", "<|startoftext|> a <|ENDOFTEXT|>", "<|endof text|> is none", "plain text", None]
 
 
+@pytest.mark.parametrize(("name", "keeps_space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+@pytest.mark.parametrize("most", [50, tokens.MOST_PIECES])
+def test_pieces_split_at_signs_match_the_library(name, keeps_space, most):
+    import random
+
+    import pyarrow as pa
+
+    random.seed(5)
+    parts = [*"aBjJHtTwWyYsS", "'s", "'RE", "'ll", "can't", "Word", "WORD", *".,;(){}<>|=-_'\"`~12", "\u030c", "\u0331", "\u0308", "\u030a", "\u0338", "\u0307", "é", "Å", "ß", "Σ", "漢", "🙂", " ", "  ", "\n", "\t ", "\r\n", "<|endoftext", "|>"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 25))) for _ in range(3000)] + [None, "", "J", "\u030c", "a<|endoftext|>b"]
+    whole = Tokenizer.from_file(str(public_tokenizers.path(name)))
+    got = tokens.Encoder(str(public_tokenizers.path(name)), keeps_space, most).encode(pa.array(texts))
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_added_tokens_match_the_library(spark):
     import pyarrow as pa
 
