@@ -121,3 +121,25 @@ def test_contributions_equal_sums_over_subsets_and_add_up(spark):
                     want += weight * sum(expectation(t, x, {*known, i}) - expectation(t, x, set(known)) for t in model.trees)
             assert math.isclose(got[r[0], name], want, abs_tol=1e-10)
     assert models.check_additive(parts, boosting.score(model, df)).first()["max_error"] < 1e-9
+
+
+def test_a_fit_reads_its_rows_once_and_a_tree_takes_as_many_passes_as_it_is_deep(spark, monkeypatch):
+    _, df = table(spark)
+    seen, passes, one = spark.sparkContext.accumulator(0), [], boosting._pass
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(boosting, "_pass", lambda *a: passes.append(1) or one(*a))
+    s = boosting.Settings(rounds=3, leaves=None, depth=5, least_rows=1, least_weight=0.5, row_share=1.0, column_share=1.0, bins=64, rate=0.3)
+    model = boosting.fit(df.mapInArrow(watched, df.schema), FEATURES, valid_flag="valid", settings=s)
+    assert seen.value == 600 and passes and max(len(t.feature) for t in model.trees) > 25
+
+
+def test_passes_of_blocks_hold_the_rows_of_one_partition_too(spark):
+    rows, df = table(spark)
+    ready = boosting.prepare(df.coalesce(1), FEATURES, bins=32)
+    assert ready.blocks.getNumPartitions() == spark.sparkContext.defaultParallelism and ready.blocks.map(lambda b: len(b[1])).sum() == len(rows)
+    ready.release()
