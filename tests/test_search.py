@@ -59,3 +59,11 @@ def test_search_finds_its_best_trial(spark):
     rows = sorted(trials.collect(), key=lambda r: r["rank"])
     assert [r["log_loss"] for r in rows] == sorted(r["log_loss"] for r in rows) and len(model.trees) == rows[0]["best_round"]
     assert all(set(json.loads(r["params"])) == set(search.SPACE) for r in rows) and rows[0]["auc"] > 0.6
+
+
+def test_trials_share_the_rows_bins(spark, monkeypatch):
+    prepared, one = [], boosting.prepare
+    monkeypatch.setattr(boosting, "prepare", lambda *a: prepared.append(one(*a)) or prepared[-1])
+    df = spark.createDataFrame([(i, i % 10, int(i % 10 > 5) ^ (i % 7 == 0), i % 3 == 0) for i in range(300)], "id long, a int, click int, valid boolean")
+    trials, _ = search.search(df, ["a"], "valid", 3, id_col="id", base=boosting.replace(boosting.LEAF_WISE, rounds=2, bins=16))
+    assert trials.count() == 3 and len(prepared) == 1
