@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratewise.operators import calibration, checks, cleaning, models
-from ratewise.plans import end_to_end, reports
+from ratewise.plans import end_to_end, learned, reports
 from ratewise.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -79,3 +79,23 @@ def test_checks_find_bad_values(spark):
 @pytest.mark.parametrize("name", sorted(set(end_to_end.QUERIES) - set(end_to_end.SQL)))
 def test_runs(spark, name):
     assert end_to_end.QUERIES[name](spark, DATA).count() > 0
+
+
+def _counted(spark, df):
+    """df, and an accumulator of the rows that are computed for it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(watched, df.schema), seen
+
+
+def test_rows_of_tree_contributions_are_computed_once(spark, monkeypatch):
+    rows = learned.noisy_rows(spark, DATA)
+    watched, seen = _counted(spark, rows)
+    monkeypatch.setattr(learned, "noisy_rows", lambda *_: watched)
+    found = learned.n1_tree_contributions(spark, DATA).collect()
+    assert len(found) == len(learned.FEATURES) and found[0]["max_error"] < 1e-9 and seen.value == rows.count()
