@@ -93,6 +93,14 @@ def _counted(spark, df):
     return df.mapInArrow(watched, df.schema), seen
 
 
+@pytest.mark.parametrize("name", ["j11_score_models", "n3_global_importance", "n5_cases"])
+def test_model_rows_are_computed_once(spark, monkeypatch, name):
+    rows = reports.model_rows(spark, DATA)
+    watched, seen = _counted(spark, rows)
+    monkeypatch.setattr(reports, "model_rows", lambda *_: watched)
+    assert end_to_end.QUERIES[name](spark, DATA).count() > 0 and seen.value == rows.count()
+
+
 def test_rows_of_tree_contributions_are_computed_once(spark, monkeypatch):
     rows = learned.noisy_rows(spark, DATA)
     watched, seen = _counted(spark, rows)
