@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -143,3 +144,32 @@ def test_passes_of_blocks_hold_the_rows_of_one_partition_too(spark):
     ready = boosting.prepare(df.coalesce(1), FEATURES, bins=32)
     assert ready.blocks.getNumPartitions() == spark.sparkContext.defaultParallelism and ready.blocks.map(lambda b: len(b[1])).sum() == len(rows)
     ready.release()
+
+
+@pytest.mark.parametrize("alone", [1, 60, 10**6])
+def test_trees_are_the_same_whichever_nodes_one_task_finishes(spark, monkeypatch, alone):
+    monkeypatch.setattr(boosting, "ALONE", alone)
+    rows, df = table(spark)
+    jobs, one, below = [], boosting._pass, boosting._below
+    monkeypatch.setattr(boosting, "_pass", lambda *a: jobs.append("pass") or one(*a))
+    monkeypatch.setattr(boosting, "_below", lambda *a: jobs.append("below") or below(*a))
+    s = boosting.Settings(rounds=3, leaves=12, least_rows=5, row_share=1.0, column_share=1.0, bins=32, rate=0.3)
+    model = boosting.fit(df.repartition(16), FEATURES, settings=s)
+    got = [sorted((int(t.cover[i]), round(t.value[i], 9)) for i, f in enumerate(t.feature) if f < 0) for t in model.trees]
+    assert got == plain_trees([(*r[:6], False) for r in rows], s, 3)
+    if alone == 10**6:
+        assert jobs == ["pass", "below"] * 3
+
+
+def test_lineage_is_cut_and_its_files_go(spark, monkeypatch, tmp_path):
+    _, df = table(spark)
+    s = boosting.Settings(rounds=7, leaves=4, least_rows=5, bins=16, rate=0.3)
+    whole = boosting.fit(df, FEATURES, valid_flag="valid", settings=s, id_col="id")
+    monkeypatch.setattr(boosting, "CUT", 2)
+    gone, one = [], boosting.tables.delete
+    monkeypatch.setattr(boosting.tables, "delete", lambda session, path: gone.append(path) or one(session, path))
+    cut = boosting.fit(df, FEATURES, valid_flag="valid", settings=s, id_col="id")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    anew = boosting.fit(df, FEATURES, valid_flag="valid", settings=s, id_col="id")
+    assert np.allclose(whole.losses, cut.losses, atol=1e-12) and np.allclose(whole.losses, anew.losses, atol=1e-12)
+    assert len(gone) == 3 and all(not Path(p.removeprefix("file:")).exists() for p in gone)
