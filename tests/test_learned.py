@@ -21,3 +21,7 @@ def fitted_with(spark, monkeypatch, query):
 
 def test_depth_wise_trees_have_all_rounds_of_the_baseline(spark, monkeypatch):
     assert fitted_with(spark, monkeypatch, learned.j5_depth_wise) == [boosting.DEPTH_WISE]
+
+
+def test_leaf_wise_trees_have_all_rounds_of_the_baseline(spark, monkeypatch):
+    assert fitted_with(spark, monkeypatch, learned.j5_leaf_wise) == [boosting.LEAF_WISE]
