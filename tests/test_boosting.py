@@ -173,3 +173,18 @@ def test_lineage_is_cut_and_its_files_go(spark, monkeypatch, tmp_path):
     anew = boosting.fit(df, FEATURES, valid_flag="valid", settings=s, id_col="id")
     assert np.allclose(whole.losses, cut.losses, atol=1e-12) and np.allclose(whole.losses, anew.losses, atol=1e-12)
     assert len(gone) == 3 and all(not Path(p.removeprefix("file:")).exists() for p in gone)
+
+
+def test_contributions_are_the_same_whether_games_are_played_once_or_by_row(spark, monkeypatch):
+    rows, df = table(spark, 300)
+    model = boosting.fit(df, FEATURES, settings=boosting.Settings(rounds=3, leaves=9, least_rows=4, column_share=1.0, bins=16, rate=0.4), id_col="id")
+    x = np.array([[0.0 if v is None or v != v else v for v in r[1:5]] for r in rows], float)
+    for t in model.trees:
+        found = []
+        for most in (boosting.WAYS, 0):
+            with monkeypatch.context() as m:
+                m.setattr(boosting, "WAYS", most)
+                expected, games = boosting.tree_games(t)
+            found.append(np.zeros(x.T.shape))
+            boosting.tree_attribution(t, games, x, t.threshold, found[-1])
+        assert np.allclose(*found, atol=1e-14) and np.allclose(expected + found[0].sum(axis=0), t.values(x, t.threshold))

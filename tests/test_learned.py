@@ -25,3 +25,7 @@ def test_depth_wise_trees_have_all_rounds_of_the_baseline(spark, monkeypatch):
 
 def test_leaf_wise_trees_have_all_rounds_of_the_baseline(spark, monkeypatch):
     assert fitted_with(spark, monkeypatch, learned.j5_leaf_wise) == [boosting.LEAF_WISE]
+
+
+def test_explained_trees_have_all_rounds_of_the_baseline(spark, monkeypatch):
+    assert fitted_with(spark, monkeypatch, learned.n1_tree_contributions) == [boosting.LEAF_WISE]
